@@ -51,9 +51,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df; costs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def estimated_bytes(df: DataFrame, partition_bytes: int = 16 << 20) -> int:
+    """The size of the sources that df reads, from Catalyst's statistics; costs no job.
+
+    Estimates of joins are products of their sides and useless here, so the leaves of the plan are
+    added up. A stored checkpoint has no statistics and counts by its partitions.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            total += leaf.rdd().getNumPartitions() * partition_bytes
+        else:
+            total += int(str(leaf.stats().sizeInBytes()))
+    return total
 
 
 def shuffle_parts(df: DataFrame, bytes_each: int = 64 << 20) -> int:
