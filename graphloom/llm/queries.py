@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import entities as en
-from graphloom.llm import entity_splits, overlaps, tokens, top_n
+from graphloom.llm import entity_splits, overlaps, packing, stuffed_pages, tokens, top_n
 from graphloom.session import cut_lineage, read_table
 
 
@@ -48,6 +48,15 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.count_tokens(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack_items(sizes, "doc_id", "n_tokens", 2048)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed_pages.stuffed_pages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "page_labels"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -55,6 +64,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p6_ids": p6_ids,
+    "p7_pack": p7_pack,
+    "p8_found": p8_found,
 }
 
 _ENTITIES = r"""
