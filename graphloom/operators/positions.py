@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import estimated_bytes
+from graphloom.session import cut_lineage, estimated_bytes
 
 
 def with_position(
@@ -16,18 +16,21 @@ def with_position(
     order: Sequence[str],
     name: str,
     *,
+    bucket: Column | None = None,
     buckets: int | None = None,
     bucket_bytes: int = 4 << 20,
 ) -> DataFrame:
-    """df with the 0-based position of each row in its group, in a fixed pseudo-random order.
+    """df with the 0-based position of each row in its group.
 
-    The order is by a hash of the order columns, then by themselves; ties of all order columns get
+    Rows stand in the order of ``order`` if bucket, a coarse key that rises with it, is given; else
+    in a fixed pseudo-random order by a hash of the order columns. Ties of all order columns get
     different positions in no fixed order. No window holds a group: rows are numbered within
-    (group, hash bucket) and lifted by the sizes of the buckets before, of which a group has at most
-    ``buckets``. df is read twice, so cut its lineage first if it is costly. Null groups are groups.
+    (group, bucket) and lifted by the sizes of the buckets before. df is read twice, so cut its
+    lineage first if it is costly. Null groups are groups.
     """
     n = buckets or max(16, min(100_000, -(-estimated_bytes(df) // bucket_bytes)))
-    keyed = df.withColumn("__h", F.xxhash64(*order)).withColumn("__bucket", F.pmod("__h", F.lit(n)))
+    keyed = df.withColumn("__h", F.xxhash64(*order) if bucket is None else F.lit(0))
+    keyed = keyed.withColumn("__bucket", F.pmod("__h", F.lit(n)) if bucket is None else bucket)
     by = [*groups, "__bucket"]
     sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__bucket")
@@ -36,7 +39,7 @@ def with_position(
         F.col("__bucket").alias("__b"),
         (F.sum("__n").over(before) - F.col("__n")).alias("__lift"),
     )
-    same = F.col("__bucket") == F.col("__b")
+    same = F.col("__bucket").eqNullSafe(F.col("__b"))
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     within = Window.partitionBy(*by).orderBy("__h", *order)
@@ -48,6 +51,45 @@ def with_position(
     )
 
 
+def global_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df with the 0-based position of each row in the total order of the order columns.
+
+    A range-partitioned sort, stored so that partitions keep their rows; a row's position is its
+    place in its partition plus the sizes of the partitions before (one number a partition).
+    Nulls come first. An empty input gives no rows.
+    """
+    spread = cut_lineage(df.orderBy(*order)).withColumn("__id", F.monotonically_increasing_id())
+    part = F.shiftright("__id", 33)
+    sizes = spread.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    lifts = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__lift"))
+    return (
+        spread.withColumn("__p", part)
+        .join(F.broadcast(lifts), "__p")  # a row a partition
+        .withColumn(name, F.col("__lift") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+        .select(*df.columns, name)
+    )
+
+
+def count_greater(
+    df: DataFrame, groups: Sequence[str], score: str, weight: Column, name: str, *, scale: float = 256.0
+) -> DataFrame:
+    """(groups..., score, name): per distinct score of a group, the sum of weight over rows with a strictly greater score.
+
+    Rows are first added up by (group, score); the running sums are taken within buckets of
+    1/scale and lifted by the buckets above, so no window holds a whole group. Null and NaN scores
+    are left out.
+    """
+    clean = df.filter(F.col(score).isNotNull() & ~F.isnan(score))
+    by_score = clean.groupBy(*groups, score).agg(F.sum(weight).alias("__w"))
+    by_score = by_score.withColumn("__bucket", F.floor(F.col(score) * scale))
+    above = Window.partitionBy(*groups).orderBy(F.desc("__bucket"))
+    sizes = by_score.groupBy(*groups, "__bucket").agg(F.sum("__w").alias("__n"))
+    lifts = sizes.select(*groups, "__bucket", (F.sum("__n").over(above) - F.col("__n")).alias("__lift"))
+    within = Window.partitionBy(*groups, "__bucket").orderBy(F.desc(score))
+    run = by_score.withColumn("__run", F.sum("__w").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__w"))
+    return run.join(lifts, [*groups, "__bucket"]).select(*groups, score, (F.col("__run") + F.col("__lift")).alias(name))
+
+
 def join_heavy(
     left: DataFrame, right: DataFrame, on: Sequence[str], heavy: DataFrame, how: str = "inner"
 ) -> DataFrame:
