@@ -34,7 +34,7 @@ QUERIES = {
     "edge_ordinal": lambda s, d: gb.edge_ordinal(t(s, d, "edges")),
     "local_index": lambda s, d: gb.local_index(t(s, d, "nodes")),
     "endpoint_aliases": lambda s, d: gb.endpoint_aliases(_typed(s, d)),
-    "supplemental_nodes": lambda s, d: gb.supplemental_nodes(gb.endpoint_aliases(_typed(s, d)), t(s, d, "nodes")),
+    "supplemental_nodes": lambda s, d: gb.supplemental_nodes(gb.endpoint_aliases(_typed(s, d)), t(s, d, "nodes").filter("NOT is_supplemental")),
     "edge_index_join": lambda s, d: _indexed(s, d).select("rel_id", "source_idx", "target_idx", "relation_type"),
     "edge_index_join_inner": lambda s, d: _indexed(s, d, "inner").select("rel_id", "source_idx", "target_idx", "relation_type"),
     "unmapped_audit": lambda s, d: gb.unmapped_audit(_indexed(s, d)),
@@ -125,7 +125,7 @@ ORACLE = {
     "local_index": "SELECT node_index, node_type, row_number() OVER (PARTITION BY node_type ORDER BY node_index) - 1 AS local_index FROM nodes",
     "endpoint_aliases": f"WITH {ALIASES} SELECT * FROM aliases",
     "supplemental_nodes": f"""WITH {ALIASES} SELECT node_id, endpoint_names[1] AS node_name, node_type, 'relationships' AS node_source, true AS is_supplemental FROM aliases a
-        WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.node_type = a.node_type AND {clean('n.node_id')} = a.node_id)""",
+        WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE NOT n.is_supplemental AND n.node_type = a.node_type AND {clean('n.node_id')} = a.node_id)""",
     "edge_index_join": f"WITH {INDEXED} SELECT rel_id, source_idx, target_idx, relation_type FROM indexed",
     "edge_index_join_inner": f"WITH {INDEXED} SELECT rel_id, source_idx, target_idx, relation_type FROM indexed WHERE source_idx IS NOT NULL AND target_idx IS NOT NULL",
     "unmapped_audit": f"""WITH {INDEXED} SELECT source_type, target_type, count(*) AS n_records, count(*) FILTER (source_idx IS NULL) AS unmapped_source, count(*) FILTER (target_idx IS NULL) AS unmapped_target,
