@@ -72,3 +72,12 @@ def shuffle_parts(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Partitions for an explicit repartition of df: by size, at least the session's setting."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(100_000, math.ceil(estimated_bytes(df) / bytes_each)))
+
+
+def spread_input(df: DataFrame) -> DataFrame:
+    """df with at least as many partitions as there are cores, for work that costs much more than moving the rows.
+
+    Few large files make few input partitions; more than that are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
