@@ -29,7 +29,7 @@ QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»"}
 BRACKETS = {"[": "]", "{": "}"}
 NULL_WORDS = frozenset({"", "nan", "na", "none", "null"})
 
-BLANK = "​﻿"
+BLANK = "\u200b\ufeff"
 OK, BAD_QUOTE, BAD_BRACKET = "", "unbalanced_quote", "unbalanced_bracket"
 _STRAY = "".join(QUOTES) + "".join(QUOTES.values()) + "".join(BRACKETS) + "".join(BRACKETS.values())
 _DELIM = re.compile(f"[{re.escape(DELIMITERS)}]")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import graph_build as gb
 from graphloom.operators import quality as dq
 from graphloom.operators import splits as sp
+from graphloom.plans.graph_queries import assoc, clean
 from graphloom.session import cut_lineage
 from graphloom.session import read_table as t
 
@@ -134,7 +135,11 @@ def _audit_sql(table: str) -> str:
         SELECT *, round(validation_exposed / validation_pairs, 6) AS validation_fraction, round(test_exposed / test_pairs, 6) AS test_fraction FROM a LEFT JOIN b USING (seed)"""
 
 
+_BLANK = " OR ".join(f"{clean(c)} IS NULL" for c in ("entity1_id", "entity1_name", "entity1_type", "entity2_id", "entity2_name", "entity2_type"))
+
 ORACLE = {
+    "dq_blank_endpoints": f"SELECT rel_id FROM relationships WHERE {_BLANK}",
+    "dq_unknown_labels": f"SELECT association, count(*) AS n FROM relationships WHERE {assoc('association')} IS NULL GROUP BY ALL",
     "orient_pairs": f"WITH {_OR} SELECT edge_index, drug_idx, gene_idx, association FROM orient",
     "canonical_pairs": f"WITH {_OR}, {_CP} SELECT *, CASE WHEN len(associations) = 1 THEN associations[1] END AS association FROM cp",
     "known_positives": f"WITH {_OR} SELECT DISTINCT drug_idx, gene_idx FROM orient WHERE association = 'associated'",

@@ -14,7 +14,7 @@ from graphloom.functions import text as tx
 
 def clean_header(name: str) -> str:
     """A column name without byte-order mark, trimmed, with single spaces."""
-    return re.sub(r"\s+", " ", name.replace("﻿", "")).strip()
+    return re.sub(r"\s+", " ", name.replace("\ufeff", "")).strip()
 
 
 def clean_columns(df: DataFrame) -> DataFrame:
