@@ -15,7 +15,7 @@ SPLITS = ("train", "validation", "test")
 
 def structure(smiles: Column) -> Column:
     """The structure without white space (no-break spaces included); null for a placeholder."""
-    bare = F.regexp_replace(smiles, r"(?U)[\s   ﻿]+", "")
+    bare = F.regexp_replace(smiles, r"(?U)\s+", "")
     missing = F.lower(bare).isin(NO_STRUCTURE) | ~bare.rlike("[A-Za-z]")
     return F.when(~missing, bare)
 
