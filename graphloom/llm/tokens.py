@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe_transducer import default_vocabulary, encoder
+from graphloom.session import spread_input
 
 
 def _map_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None, result: str, make: Callable) -> DataFrame:
     path = vocabulary or default_vocabulary()
-    source = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    source = spread_input(df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")))
     kind = source.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
