@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import spread_input
+
 # Delimiters, quotes, list brackets and words for "no value".
 DELIMITERS = ",;/|\t\n\r，；｜／、"
 QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»"}
@@ -133,7 +135,7 @@ def unpack_values(df: DataFrame, id_col: str, value_col: str, *, memo_size: int
     Fields repeat, so each distinct field of a batch is parsed once, and a bounded memo keeps fields
     between batches; it is emptied when full, which changes no result.
     """
-    source = df.select(F.col(id_col).alias("id"), F.col(value_col).cast("string").alias("packed"))
+    source = spread_input(df.select(F.col(id_col).alias("id"), F.col(value_col).cast("string").alias("packed")))
     id_type = source.schema["id"].dataType
     fields = f"id {id_type.simpleString()}, pos bigint, value string, error string"
 
