@@ -113,6 +113,17 @@ def negative_samples(positives: DataFrame, genes: DataFrame, known: DataFrame, k
     return draws.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k).select("drug_idx", "gene_idx", F.col("attempt").cast("bigint").alias("attempt"), "negative_idx")
 
 
+def weighted_negatives(positives: DataFrame, degree: DataFrame, known: DataFrame, k: int, seed: int, attempts: int = 16, power: float = 0.75, grain: int = 16) -> DataFrame:
+    """As negative_samples, genes being drawn in proportion to degree^power among those with a degree.
+
+    A gene owns round(grain * degree^power) numbered slots and a draw names a slot, so drawing is an
+    equi-join; weights are exact to 1/grain.
+    """
+    slots = degree.filter("degree > 0").select("gene_idx", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(grain * F.pow(F.col("degree").cast("double"), power)).cast("int")))).alias("slot"))
+    numbered = global_position(slots, ["gene_idx", "slot"], "local_index").select("gene_idx", "local_index")
+    return negative_samples(positives, numbered, known, k, seed, attempts)
+
+
 def top_candidates(pool: DataFrame, k: int = 25) -> DataFrame:
     """The k best unknown genes of a drug; the limit is applied within input partitions first."""
     best = Window.partitionBy("drug_idx").orderBy(F.desc("score"), "gene_idx")

@@ -146,6 +146,16 @@ def assign_drugs(strata: DataFrame, config: SplitConfig = SplitConfig()) -> Data
     )
 
 
+def plain_split(drugs: DataFrame, seed: int, train: float = 0.7, validation: float = 0.15) -> DataFrame:
+    """(drug_idx, split) of all drugs in md5 order without strata: train, validation, then test, half-even sizes."""
+    n = drugs.select("drug_idx").distinct().agg(F.count(F.lit(1)).alias("n"))
+    keyed = drugs.select("drug_idx").distinct().withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lpad(F.col("drug_idx").cast("string"), 9, "0"))))
+    placed = with_position(keyed, [], ["key", "drug_idx"], "place", bucket=F.substring("key", 1, 3)).crossJoin(F.broadcast(n))  # one row
+    first, second = F.bround(F.col("n") * train), F.bround(F.col("n") * validation)
+    split = F.when(F.col("place") < first, "train").when(F.col("place") < first + second, "validation").otherwise("test")
+    return placed.select("drug_idx", split.alias("split"))
+
+
 def assign_pairs(pairs: DataFrame, drugs: DataFrame) -> DataFrame:
     """Pairs with the split of their drug, per seed."""
     return pairs.join(drugs.select("drug_idx", "seed", "split"), "drug_idx")

@@ -188,6 +188,11 @@ ORACLE = {
     "structure_clean": f"WITH {_STRUCT} SELECT * FROM flags",
     "subset_metrics": f"""WITH {POOL}, {_rank('pool', 'r')}, {_STRUCT}, m AS (SELECT r.*, coalesce(has_structure, false) AS h, seen_in_train FROM r LEFT JOIN flags USING (drug_idx)),
         u AS (SELECT 'all' AS subset, rank FROM m UNION ALL SELECT CASE WHEN h THEN 'with_structure' ELSE 'without_structure' END, rank FROM m UNION ALL SELECT 'structure_clean', rank FROM m WHERE h AND NOT seen_in_train) {_metrics('u', by='subset')}""",
+    "calibration_grid": f"""WITH {POOL}, {DEG}, zd AS (SELECT gene_idx, coalesce((ln(1 + degree) - avg(ln(1 + degree)) OVER ()) / nullif(stddev_pop(ln(1 + degree)) OVER (), 0), 0) AS zd FROM deg),
+        g AS (SELECT i - 1 AS position, a[i] AS alpha FROM (SELECT {list(rk.ALPHAS)}::DOUBLE[] AS a), range(1, 18) r(i)),
+        cpool AS (SELECT position, alpha, drug_idx, gene_idx, known, round(z + alpha * zd, 6) AS score FROM (SELECT *, coalesce((score - avg(score) OVER d) / nullif(stddev_pop(score) OVER d, 0), 0) AS z FROM pool WINDOW d AS (PARTITION BY drug_idx)) JOIN zd USING (gene_idx), g),
+        {_rank('cpool', 'r', by='position, alpha, drug_idx')}, m AS (SELECT position, alpha, round(avg(1 / rank), 6) AS mrr FROM r GROUP BY ALL)
+        SELECT alpha, position, mrr, row_number() OVER (ORDER BY mrr DESC, abs(alpha), position) = 1 AS chosen FROM m""",
     "early_stopping": """WITH h AS (SELECT event_type AS run, dayofyear(ts) AS epoch, round(avg(value), 6) AS metric FROM events GROUP BY ALL),
         a AS (SELECT *, coalesce(metric > max(metric) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved, row_number() OVER (PARTITION BY run ORDER BY epoch) AS place FROM h),
         b AS (SELECT *, place - max(CASE WHEN improved THEN place END) OVER (PARTITION BY run ORDER BY epoch) AS waited FROM a)
