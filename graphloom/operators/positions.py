@@ -28,6 +28,7 @@ def with_position(
     (group, bucket) and lifted by the sizes of the buckets before. df is read twice, so cut its
     lineage first if it is costly. Null groups are groups.
     """
+    df = df.drop(name)
     n = buckets or max(16, min(100_000, -(-estimated_bytes(df) // bucket_bytes)))
     keyed = df.withColumn("__h", F.xxhash64(*order) if bucket is None else F.lit(0))
     keyed = keyed.withColumn("__bucket", F.pmod("__h", F.lit(n)) if bucket is None else bucket)
@@ -58,6 +59,7 @@ def global_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame
     place in its partition plus the sizes of the partitions before (one number a partition).
     Nulls come first. An empty input gives no rows.
     """
+    df = df.drop(name)
     spread = cut_lineage(df.orderBy(*order)).withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)
     sizes = spread.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))

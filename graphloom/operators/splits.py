@@ -42,7 +42,11 @@ class SplitConfig:
 
 
 def orient_pairs(edges: DataFrame) -> DataFrame:
-    """Drug-gene rows with drug_idx and gene_idx, whichever way they point. Rows with null types don't qualify."""
+    """Drug-gene rows with drug_idx and gene_idx, whichever way they point. Rows with null types don't qualify.
+
+    Columns of these names are replaced.
+    """
+    edges = edges.drop("drug_idx", "gene_idx")
     forward = F.col("source_type") == "drug"
     return edges.filter(DRUG_GENE).select(
         *edges.columns,
@@ -165,9 +169,11 @@ def assign_edges(edges: DataFrame, drugs: DataFrame, protocol: str) -> DataFrame
     """Edges per seed with supervision_split, in_training_graph and removal_reason.
 
     dg_context removes drug-gene rows of held-out drugs; strict_cold removes every row at a held-out drug.
+    Columns of edges with the names of new ones are replaced.
     """
     if protocol not in PROTOCOLS:
         raise ValueError(f"unknown protocol {protocol}")
+    edges = edges.drop("seed", "protocol", "is_drug_gene", "drug_idx", "supervision_split", "in_training_graph", "removal_reason", "at_heldout_drug", "end_drug", "end_split")
     seeds = drugs.select("seed").distinct()  # the configured few
 
     rows = edges.withColumn("is_drug_gene", F.coalesce(F.expr(DRUG_GENE), F.lit(False)))

@@ -59,6 +59,16 @@ def test_cold_split_properties(spark, edges):
         sp.assign_edges(edges, drugs, "warm")
 
 
+def test_clashing_columns_are_replaced(spark, edges):
+    more = edges.withColumn("drug_idx", F.lit("x")).withColumn("seed", F.lit(0)).withColumn("split", F.lit("y")).withColumn("removal_reason", F.lit(1))
+    pairs = sp.pair_table(more)
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, sp.pair_table(edges).collect()))
+    drugs = sp.assign_drugs(sp.drug_strata(pairs))
+    assert sp.assign_edges(more, drugs, "strict_cold").count() == 3 * edges.count()
+    none = sp.assign_drugs(sp.drug_strata(sp.pair_table(more.limit(0))))
+    assert none.collect() == []
+
+
 def test_exposure_goes_through_the_variant(spark, edges):
     whole = edges.withColumn("in_training_graph", F.lit(True)).withColumn("seed", F.lit(1))
     pairs = spark.createDataFrame([(1, 0, 100), (1, 1, 100), (1, 0, 101)], "seed int, drug_idx bigint, gene_idx bigint")
