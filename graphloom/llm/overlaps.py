@@ -19,9 +19,10 @@ def named_rows(assignments: DataFrame, drugs: DataFrame, genes: DataFrame) -> Da
     """Counted rows with drug_entity and gene_entity.
 
     Entities are looked up for distinct (drug_idx, gene_idx), so a pair or a gene that holds a third
-    of the rows is looked up once.
+    of the rows is looked up once. Extra columns are dropped; re-sent rows are rows of their own; a drug
+    or gene that has no node is an entity of its own.
     """
-    rows = counted_rows(assignments)
+    rows = counted_rows(assignments).select("row_id", "drug_idx", "gene_idx", "split", "record_source", "source_type", "target_type", "evidence", "association")
     pairs = rows.select("drug_idx", "gene_idx").distinct()
     named = (
         pairs.join(drugs, "drug_idx", "left")

@@ -101,9 +101,8 @@ def test_entities_across_splits(spark, assignments, names):
     for r, s in counted(assignments):
         splits[entity(r["drug_idx"])].add(s)
     want = sorted({r["drug_idx"] for r, _ in counted(assignments) if len(splits[entity(r["drug_idx"])]) > 1})
-    slim = assignments.drop("drug_entity")
-    assert sorted(r["drug_idx"] for r in es.entities_across_splits(slim, names[0]).collect()) == want
-    assert es.entities_across_splits(slim.limit(0), names[0]).collect() == []
+    assert sorted(r["drug_idx"] for r in es.entities_across_splits(assignments, names[0]).collect()) == want
+    assert es.entities_across_splits(assignments.limit(0), names[0]).collect() == []
 
 
 def test_grouped_splits_keep_entities_whole(spark, assignments, names):
@@ -152,7 +151,7 @@ def test_overlaps_match_brute_force(spark, assignments, names):
     for r, s, d, g in keyed:
         (train if s == "train" else held)[d, g].append(r["row_id"])
     want = Counter((min(a, b), max(a, b)) for k, xs in train.items() for a in xs for b in held.get(k, ()))
-    rows = overlaps.record_texts(overlaps.named_rows(assignments.drop("drug_entity"), *names))
+    rows = overlaps.record_texts(overlaps.named_rows(assignments, *names))
     assert Counter(tuple(r) for r in overlaps.overlap_pairs(rows).collect()) == want
     report = overlaps.overlap_report(rows).collect()
     assert sum(r["n_pairs"] for r in report) == sum(want.values())
