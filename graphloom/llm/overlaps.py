@@ -44,6 +44,11 @@ def record_texts(rows: DataFrame) -> DataFrame:
     )
 
 
+def core_of(text: str):
+    """The core that a record text begins with."""
+    return F.concat(F.substring_index(text, SEP, 3), F.lit(SEP))
+
+
 def _merge(intervals: list[tuple[int, int]], new: tuple[int, int]) -> list[tuple[int, int]]:
     """Disjoint sorted intervals with one more merged in."""
     lo, hi = new

@@ -28,12 +28,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("drug_idx", "gene_idx", "rank_no")
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """Counted rows with their texts; the core is a part of the text and isn't stored beside it."""
     genes = en.gene_entities(read_table(spark, sf_dir, "nodes"))
     rows = overlaps.named_rows(read_table(spark, sf_dir, "split_assignments"), _drugs(spark, sf_dir), genes)
-    return cut_lineage(
-        overlaps.record_texts(rows).select("row_id", "split", "record_source", "core", "text")
-    )
+    stored = cut_lineage(overlaps.record_texts(rows).select("row_id", "split", *extra, "text"))
+    return stored.withColumn("core", overlaps.core_of("text"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps.overlap_report(_records(spark, sf_dir))
+    return overlaps.overlap_report(_records(spark, sf_dir, "record_source"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
