@@ -1,9 +1,9 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
-Two kinds of evidence are joined. Phrases: each text is cut into segments, the five-word shingles of
-a segment (entity-like words masked) are reduced to the least one, and the segments' phrases are
-exploded over the whole corpus to count the distinct hosts (sources) that use them; a page's share
-of words in phrases that other hosts use too tells what it is stitched from. List density: the
+Two kinds of evidence are joined. Phrases: each text is cut into segments, and every five-word
+shingle of a segment (entity-like words masked; all words of a shorter segment) is exploded over the
+whole corpus to count the distinct hosts (sources) that use it; a page's share of words that shingles
+of several hosts cover tells what it is stitched from. List density: the
 share of words in links, navigation, listings, repeated segments and keyword runs, against the share
 in sentences and notes. A small boosted-tree model, fitted on a bounded sample of hand-labelled
 pages, weighs both.
@@ -107,8 +107,8 @@ class _Words(dict):
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
 
-def _phrases(mask: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Least five-word shingle of each segment; of a shorter segment, all its words."""
+def _rolled(mask: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the five words from each word on, and of all words of each segment."""
     n = len(mask)
     m = mask.astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -116,9 +116,37 @@ def _phrases(mask: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
         for k in range(SHINGLE):
             part = m[k:] * _MIX[k]
             rolled[: max(0, n - k)] ^= (part ^ (part >> np.uint64(29))) * _MIX[(k + 1) % SHINGLE]
-        short = np.add.reduceat(m * _MIX[0] ^ (m >> np.uint64(7)), starts) * _MIX[1]
+        return rolled, np.add.reduceat(m * _MIX[0] ^ (m >> np.uint64(7)), starts) * _MIX[1]
+
+
+def _shingle_starts(lengths: np.ndarray) -> np.ndarray:
+    """Of all words of segments of these lengths: whether a shingle starts there. A segment of under five words is one."""
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return (place == 0) | (place <= np.repeat(lengths, lengths) - SHINGLE)
+
+
+def _shingles(mask: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Every five-word shingle of each segment, in order; of a shorter segment, all its words."""
+    starts = np.cumsum(lengths) - lengths
+    rolled, whole = _rolled(mask, starts)
+    short = lengths < SHINGLE
+    rolled[starts[short]] = whole[short]
+    return rolled[_shingle_starts(lengths)].astype(np.int64)
+
+
+def _covered(hit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of all words of segments of these lengths: whether a shingle that is hit covers the word."""
+    start = np.flatnonzero(_shingle_starts(lengths))[hit]
+    span = np.minimum(np.repeat(lengths, lengths), SHINGLE)[start]
+    n = int(lengths.sum())
+    return (np.bincount(start, minlength=n + 1) - np.bincount(start + span, minlength=n + 1)).cumsum()[:n] > 0
+
+
+def _signatures(mask: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Least five-word shingle of each segment, by which a page's repeated segments are told; of a shorter segment, all its words."""
+    rolled, short = _rolled(mask, starts)
     segment = np.repeat(np.arange(len(starts)), lengths)
-    inside = np.arange(n) - starts[segment] <= lengths[segment] - SHINGLE
+    inside = np.arange(len(mask)) - starts[segment] <= lengths[segment] - SHINGLE
     least = np.minimum.reduceat(np.where(inside, rolled, np.uint64(2**64 - 1)), starts)
     return np.where(lengths >= SHINGLE, least, short).astype(np.int64)
 
@@ -134,11 +162,12 @@ def _mixed(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def page_evidence(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of pages: list-density features (one row a page), and of all their segments the page,
-    the phrase and the number of words."""
+    """Of a batch of pages: list-density features (one row a page), of all their segments the page and the
+    number of words, and the shingles of all segments. For list density alone, long segments are cut into blocks."""
     features = np.zeros((len(texts), len(FEATURES) - 2))
     flat: list[int] = []
     lengths, page = array("q"), array("q")
+    whole, whole_page = array("q"), array("q")
     number = words.__getitem__
     for i, text in enumerate(texts):
         if text and ("<a " in text or "](" in text):
@@ -149,18 +178,22 @@ def page_evidence(texts: list[str | None], words: _Words) -> tuple[np.ndarray, n
             if part and (s := part.split()):
                 flat.extend(map(number, s))
                 n = len(s)
+                whole.append(n)
+                whole_page.append(i)
                 for k in (n,) if n <= 40 else (*[20] * (n // 20), *([n % 20] if n % 20 else [])):
                     lengths.append(k)
                     page.append(i)
     length, page = np.array(lengths, np.int64), np.array(page, np.int64)
+    whole, whole_page = np.array(whole, np.int64), np.array(whole_page, np.int64)
     if not len(length):
-        return features, page, length, length
+        return features, whole_page, whole, length
     numbers = np.array(flat, np.int64)
     starts = np.concatenate([[0], np.cumsum(length)[:-1]])
     kind = np.array(words.kind, np.int8)[numbers]
     counts = np.stack([np.add.reduceat((kind == c).astype(np.int64), starts) for c in range(CLASSES)])
     share = counts / length
-    keys = _phrases(np.array(words.mask, np.int64)[numbers], starts, length)
+    mask = np.array(words.mask, np.int64)[numbers]
+    keys = _signatures(mask, starts, length)
     tail = np.array(words.tail, np.int8)[numbers[starts + length - 1]]
     ended = tail > 0
     _, where, times = np.unique(_mixed(keys, page), return_inverse=True, return_counts=True)
@@ -195,47 +228,72 @@ def page_evidence(texts: list[str | None], words: _Words) -> tuple[np.ndarray, n
             w(tail == 2), np.add.reduceat(linked.astype(float), first) / segments,
         ]
     )
-    return features, page, keys, length
+    return features, whole_page, whole, _shingles(mask, whole)
 
 
 def page_features(documents: DataFrame) -> DataFrame:
-    """(doc_id, features): list-density evidence of each page joined with its shares of words in phrases that at
-    least two, and at least five, hosts use. Null, empty and blank texts have zeros throughout; a null host is a host."""
+    """(doc_id, features): list-density evidence of each page joined with its shares of words that shingles of at
+    least two, and at least five, hosts cover. Null, empty and blank texts have zeros throughout; a null host is a host.
+
+    The pages of an Arrow batch are one row: its distinct shingles meet the corpus once, whatever number of pages use
+    them, and each page's shingles are ordinals among them.
+    """
     source = spread_input(documents.select("doc_id", F.xxhash64(F.coalesce("source", F.lit(""))).alias("host"), F.col("text").cast("string").alias("text")))
+    width = len(FEATURES) - 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             if len(words) > words.most:
                 words = _Words()
-            features, page, phrases, lengths = page_evidence(batch.column(2).to_pylist(), words)
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(page, minlength=batch.num_rows))]).astype(np.int32))
-            rows = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * features.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.ListArray.from_arrays(rows, pa.array(features.astype(np.float32).ravel())),
-                    pa.ListArray.from_arrays(ends, pa.array(phrases.astype(np.int64))),
-                    pa.ListArray.from_arrays(ends, pa.array(lengths.astype(np.int16))),
-                ],
-                names=["doc_id", "host", "features", "phrases", "lengths"],
-            )
-
-    pages = cut_lineage(source.mapInArrow(run, "doc_id bigint, host bigint, features array<float>, phrases array<bigint>, lengths array<smallint>"))
-    phrases = pages.select("host", F.explode(F.array_distinct("phrases")).alias("phrase"))
-    hosts = phrases.groupBy("phrase", "host").agg(F.lit(1).alias("one")).groupBy("phrase").agg(F.count("one").alias("hosts")).filter("hosts > 1")
-    used = pages.select("doc_id", F.explode(F.arrays_zip("phrases", "lengths")).alias("p")).select("doc_id", F.col("p.phrases").alias("phrase"), F.col("p.lengths").cast("bigint").alias("n"))
-    once = used.groupBy("doc_id", "phrase").agg(F.sum("n").alias("n"))
-    shares = once.join(hosts, "phrase").groupBy("doc_id").agg(F.sum("n").alias("two"), F.sum(F.when(F.col("hosts") >= 5, F.col("n")).otherwise(0)).alias("five"))
-    total = F.greatest(F.lit(1), F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x))
+            features, page, lengths, shingles = page_evidence(batch.column(2).to_pylist(), words)
+            phrases, at = np.unique(shingles, return_inverse=True)
+            hosts, host = np.unique(batch.column(1).to_numpy(), return_inverse=True)
+            owner = host[np.repeat(page, np.maximum(1, lengths - SHINGLE + 1))]
+            pairs = np.unique(at * max(1, len(hosts)) + owner)
+            segments = np.bincount(page, minlength=batch.num_rows)
+            arrays = (
+                batch.column(0), pa.array(features.astype(np.float32).ravel()), pa.array(segments.astype(np.int32)), pa.array(lengths.astype(np.int32)),
+                pa.array(phrases), pa.array(at.astype(np.int32)), pa.array(hosts), pa.array(pairs),
+            )
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays], names=names)
+
+    names = ["doc_ids", "features", "segments", "lengths", "phrases", "at", "hosts", "pairs"]
+    kinds = ["bigint", "float", "int", "int", "bigint", "int", "bigint", "bigint"]
+    blocks = source.mapInArrow(read, ", ".join(f"{n} array<{k}>" for n, k in zip(names, kinds, strict=True)))
+    blocks = cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()))
+
+    def used_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                phrases, hosts, pairs = (c[i].values.to_numpy() for c in batch.columns)
+                phrase, host = np.divmod(pairs, max(1, len(hosts)))
+                yield pa.RecordBatch.from_arrays([pa.array(phrases[phrase]), pa.array(hosts[host])], names=["phrase", "host"])
+
+    pairs = blocks.select("phrases", "hosts", "pairs").mapInArrow(used_by, "phrase bigint, host bigint")
+    hosts = pairs.groupBy("phrase", "host").agg(F.lit(1).alias("one")).groupBy("phrase").agg(F.count("one").alias("hosts")).filter("hosts > 1")
+    used = blocks.select("block", F.posexplode("phrases").alias("ordinal", "phrase"))
+    shared = used.join(hosts, "phrase").groupBy("block").agg(F.collect_list(F.col("ordinal") * 2 + (F.col("hosts") >= 5).cast("int")).alias("shared"))
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc_ids = batch.column(0)[i].values
+                features, segments, lengths, at, found = (c[i].values.to_numpy() for c in batch.columns[1:])
+                page = np.repeat(np.repeat(np.arange(len(segments)), segments), lengths)
+                level = np.zeros(int(at.max(initial=-1)) + 1, np.int8)
+                level[found >> 1] = 1 + (found & 1)
+                level = level[at]
+                total = np.maximum(1, np.bincount(page, minlength=len(segments)))
+                shares = [np.bincount(page, _covered(level >= k, lengths), minlength=len(segments)) / total for k in (1, 2)]
+                rows = np.column_stack([features.reshape(-1, width), *shares]).astype(np.float32)
+                ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], names=["doc_id", "features"])
+
     return (
-        pages.select("doc_id", "features", total.alias("total"))
-        .join(shares, "doc_id", "left")
-        .select(
-            "doc_id",
-            F.concat("features", F.array(*[(F.coalesce(F.col(c), F.lit(0)) / F.col("total")).cast("float") for c in ("two", "five")])).alias("features"),
-        )
+        blocks.join(shared, "block", "left")
+        .select("doc_ids", "features", "segments", "lengths", "at", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
+        .mapInArrow(share, "doc_id bigint, features array<float>")
     )
 
 

@@ -155,3 +155,31 @@ def test_phrases_count_hosts(spark):
     at = stuffed_pages.FEATURES.index("replicated")
     got = {r["doc_id"]: r["features"][at] for r in stuffed_pages.page_features(docs).collect()}
     assert got[2] == 1 and 0.5 < got[1] < 1 and got[3] == got[4] == 0
+
+
+def test_every_shingle_of_a_segment_counts(spark):
+    """Words beyond a segment's least shingle, and over the edges of 20-word blocks, are covered too; brute force by words."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    pool = [[rng.choice(vocabulary) for _ in range(rng.choice([3, 7, 12, 50, 90]))] for _ in range(12)]
+    docs = []
+    for i in range(60):
+        parts = [p[(a := rng.randrange(len(p))) : a + rng.randrange(1, 60)] for p in rng.choices(pool, k=rng.randrange(4))]
+        parts += [[rng.choice(vocabulary) for _ in range(rng.randrange(1, 45))]]
+        docs.append((i % 55, parts, f"host{rng.randrange(8)}" if i % 9 else None))
+    shingles = lambda p: [(k, tuple(p[k : k + 5])) for k in range(max(1, len(p) - 4))]
+    hosts = defaultdict(set)
+    for _, parts, host in docs:
+        for p in parts:
+            for _, s in shingles(p):
+                hosts[tuple(sorted(s)) if len(s) < 5 else s].add(host)
+    want = Counter()
+    for i, parts, _ in docs:
+        shares = []
+        for least in (2, 5):
+            hit = [{k + j for k, s in shingles(p) for j in range(len(s)) if len(hosts[tuple(sorted(s)) if len(s) < 5 else s]) >= least} for p in parts]
+            shares.append(round(sum(map(len, hit)) / sum(map(len, parts)), 4))
+        want[i, *shares] += 1
+    df = spark.createDataFrame([(i, "\n".join(" ".join(p) for p in parts), host) for i, parts, host in docs], "doc_id bigint, text string, source string")
+    for given in (df, df.repartition(5)):
+        assert Counter((r["doc_id"], *(round(x, 4) for x in r["features"][-2:])) for r in stuffed_pages.page_features(given).collect()) == want
