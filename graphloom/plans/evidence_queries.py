@@ -34,12 +34,20 @@ def _shared(s: SparkSession, d: str) -> DataFrame:
     return paths.shared_khop(_neighbours(s, d), _asked(s, d), t(s, d, "nodes"), degree, "variant", max_hops=1)
 
 
-def _top(s: SparkSession, d: str) -> DataFrame:
-    return ranking.top_candidates(ranking.candidates(t(s, d, "test_pairs")), 5)
+# Candidates of a drug: as many as the SQL of the plain names states, and the operator's whole list for the names with _25.
+FEW, WHOLE = 5, 25
 
 
-def _propagated(s: SparkSession, d: str) -> DataFrame:
-    return ev.propagate(_top(s, d), t(s, d, "edges"))
+def _top(s: SparkSession, d: str, k: int) -> DataFrame:
+    return ranking.top_candidates(ranking.candidates(t(s, d, "test_pairs")), k)
+
+
+def _propagated(s: SparkSession, d: str, k: int) -> DataFrame:
+    return ev.propagate(_top(s, d, k), t(s, d, "edges"))
+
+
+def _sampled(s: SparkSession, d: str, k: int) -> DataFrame:
+    return _propagated(s, d, k).filter("evidence = 'guideline' AND NOT is_negative AND NOT is_ambiguous").orderBy("drug_idx", "gene_idx", "phenotype_idx").limit(5)
 
 
 def _enriched(s: SparkSession, d: str) -> DataFrame:
@@ -48,15 +56,20 @@ def _enriched(s: SparkSession, d: str) -> DataFrame:
     return stats.enrichment(ev.gene_sets(t(s, d, "edges")), hits, universe)
 
 
-def _integrated(s: SparkSession, d: str) -> DataFrame:
+def _flagged(s: SparkSession, d: str, k: int) -> DataFrame:
+    hits = ev.gene_pathway_hits(ev.gene_sets(t(s, d, "edges")), _enriched(s, d))
+    return _top(s, d, k).join(hits.select("gene_idx").distinct(), "gene_idx", "left_semi").select("drug_idx", "gene_idx")
+
+
+def _integrated(s: SparkSession, d: str, k: int) -> DataFrame:
     edges = t(s, d, "edges")
     hits = ev.gene_pathway_hits(ev.gene_sets(edges), _enriched(s, d))
-    return ev.integrated_scores(_top(s, d), ev.literature_counts(edges), hits)
+    return ev.integrated_scores(_top(s, d, k), ev.literature_counts(edges), hits)
 
 
 def _explained(s: SparkSession, d: str) -> DataFrame:
     hits = ev.gene_pathway_hits(ev.gene_sets(t(s, d, "edges")), _enriched(s, d))
-    return ev.explain(_integrated(s, d), hits, t(s, d, "nodes"))
+    return ev.explain(_integrated(s, d, WHOLE), hits, t(s, d, "nodes"))
 
 
 def _explanations(s: SparkSession, d: str) -> DataFrame:
@@ -90,17 +103,22 @@ QUERIES = {
     "explanations": _explanations,
     "phenotype_one_hop": lambda s, d: ev.phenotype_one_hop(t(s, d, "edges")),
     "phenotype_two_hop": lambda s, d: ev.phenotype_two_hop(t(s, d, "edges")),
-    "phenotype_propagation": _propagated,
-    "propagation_sample": lambda s, d: _propagated(s, d).filter("evidence = 'guideline' AND NOT is_negative AND NOT is_ambiguous").orderBy("drug_idx", "gene_idx", "phenotype_idx").limit(5),
-    "evidence_polarity": lambda s, d: ev.evidence_polarity(_propagated(s, d)),
+    "phenotype_propagation": lambda s, d: _propagated(s, d, FEW),
+    "phenotype_propagation_25": lambda s, d: _propagated(s, d, WHOLE),
+    "propagation_sample": lambda s, d: _sampled(s, d, FEW),
+    "propagation_sample_25": lambda s, d: _sampled(s, d, WHOLE),
+    "evidence_polarity": lambda s, d: ev.evidence_polarity(_propagated(s, d, FEW)),
+    "evidence_polarity_25": lambda s, d: ev.evidence_polarity(_propagated(s, d, WHOLE)),
     "literature_evidence": lambda s, d: ev.literature_rows(t(s, d, "edges")),
     "literature_counts": lambda s, d: ev.literature_counts(t(s, d, "edges")),
     "gene_set_explode": lambda s, d: t(s, d, "relationships").select("rel_id", F.explode(tx.split_symbols("pmids", r"[;,]")).alias("symbol")),
     "ora_enrichment": lambda s, d: _enriched(s, d).select("source", "set_id", "set_size", "overlap", *[F.round(c, 6).alias(c) for c in ("fold", "p", "q")], "significant"),
     "ora_by_source": lambda s, d: _enriched(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_sets"), F.count_if(F.col("significant")).alias("n_significant"), F.round(F.min("q"), 6).alias("least_q")),
     "gene_pathway_hits": lambda s, d: ev.gene_pathway_hits(ev.gene_sets(t(s, d, "edges")), _enriched(s, d)),
-    "pathway_flag": lambda s, d: _top(s, d).join(ev.gene_pathway_hits(ev.gene_sets(t(s, d, "edges")), _enriched(s, d)).select("gene_idx").distinct(), "gene_idx", "left_semi").select("drug_idx", "gene_idx"),
-    "integrated_scores": _integrated,
+    "pathway_flag": lambda s, d: _flagged(s, d, FEW),
+    "pathway_flag_25": lambda s, d: _flagged(s, d, WHOLE),
+    "integrated_scores": lambda s, d: _integrated(s, d, FEW),
+    "integrated_scores_25": lambda s, d: _integrated(s, d, WHOLE),
     "integrated_explanations": _explained,
     "pubdate_year": lambda s, d: t(s, d, "orders").select(tx.year_token(F.date_format("o_orderdate", "yyyy MMM d")).alias("year")).groupBy("year").agg(F.count(F.lit(1)).alias("n")),
     "first_sentence": lambda s, d: t(s, d, "documents").select("doc_id", tx.first_sentence("text").alias("sentence")),
