@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +18,8 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return ends.select(F.inline(both)).distinct()
 
 
-def khop(neighbours: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
-    """(source, node, distance, n_paths) of all nodes within max_hops of each source, the source itself at 0.
+def khop(neighbours: DataFrame, sources: DataFrame, max_hops: int | None) -> DataFrame:
+    """(source, node, distance, n_paths) of all nodes within max_hops (None: any number) of each source, the source itself at 0.
 
     Breadth first from all sources at once: a frontier is joined with the neighbours, added up by
     (source, node), and nodes met before are dropped. Each hop is stored and later hops read that.
@@ -25,10 +28,12 @@ def khop(neighbours: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
     start = sources.filter("source IS NOT NULL").select("source").distinct()
     level = cut_lineage(start.select("source", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("distance"), F.lit(1).cast("bigint").alias("n_paths")))
     reached = level
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         step = level.join(neighbours, level["node"] == neighbours["u"]).groupBy("source", F.col("v").alias("node")).agg(F.sum("n_paths").alias("n_paths"))
         fresh = step.join(reached.select("source", "node"), ["source", "node"], "left_anti")
         level = cut_lineage(fresh.select("source", "node", F.lit(hop).cast("bigint").alias("distance"), "n_paths"))
+        if max_hops is None and level.isEmpty():
+            break
         reached = reached.unionByName(level)
     return reached
 
@@ -52,6 +57,16 @@ def shortest_paths(neighbours: DataFrame, pairs: DataFrame, max_hops: int = 4) -
     return pairs.select("drug_idx", "gene_idx").distinct().join(best, ["drug_idx", "gene_idx"], "left").select("drug_idx", "gene_idx", "m.length", F.coalesce("m.n", F.lit(0)).alias("n_paths"))
 
 
+def all_shortest_paths(neighbours: DataFrame, pairs: DataFrame, near: int = 4) -> DataFrame:
+    """As shortest_paths, without a limit: pairs farther apart than ``near`` are searched from the drug to the end."""
+    first = cut_lineage(shortest_paths(neighbours, pairs, near))
+    far = first.filter("length IS NULL").select("drug_idx", "gene_idx")
+    ball = khop(neighbours, far.select(F.col("drug_idx").alias("source")), None)
+    ends = ball.select(F.col("source").alias("drug_idx"), F.col("node").alias("gene_idx"), F.col("distance").alias("length"), "n_paths")
+    rest = far.join(ends, ["drug_idx", "gene_idx"], "left").select("drug_idx", "gene_idx", "length", F.coalesce("n_paths", F.lit(0)).alias("n_paths"))
+    return first.filter("length IS NOT NULL").unionByName(rest)
+
+
 def path_strings(neighbours: DataFrame, pairs: DataFrame, names: DataFrame, keep: int = 3) -> DataFrame:
     """(drug_idx, gene_idx, paths): up to ``keep`` shortest paths of at most two steps as ``name[type] -> ...``, in order of the middle node."""
     label = names.select(F.col("node_index"), F.format_string("%s[%s]", F.coalesce("node_name", F.col("node_index").cast("string")), "node_type").alias("label"))
@@ -67,14 +82,20 @@ def path_strings(neighbours: DataFrame, pairs: DataFrame, names: DataFrame, keep
     return kept.groupBy("drug_idx", "gene_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda x: x["t"]).alias("paths"))
 
 
-def shared_khop(neighbours: DataFrame, pairs: DataFrame, nodes: DataFrame, degree: DataFrame, node_type: str, max_hops: int = 2, top: int = 10) -> DataFrame:
-    """Nodes of a type within max_hops of both ends of a pair, ends left out: the ``top`` nearest by summed distance,
-    then by falling degree, then by index."""
+def shared_by_type(neighbours: DataFrame, pairs: DataFrame, nodes: DataFrame, degree: DataFrame, types: Sequence[str], max_hops: int = 4, top: int = 10) -> DataFrame:
+    """Nodes of each type within max_hops of both ends of a pair, ends left out: of a type the ``top`` nearest by summed
+    distance, then by falling degree, then by index."""
     ball = khop(neighbours, pairs.select(F.explode(F.array("drug_idx", "gene_idx")).alias("source")), max_hops)
-    wanted = ball.join(nodes.filter(F.col("node_type") == node_type).select(F.col("node_index").alias("node")), "node", "left_semi")
-    a = wanted.select(F.col("source").alias("drug_idx"), "node", F.col("distance").alias("da"))
-    b = wanted.select(F.col("source").alias("gene_idx"), "node", F.col("distance").alias("db"))
+    wanted = ball.join(nodes.filter(F.col("node_type").isin(*types)).select(F.col("node_index").alias("node"), "node_type"), "node")
+    a = wanted.select(F.col("source").alias("drug_idx"), "node", "node_type", F.col("distance").alias("drug_distance"))
+    b = wanted.select(F.col("source").alias("gene_idx"), "node", F.col("distance").alias("gene_distance"))
     met = pairs.select("drug_idx", "gene_idx").distinct().join(a, "drug_idx").join(b, ["gene_idx", "node"]).filter("node <> drug_idx AND node <> gene_idx")
-    ranked = met.join(degree.select(F.col("node_idx").alias("node"), "degree"), "node").withColumn("distance", F.col("da") + F.col("db"))
-    best = Window.partitionBy("drug_idx", "gene_idx").orderBy("distance", F.desc("degree"), "node")
-    return ranked.withColumn("place", F.row_number().over(best).cast("bigint")).filter(F.col("place") <= top).select("drug_idx", "gene_idx", "node", "distance", "degree", "place")
+    ranked = met.join(degree.select(F.col("node_idx").alias("node"), "degree"), "node").withColumn("distance", F.col("drug_distance") + F.col("gene_distance"))
+    best = Window.partitionBy("drug_idx", "gene_idx", "node_type").orderBy("distance", F.desc("degree"), "node")
+    kept = ranked.withColumn("place", F.row_number().over(best).cast("bigint")).filter(F.col("place") <= top)
+    return kept.select("drug_idx", "gene_idx", "node_type", "node", "drug_distance", "gene_distance", "distance", "degree", "place")
+
+
+def shared_khop(neighbours: DataFrame, pairs: DataFrame, nodes: DataFrame, degree: DataFrame, node_type: str, max_hops: int = 2, top: int = 10) -> DataFrame:
+    """shared_by_type of one type."""
+    return shared_by_type(neighbours, pairs, nodes, degree, [node_type], max_hops, top).select("drug_idx", "gene_idx", "node", "distance", "degree", "place")

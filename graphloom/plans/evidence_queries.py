@@ -34,6 +34,12 @@ def _shared(s: SparkSession, d: str) -> DataFrame:
     return paths.shared_khop(_neighbours(s, d), _asked(s, d), t(s, d, "nodes"), degree, "variant", max_hops=1)
 
 
+def _shared_all(s: SparkSession, d: str) -> DataFrame:
+    """Shared nodes as the reference has them: four hops, three types."""
+    degree = gb.simple_degree(gb.undirected_edges(t(s, d, "edges")))
+    return paths.shared_by_type(_neighbours(s, d), _asked(s, d), t(s, d, "nodes"), degree, ["gene", "variant", "phenotype"])
+
+
 # Candidates of a drug: as many as the SQL of the plain names states, and the operator's whole list for the names with _25.
 FEW, WHOLE = 5, 25
 
@@ -74,8 +80,16 @@ def _explained(s: SparkSession, d: str) -> DataFrame:
 
 def _explanations(s: SparkSession, d: str) -> DataFrame:
     asked, near = _asked(s, d), _neighbours(s, d)
-    found = paths.shortest_paths(near, asked, 2)
-    return found.join(paths.path_strings(near, asked, t(s, d, "nodes").withColumn("node_name", tx.clean_text("node_name"))), ["drug_idx", "gene_idx"], "left")
+    nodes = t(s, d, "nodes").withColumn("node_name", tx.clean_text("node_name"))
+    found = paths.all_shortest_paths(near, asked)
+    out = found.join(paths.path_strings(near, asked, nodes), ["drug_idx", "gene_idx"], "left")
+    names = nodes.select(F.col("node_index").alias("node"), F.coalesce("node_name", F.col("node_index").cast("string")).alias("name"))
+    said = F.format_string("%s(d=%d,g=%d)", "name", "drug_distance", "gene_distance")
+    lists = _shared_all(s, d).join(names, "node").groupBy("drug_idx", "gene_idx", "node_type").agg(F.array_sort(F.collect_list(F.struct("place", said.alias("t")))).alias("l"))
+    for kind in ("gene", "variant", "phenotype"):
+        one = lists.filter(F.col("node_type") == kind).select("drug_idx", "gene_idx", F.array_join(F.transform("l", lambda x: x["t"]), "; ").alias(f"shared_{kind}s"), F.size("l").cast("bigint").alias(f"n_shared_{kind}s"))
+        out = out.join(one, ["drug_idx", "gene_idx"], "left").fillna({f"shared_{kind}s": "", f"n_shared_{kind}s": 0})
+    return out
 
 
 def _graph(s: SparkSession, d: str) -> DataFrame:
@@ -100,6 +114,9 @@ QUERIES = {
     "khop_distances": lambda s, d: paths.khop(_neighbours(s, d), _asked(s, d).select(F.col("drug_idx").alias("source")), 2),
     "shortest_paths": lambda s, d: paths.shortest_paths(_neighbours(s, d), _asked(s, d), 3),
     "shared_khop": _shared,
+    "khop_distances_4": lambda s, d: paths.khop(_neighbours(s, d), _asked(s, d).select(F.col("drug_idx").alias("source")), 4),
+    "shortest_paths_all": lambda s, d: paths.all_shortest_paths(_neighbours(s, d), _asked(s, d)),
+    "shared_khop_4": _shared_all,
     "explanations": _explanations,
     "phenotype_one_hop": lambda s, d: ev.phenotype_one_hop(t(s, d, "edges")),
     "phenotype_two_hop": lambda s, d: ev.phenotype_two_hop(t(s, d, "edges")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import pytest
 
 from graphloom.plans import evidence_queries as eq
@@ -27,3 +29,57 @@ def test_explanations_are_of_all_candidates(spark, duck):  # noqa: F811
     got = {(r["drug_idx"], r["gene_idx"], round(r["integrated_score"], 5)) for r in eq.QUERIES["integrated_explanations"](spark, str(TABLES)).collect()}
     want = duck.sql(f"SELECT drug_idx, gene_idx, integrated_score FROM ({whole_list('integrated_scores')}) ORDER BY integrated_score DESC, drug_idx, gene_idx LIMIT 50").fetchall()
     assert got == {(d, g, round(x, 5)) for d, g, x in want}
+
+
+@pytest.fixture(scope="module")
+def searched(duck):  # noqa: F811
+    """Of each asked pair its drug's and its gene's distances and path numbers, breadth first without a limit."""
+    near = defaultdict(set)
+    for u, v in duck.sql(f"WITH {eq._SYM} SELECT * FROM sym").fetchall():
+        near[u].add(v)
+
+    def reach(source):
+        seen, ways, level, hop = {source: 0}, {source: 1}, [source], 0
+        while level:
+            hop, after = hop + 1, Counter()
+            for u in level:
+                for v in near[u]:
+                    if v not in seen:
+                        after[v] += ways[u]
+            seen |= dict.fromkeys(after, hop)
+            ways |= after
+            level = list(after)
+        return seen, ways
+
+    pairs = duck.sql(f"WITH {eq._POOL} SELECT drug_idx, gene_idx FROM asked").fetchall()
+    return {(d, g): (*reach(d), reach(g)[0]) for d, g in pairs}
+
+
+def test_distances_and_paths_have_no_short_limit(spark, searched):
+    got = {(r["source"], r["node"], r["distance"]) for r in eq.QUERIES["khop_distances_4"](spark, str(TABLES)).collect()}
+    assert got == {(d, n, k) for (d, _), (seen, _, _) in searched.items() for n, k in seen.items() if k <= 4}
+    found = {(r["drug_idx"], r["gene_idx"], r["length"], r["n_paths"]) for r in eq.QUERIES["shortest_paths_all"](spark, str(TABLES)).collect()}
+    assert found == {(d, g, seen.get(g), ways.get(g, 0)) for (d, g), (seen, ways, _) in searched.items()}
+
+
+def test_paths_longer_than_the_near_search(spark):
+    steps = [(i, i + 1) for i in range(9)] + [(20, 21)]
+    near = spark.createDataFrame([*steps, *((v, u) for u, v in steps)], "u bigint, v bigint")
+    pairs = spark.createDataFrame([(0, 9), (0, 3), (0, 21)], "drug_idx bigint, gene_idx bigint")
+    got = {tuple(r) for r in eq.paths.all_shortest_paths(near, pairs).collect()}
+    assert got == {(0, 9, 9, 1), (0, 3, 3, 1), (0, 21, None, 0)}
+
+
+def test_shared_nodes_of_three_types_within_four_hops(spark, duck, searched):  # noqa: F811
+    kinds = dict(duck.sql("SELECT node_index, node_type FROM nodes").fetchall())
+    got = defaultdict(list)
+    for r in eq.QUERIES["shared_khop_4"](spark, str(TABLES)).collect():
+        got[r["drug_idx"], r["gene_idx"], r["node_type"]].append(r["distance"])
+    said = {(r["drug_idx"], r["gene_idx"]): r for r in eq.QUERIES["explanations"](spark, str(TABLES)).collect()}
+    assert set(said) == set(searched)
+    for (d, g), (a, _, b) in searched.items():
+        assert said[d, g]["length"] == a.get(g)
+        for kind in ("gene", "variant", "phenotype"):
+            want = sorted(a[n] + b[n] for n in a if n in b and a[n] <= 4 and b[n] <= 4 and kinds.get(n) == kind and n not in (d, g))[:10]
+            assert sorted(got[d, g, kind]) == want
+            assert said[d, g][f"n_shared_{kind}s"] == len(want) and said[d, g][f"shared_{kind}s"].count("(d=") == len(want)
