@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.positions import count_greater, global_position
+from graphloom.operators.positions import count_greater, global_position, with_position
+from graphloom.session import cut_lineage
 
 # The calibration grid, in the order in which ties are broken.
 ALPHAS = (-2.0, -1.0, -0.5, -0.25, -0.10, -0.05, 0.0, 0.05, 0.10, 0.25, 0.5, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0)
@@ -97,7 +98,8 @@ def negative_samples(positives: DataFrame, genes: DataFrame, known: DataFrame, k
 
     genes has gene_idx and a contiguous ``local_index``. Draws are uniform with replacement and fixed
     by md5 of seed, pair and attempt; draws that hit a known positive are passed over. Of the given
-    attempts the first k that stand are kept, so a pair can have fewer only if its drug knows nearly all genes.
+    attempts the first k that stand are kept. A pair that has fewer gets the rest, as attempts beyond the given ones,
+    by draws among the places its drug doesn't know; a drug that knows all genes is an error.
     """
     if k < 1 or attempts < k:
         raise ValueError("k must be at least 1 and attempts at least k")
@@ -110,7 +112,27 @@ def negative_samples(positives: DataFrame, genes: DataFrame, known: DataFrame, k
         .join(known.select("drug_idx", F.col("gene_idx").alias("negative_idx")), ["drug_idx", "negative_idx"], "left_anti")
     )
     first = Window.partitionBy("drug_idx", "gene_idx").orderBy("attempt")  # at most ``attempts`` rows
-    return draws.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k).select("drug_idx", "gene_idx", F.col("attempt").cast("bigint").alias("attempt"), "negative_idx")
+    kept = cut_lineage(draws.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k).select("drug_idx", "gene_idx", F.col("attempt").cast("bigint").alias("attempt"), "negative_idx"))
+    had = kept.groupBy("drug_idx", "gene_idx").agg(F.count(F.lit(1)).alias("had"))
+    pairs = positives.filter("drug_idx IS NOT NULL AND gene_idx IS NOT NULL").select("drug_idx", "gene_idx").distinct()
+    lacking = cut_lineage(pairs.join(had, ["drug_idx", "gene_idx"], "left").withColumn("had", F.coalesce("had", F.lit(0))).filter(F.col("had") < k))
+    if lacking.isEmpty():
+        return kept
+    free = cut_lineage(
+        lacking.select("drug_idx").distinct().crossJoin(genes.select(F.col("gene_idx").alias("negative_idx"), "local_index"))
+        .join(known.select("drug_idx", F.col("gene_idx").alias("negative_idx")), ["drug_idx", "negative_idx"], "left_anti")
+    )
+    sizes = free.groupBy("drug_idx").agg(F.count(F.lit(1)).alias("n_free"))
+    none = lacking.join(sizes, "drug_idx", "left_anti").select("drug_idx").head(1)
+    if none:
+        raise ValueError(f"drug {none[0]['drug_idx']} knows all genes; there is no negative for it")
+    numbered = with_position(free, ["drug_idx"], ["local_index"], "__place", buckets=64)
+    more = (
+        lacking.select("drug_idx", "gene_idx", F.explode(F.sequence(F.lit(attempts + 1).cast("bigint"), F.lit(attempts + k) - F.col("had"))).alias("attempt")).join(sizes, "drug_idx")
+        .withColumn("__place", F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % F.col("n_free"))
+        .join(numbered.select("drug_idx", "__place", "negative_idx"), ["drug_idx", "__place"])
+    )
+    return kept.unionByName(more.select("drug_idx", "gene_idx", "attempt", "negative_idx"))
 
 
 def weighted_negatives(positives: DataFrame, degree: DataFrame, known: DataFrame, k: int, seed: int, attempts: int = 16, power: float = 0.75, grain: int = 16) -> DataFrame:

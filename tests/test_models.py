@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -58,3 +60,18 @@ def test_weighted_negatives_follow_degree(spark):
 def test_plain_split_sizes(spark):
     rows = sp.plain_split(spark.range(200).withColumnRenamed("id", "drug_idx"), 42).groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in rows} == {"train": 140, "validation": 30, "test": 30}
+
+
+def test_negatives_of_a_drug_that_knows_most_genes(spark):
+    genes = spark.createDataFrame([(i, i - 100) for i in range(100, 600)], "gene_idx bigint, local_index bigint")
+    known = spark.createDataFrame([(1, i) for i in range(100, 595)] + [(2, 100)], "drug_idx bigint, gene_idx bigint")
+    got = rk.negative_samples(known, genes, known, 3, 7).collect()
+    assert Counter((r["drug_idx"], r["gene_idx"]) for r in got) == {(r["drug_idx"], r["gene_idx"]): 3 for r in known.collect()}
+    mine = Counter(r["negative_idx"] for r in got if r["drug_idx"] == 1)
+    assert set(mine) == set(range(595, 600)) and min(mine.values()) > 200
+    degree = spark.createDataFrame([(i, 50 if i < 595 else 1) for i in range(100, 600)], "gene_idx bigint, degree bigint")
+    got = rk.weighted_negatives(known, degree, known, 3, 7)
+    assert got.count() == 3 * known.count()
+    assert sorted(got.collect()) == sorted(rk.weighted_negatives(known.repartition(7), degree, known, 3, 7).collect())
+    with pytest.raises(ValueError, match="drug 1 knows all"):
+        rk.negative_samples(known, genes.filter("gene_idx < 110"), known, 3, 7)
