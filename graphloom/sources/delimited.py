@@ -66,7 +66,7 @@ def parse_gmt(lines: DataFrame, source: Column | str) -> DataFrame:
     fields = lines.withColumn("f", F.split("value", "\t")).filter(F.size("f") >= 3).withColumn("source", source if isinstance(source, Column) else F.lit(source))
     order = F.col("line_no") if "line_no" in lines.columns else F.monotonically_increasing_id()
     last = fields.withColumn("n", order).groupBy("source", F.trim(F.col("f")[0]).alias("set_id")).agg(F.max_by("f", "n").alias("f"))
-    genes = F.array_distinct(F.filter(F.transform(F.slice("f", 3, 100_000), lambda g: F.upper(F.trim(g))), lambda g: ~F.lower(g).isin(*tx.NULL_TEXT)))
+    genes = F.array_distinct(F.filter(F.transform(F.slice("f", F.lit(3), F.size("f") - 2), lambda g: F.upper(F.trim(g))), lambda g: ~F.lower(g).isin(*tx.NULL_TEXT)))
     return last.select("source", "set_id", F.explode(genes).alias("gene"))
 
 

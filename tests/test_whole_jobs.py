@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from graphloom.plans import evidence_queries as eq
+from graphloom.sources.delimited import parse_gmt
 from tests.test_oracle import TABLES, bag, duck  # noqa: F401
 
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
@@ -83,3 +84,8 @@ def test_shared_nodes_of_three_types_within_four_hops(spark, duck, searched):  #
             want = sorted(a[n] + b[n] for n in a if n in b and a[n] <= 4 and b[n] <= 4 and kinds.get(n) == kind and n not in (d, g))[:10]
             assert sorted(got[d, g, kind]) == want
             assert said[d, g][f"n_shared_{kind}s"] == len(want) and said[d, g][f"shared_{kind}s"].count("(d=") == len(want)
+
+
+def test_a_large_gene_set_is_whole(spark):
+    line = "\t".join(["S", "about", *(f"G{i}" for i in range(100_005))])
+    assert parse_gmt(spark.createDataFrame([(line,)], "value string"), "X").count() == 100_005
