@@ -1,300 +1,337 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
-Two kinds of evidence are joined. Phrases: each text is cut into segments, and every five-word
-shingle of a segment (entity-like words masked; all words of a shorter segment) is exploded over the
-whole corpus to count the distinct hosts (sources) that use it; a page's share of words that shingles
-of several hosts cover tells what it is stitched from. List density: the
-share of words in links, navigation, listings, repeated segments and keyword runs, against the share
-in sentences and notes. A small boosted-tree model, fitted on a bounded sample of hand-labelled
-pages, weighs both.
+A page is flagged when most of its words stand in phrases that are replicated on other hosts, and the replicated words
+are those of lists rather than of sentences. Phrases: each text is cut into segments, and every five-word shingle of
+a segment, taken as the set of its words, is exploded over the whole corpus to count the distinct hosts (sources) that
+use it; of a segment of under five words, all its words are one. List density is measured on the replicated words
+alone: their shares in links, short or repeated segments, listings, sentences. A word that no other host's phrase covers adds to
+no feature, so without replication no page is found.
+
+No list of words is given. Which words keep their letters in a phrase is a matter of how many pages use them, and
+which speak for lists or for prose is learned from a bounded sample of hand-labelled pages, as is the weight of each feature.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.session import cut_lineage, spread_input
 
 SHINGLE = 5
-
-# Function words of en, de, fr and es.
-FUNCTION_WORDS = """
-the of and in was were is are a an to for with that this these those not by at be been has had have than or on from as it its if when which
-who whose may did does but no into between after before during about because since while per all only both each other such their they we i my our you your
-der die das den dem des ein eine einen einem und in im ist war waren wurde wurden mit nicht bei von vom zu zum zur auf für auch sich als nach vor durch über aus am an wird werden
-hat haben aber keine keinen oder noch seit mir es ich wir meine
-le la les un une des du de et en est était a été ont dans pour pas par sur avec au aux que qui ne ce cette ces se son sa ses plus ou mais mon ma je il elle chez après avant aucun
-el los las unos unas y es fue fueron con para por no del al se su sus lo que como más pero sin o mi me hay después antes entre
-""".split()
-# Words of offers in en, de, fr and es.
-OFFER_WORDS = """
-buy cheap cheapest discount sale sales price prices pricing order online shipping delivery overnight prescription generic brand pills pill tablets tablet tabs caps pcs bonus
-free kit best offer offers deal deals shop store pharmacy coupon rx stock sold sku dosage fast save now cart checkout
-kaufen billig günstig preis preise rabatt versand gutschein rezept rezeptfrei ohne bestellen angebot apotheke tabletten lieferung bestes
-acheter pas cher prix promo remise livraison ordonnance sans comprimés commander pharmacie générique meilleur
-comprar barato barata precio oferta descuento envío receta pastillas farmacia pedido pedir genérico gratis mejor cuánto dónde
-""".split()
-# Words of navigation and of terse case notes.
-NAVIGATION_WORDS = "home index start search login help contact sitemap menu next previous back top a-z drugs genes tests about register archive news".split()
-NOTE_WORDS = """
-pt y yo bd od tds qds nocte mane mg weight kg egfr trough target lfts bloods bp review switched reported resolved tolerated family informed agrees dose halved kept pm im um em
-awaiting result normal day repeated
-""".split()
+FOLDS = 3
 
 SEGMENT = re.compile(r"\n+|\s(?:[|/»›>•·*\-–—~#]|::|->)\s|;\s|</?(?:p|li|br|ul|td|tr|div)/?>|(?<=[.!?])\s+")
 LINK = re.compile(r"://|^\(?www\.|^\(?[a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2,8}/", re.I)
 ANCHOR = re.compile(r"<a\s[^>]*>(.*?)</a>|\[([^\]\n]*)\]\((?:https?:|www\.|/)[^)\s]*\)", re.S | re.I)
 GLUED = re.compile(r"(?<=\w)(?=[#@]\w)")
 MONEY = re.compile(r"^[€$£]|^(?:usd|eur|gbp|chf)$|[€$£]$", re.I)
-LEET = str.maketrans("013457@$", "oieastas")
+EDGES = ".,;:!?()[]{}\"'“”„«»<>…*|"
 
-STOP, OFFER, URL, TAG, NUMBER, PRICE, NAV, NOTE, PLAIN = range(9)
-CLASSES = 9
+URL, TAG, PRICE, NUMBER, RARE, BARE_MARK = range(6)
+KEPT = 6
 FEATURES = (
-    "function offer url tag number price nav note plain prose link_segments offer_segments short_segments repeated repeated_sentences distinct top_word "
-    "log_words ended mean_segment max_repeat offer_or_list prose_minus_list note_segments price_segments template asked linked_parts replicated hosts5"
+    "url tag price number rare mark listed_words prose_words linked short offered repeated repeated_sentences prose noted priced asked ended listed "
+    "mean_weight distinct top_word mean_segment fresh_prose log_words replicated hosts5"
 ).split()
 
 
-class _Words(dict):
-    """Number of a word; its class and mask stand in lists."""
-
-    def __init__(self, most: int = 500_000) -> None:
-        super().__init__()
-        self.most, self.kind, self.mask, self.tail, self.plain = most, [], [], [], []
-        self.sets = [(frozenset(FUNCTION_WORDS), STOP), (frozenset(OFFER_WORDS), OFFER), (frozenset(NAVIGATION_WORDS), NAV), (frozenset(NOTE_WORDS), NOTE)]
-
-    def _kind(self, word: str, bare: str) -> int:
-        if LINK.search(word):
-            return URL
-        if word[0] in "#@" and len(word) > 1:
-            return TAG
-        if MONEY.search(word):
-            return PRICE
-        for words, kind in self.sets:
-            if bare in words:
-                return kind
-        if any(c.isdigit() for c in bare):
-            flat = bare.replace("-", "").translate(LEET)
-            if flat.isalpha() and not bare[0].isdigit() and flat in self.sets[1][0] or flat in self.sets[1][0]:
-                return OFFER
-            return NUMBER
-        if "-" in bare and bare.replace("-", "") in self.sets[1][0]:
-            return OFFER
-        return PLAIN
-
-    def __missing__(self, word: str) -> int:
-        bare = word.strip(".,;:!?()[]{}\"'“”„«»<>…").lower()
-        kind = self._kind(word, bare) if bare else PLAIN
-        entity = kind in (URL, TAG, NUMBER) or len(bare) > 9 or bare != bare.lower() or (word.isupper() and len(word) > 1)
-        masked = 1 if entity else xxhash.xxh64_intdigest(bare.encode()) >> 1
-        self[word] = n = len(self.kind)
-        self.kind.append(kind)
-        self.mask.append(masked)
-        self.tail.append(2 if word[-1] == "?" else 1 if word[-1] in ".!" or word[-2:] in (".)", '."', ".”") else 0)
-        self.plain.append(xxhash.xxh64_intdigest(bare.encode()) >> 1)
-        return n
-
-
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
-
-
-def _rolled(mask: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the five words from each word on, and of all words of each segment."""
-    n = len(mask)
-    m = mask.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        rolled = np.zeros(n, np.uint64)
-        for k in range(SHINGLE):
-            part = m[k:] * _MIX[k]
-            rolled[: max(0, n - k)] ^= (part ^ (part >> np.uint64(29))) * _MIX[(k + 1) % SHINGLE]
-        return rolled, np.add.reduceat(m * _MIX[0] ^ (m >> np.uint64(7)), starts) * _MIX[1]
-
-
-def _shingle_starts(lengths: np.ndarray) -> np.ndarray:
-    """Of all words of segments of these lengths: whether a shingle starts there. A segment of under five words is one."""
-    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return (place == 0) | (place <= np.repeat(lengths, lengths) - SHINGLE)
-
+def _linked_words(found: re.Match) -> str:
+    """Every word of a link's text as a link."""
+    return " " + " ".join(["://"] * max(1, len((found[1] or found[2] or "").split()))) + " "
 
-def _shingles(mask: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Every five-word shingle of each segment, in order; of a shorter segment, all its words."""
-    starts = np.cumsum(lengths) - lengths
-    rolled, whole = _rolled(mask, starts)
-    short = lengths < SHINGLE
-    rolled[starts[short]] = whole[short]
-    return rolled[_shingle_starts(lengths)].astype(np.int64)
 
+def _pack(values: np.ndarray | str) -> bytes:
+    return zlib.compress(values.encode("utf-8", "surrogatepass") if isinstance(values, str) else values.tobytes(), 1)
 
-def _covered(hit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Of all words of segments of these lengths: whether a shingle that is hit covers the word."""
-    start = np.flatnonzero(_shingle_starts(lengths))[hit]
-    span = np.minimum(np.repeat(lengths, lengths), SHINGLE)[start]
-    n = int(lengths.sum())
-    return (np.bincount(start, minlength=n + 1) - np.bincount(start + span, minlength=n + 1)).cumsum()[:n] > 0
 
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
 
-def _signatures(mask: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Least five-word shingle of each segment, by which a page's repeated segments are told; of a shorter segment, all its words."""
-    rolled, short = _rolled(mask, starts)
-    segment = np.repeat(np.arange(len(starts)), lengths)
-    inside = np.arange(len(mask)) - starts[segment] <= lengths[segment] - SHINGLE
-    least = np.minimum.reduceat(np.where(inside, rolled, np.uint64(2**64 - 1)), starts)
-    return np.where(lengths >= SHINGLE, least, short).astype(np.int64)
 
+def bare_word(token: str) -> str:
+    return token.strip(EDGES).lower()
 
-def _linked_words(found: re.Match) -> str:
-    """Every word of a link's text as a link."""
-    return " " + " ".join(["://"] * max(1, len((found[1] or found[2] or "").split()))) + " "
 
+def page_blocks(documents: DataFrame, words_each: int = 1_000_000) -> DataFrame:
+    """Tokenised pages, many to a row: block, pages (their number), and as packed arrays doc_ids, hosts, the number of
+    segments of each page, the number of words of each segment, the code of each word and the tokens that codes stand for.
 
-def _mixed(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return values.astype(np.uint64) * _MIX[0] ^ (owner.astype(np.uint64) + np.uint64(1)) * _MIX[1]
-
-
-def page_evidence(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of pages: list-density features (one row a page), of all their segments the page and the
-    number of words, and the shingles of all segments. For list density alone, long segments are cut into blocks."""
-    features = np.zeros((len(texts), len(FEATURES) - 2))
-    flat: list[int] = []
-    lengths, page = array("q"), array("q")
-    whole, whole_page = array("q"), array("q")
-    number = words.__getitem__
-    for i, text in enumerate(texts):
-        if text and ("<a " in text or "](" in text):
-            text = ANCHOR.sub(_linked_words, text)
-        if text and ("#" in text or "@" in text):
-            text = GLUED.sub(" ", text)
-        for part in SEGMENT.split(text) if text else ():
-            if part and (s := part.split()):
-                flat.extend(map(number, s))
-                n = len(s)
-                whole.append(n)
-                whole_page.append(i)
-                for k in (n,) if n <= 40 else (*[20] * (n // 20), *([n % 20] if n % 20 else [])):
-                    lengths.append(k)
-                    page.append(i)
-    length, page = np.array(lengths, np.int64), np.array(page, np.int64)
-    whole, whole_page = np.array(whole, np.int64), np.array(whole_page, np.int64)
-    if not len(length):
-        return features, whole_page, whole, length
-    numbers = np.array(flat, np.int64)
-    starts = np.concatenate([[0], np.cumsum(length)[:-1]])
-    kind = np.array(words.kind, np.int8)[numbers]
-    counts = np.stack([np.add.reduceat((kind == c).astype(np.int64), starts) for c in range(CLASSES)])
-    share = counts / length
-    mask = np.array(words.mask, np.int64)[numbers]
-    keys = _signatures(mask, starts, length)
-    tail = np.array(words.tail, np.int8)[numbers[starts + length - 1]]
-    ended = tail > 0
-    _, where, times = np.unique(_mixed(keys, page), return_inverse=True, return_counts=True)
-    times = times[where]
-    linked = (share[URL] + share[TAG] >= 0.3) | ((counts[URL] >= 1) & (length <= 14))
-    offered = share[OFFER] >= 0.3
-    priced = (counts[PRICE] >= 1) & (share[NUMBER] + share[PRICE] + share[OFFER] >= 0.3)
-    noted = share[NOTE] + share[NUMBER] >= 0.4
-    prose = (share[STOP] >= 0.2) & (length >= 5) & ~linked & ~offered
-    short = (length <= 4) & (share[STOP] == 0) & ~noted
-    many = times >= 3
-    listed = linked | offered | priced | (short & ~prose)
-    pages, first = np.unique(page, return_index=True)
-    total = np.add.reduceat(length, first).astype(float)
-    segments = np.diff([*first, len(page)])
-    w = lambda hit: np.add.reduceat(length * hit, first) / total
-    owner = np.repeat(page, length)
-    free = kind != STOP
-    plain = _mixed(np.array(words.plain, np.int64)[numbers[free]], owner[free])
-    _, at, spread = np.unique(plain, return_index=True, return_counts=True)
-    distinct, top, every = (np.zeros(len(texts)) for _ in range(3))
-    np.add.at(distinct, owner[free][at], 1)
-    np.maximum.at(top, owner[free][at], spread)
-    np.add.at(every, owner[free], 1)
-    every = np.maximum(every, 1)
-    features[pages] = np.column_stack(
-        [
-            *(np.add.reduceat(c, first) / total for c in counts),
-            w(prose), w(linked), w(offered), w(short), w(many), w(many & ended),
-            (distinct / every)[pages], (top / every)[pages], np.log1p(total), w(ended), total / segments,
-            np.maximum.reduceat(times, first) / segments, w(listed), w(prose) - w(listed), w(noted & ~priced), w(priced), w(many & ~ended & ~noted),
-            w(tail == 2), np.add.reduceat(linked.astype(float), first) / segments,
-        ]
-    )
-    return features, whole_page, whole, _shingles(mask, whole)
-
-
-def page_features(documents: DataFrame) -> DataFrame:
-    """(doc_id, features): list-density evidence of each page joined with its shares of words that shingles of at
-    least two, and at least five, hosts cover. Null, empty and blank texts have zeros throughout; a null host is a host.
-
-    The pages of an Arrow batch are one row: its distinct shingles meet the corpus once, whatever number of pages use
-    them, and each page's shingles are ordinals among them.
+    A block ends with the page that fills it, so its size is bounded but for a single longer page. Texts are split once and
+    stored; whatever is asked later runs on numbers.
     """
     source = spread_input(documents.select("doc_id", F.xxhash64(F.coalesce("source", F.lit(""))).alias("host"), F.col("text").cast("string").alias("text")))
-    width = len(FEATURES) - 2
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            if len(words) > words.most:
-                words = _Words()
-            features, page, lengths, shingles = page_evidence(batch.column(2).to_pylist(), words)
-            phrases, at = np.unique(shingles, return_inverse=True)
-            hosts, host = np.unique(batch.column(1).to_numpy(), return_inverse=True)
-            owner = host[np.repeat(page, np.maximum(1, lengths - SHINGLE + 1))]
-            pairs = np.unique(at * max(1, len(hosts)) + owner)
-            segments = np.bincount(page, minlength=batch.num_rows)
-            arrays = (
-                batch.column(0), pa.array(features.astype(np.float32).ravel()), pa.array(segments.astype(np.int32)), pa.array(lengths.astype(np.int32)),
-                pa.array(phrases), pa.array(at.astype(np.int32)), pa.array(hosts), pa.array(pairs),
-            )
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays], names=names)
-
-    names = ["doc_ids", "features", "segments", "lengths", "phrases", "at", "hosts", "pairs"]
-    kinds = ["bigint", "float", "int", "int", "bigint", "int", "bigint", "bigint"]
-    blocks = source.mapInArrow(read, ", ".join(f"{n} array<{k}>" for n, k in zip(names, kinds, strict=True)))
-    blocks = cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()))
+        codes: dict[str, int] = {}
+        doc_ids, hosts, segments, lengths, flat = [], [], array("i"), array("i"), array("i")
+
+        def block() -> pa.RecordBatch:
+            packed = [
+                _pack(np.array(doc_ids, np.int64)), _pack(np.array(hosts, np.int64)), _pack(np.array(segments)), _pack(np.array(lengths)),
+                _pack(np.array(flat)), _pack("\n".join(codes)),
+            ]
+            return pa.RecordBatch.from_arrays([pa.array([len(doc_ids)], pa.int32()), *[pa.array([p], pa.binary()) for p in packed]], names=names)
 
-    def used_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                phrases, hosts, pairs = (c[i].values.to_numpy() for c in batch.columns)
-                phrase, host = np.divmod(pairs, max(1, len(hosts)))
-                yield pa.RecordBatch.from_arrays([pa.array(phrases[phrase]), pa.array(hosts[host])], names=["phrase", "host"])
+            for doc_id, host, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                doc_ids.append(doc_id)
+                hosts.append(host)
+                if text and ("<a " in text or "](" in text):
+                    text = ANCHOR.sub(_linked_words, text)
+                if text and ("#" in text or "@" in text):
+                    text = GLUED.sub(" ", text)
+                before = len(lengths)
+                for part in SEGMENT.split(text) if text else ():
+                    if part and (tokens := part.split()):
+                        for token in tokens:
+                            code = codes.get(token)
+                            if code is None:
+                                code = codes[token] = len(codes)
+                            flat.append(code)
+                        lengths.append(len(tokens))
+                segments.append(len(lengths) - before)
+                if len(flat) >= words_each or len(doc_ids) >= words_each:
+                    yield block()
+                    codes = {}
+                    doc_ids, hosts, segments, lengths, flat = [], [], array("i"), array("i"), array("i")
+        if doc_ids:
+            yield block()
+
+    names = ["pages", "doc_ids", "hosts", "segments", "lengths", "codes", "tokens"]
+    made = source.filter("doc_id IS NOT NULL").mapInArrow(read, "pages int, " + ", ".join(f"{n} binary" for n in names[1:]))
+    return cut_lineage(made.withColumn("block", F.monotonically_increasing_id()))
+
+
+class _Block:
+    """One row of page_blocks, unpacked, with its words read by a vocabulary."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        doc_ids, hosts, segments, lengths, codes, tokens = packed
+        self.doc_ids, self.hosts = _unpack(doc_ids, np.int64), _unpack(hosts, np.int64)
+        self.segments, self.lengths, self.codes = (_unpack(d, np.int32) for d in (segments, lengths, codes))
+        text = zlib.decompress(tokens).decode("utf-8", "surrogatepass")
+        self.tokens = text.split("\n") if text else []
+        self.page_of_segment = np.repeat(np.arange(len(self.doc_ids)), self.segments)
+        self.page = np.repeat(self.page_of_segment, self.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def masks(self, vocabulary: dict[str, int]) -> np.ndarray:
+        """Of each token: KEPT and its number in the vocabulary, or else the kind of word it is."""
+        out = np.empty(len(self.tokens), np.int32)
+        for i, token in enumerate(self.tokens):
+            if LINK.search(token):
+                out[i] = URL
+            elif token[0] in "#@" and len(token) > 1:
+                out[i] = TAG
+            elif MONEY.search(token):
+                out[i] = PRICE
+            else:
+                bare = bare_word(token)
+                n = vocabulary.get(bare)
+                if n is not None:
+                    out[i] = KEPT + n
+                elif not bare:
+                    out[i] = BARE_MARK
+                else:
+                    out[i] = NUMBER if any(c.isdigit() for c in bare) else RARE
+        return out
+
+    def phrases(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first word, key and number of words of every phrase; word has the mask of each word.
+
+        The key doesn't depend on the order or the repetition of the words: each distinct one adds its hash once.
+        """
+        n = len(word)
+        length = np.repeat(self.lengths, self.lengths)
+        place = np.arange(n, dtype=np.int32) - np.repeat(self.starts, self.lengths).astype(np.int32)
+        left = length - place
+        with np.errstate(over="ignore"):
+            mixed = (np.arange(int(word.max(initial=0)) + 1, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            hashed = (mixed ^ (mixed >> np.uint64(31)))[word]
+            key = hashed.copy()
+            for j in range(1, min(SHINGLE, n)):
+                new = left[:-j] > j
+                for k in range(j):
+                    new &= word[j:] != word[k : n - j + k]
+                key[:-j] += np.where(new, hashed[j:], np.uint64(0))
+        first = np.flatnonzero((place == 0) | (left >= SHINGLE))
+        return first, key[first].view(np.int64), np.minimum(left[first], SHINGLE)
+
+
+def _each(batches: Iterator[pa.RecordBatch], extra: int = 0) -> Iterator[tuple[_Block, list]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            values = [c[i] for c in batch.columns]
+            yield _Block([v.as_py() for v in values[:6]]), values[6 : 6 + extra]
+
+
+PACKED = ("doc_ids", "hosts", "segments", "lengths", "codes", "tokens")
+
+
+def word_table(blocks: DataFrame, hand: dict[int, tuple[int, int, int]], share: float = 0.005) -> tuple[dict[str, int], np.ndarray]:
+    """The vocabulary, and the weight of each of its words for pages of each fold and (last row) of none.
+
+    The vocabulary is the words without digits that at least ``share`` of all pages use: at most 1 / share times the words of a mean page.
+    hand gives for labelled pages their fold and how often they are labelled stuffed and not. A word's weight is the log
+    of its rate among stuffed pages over that among others, counted without the pages of the fold, so a page's own label
+    doesn't weigh its words.
+    """
 
-    pairs = blocks.select("phrases", "hosts", "pairs").mapInArrow(used_by, "phrase bigint, host bigint")
-    hosts = pairs.groupBy("phrase", "host").agg(F.lit(1).alias("one")).groupBy("phrase").agg(F.count("one").alias("hosts")).filter("hosts > 1")
-    used = blocks.select("block", F.posexplode("phrases").alias("ordinal", "phrase"))
-    shared = used.join(hosts, "phrase").groupBy("block").agg(F.collect_list(F.col("ordinal") * 2 + (F.col("hosts") >= 5).cast("int")).alias("shared"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _ in _each(batches):
+            bare = [bare_word(t) for t in b.tokens]
+            number: dict[str, int] = {}
+            of = np.array([number.setdefault(w, len(number)) for w in bare], np.int64)
+            words = list(number)
+            wide = max(1, len(words))
+            used = pd.unique(b.page.astype(np.int64) * wide + of[b.codes])
+            page, word = np.divmod(used, wide)
+            columns = [np.bincount(word, minlength=len(words))]
+            marks = np.zeros((2 * FOLDS, len(b.doc_ids)), np.int64)
+            for i, doc_id in enumerate(b.doc_ids.tolist()):
+                if doc_id in hand:
+                    fold, yes, no = hand[doc_id]
+                    marks[fold, i], marks[FOLDS + fold, i] = yes, no
+            known = marks.any(axis=0)[page]
+            columns += [np.bincount(word[known], m[page[known]], len(words)).astype(np.int64) for m in marks]
+            keep = np.array([w != "" and not any(c.isdigit() for c in w) for w in words], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()).filter(pa.array(keep)), *[pa.array(c[keep], pa.int64()) for c in columns]], names=names)
+
+    names = ["word", "n", *[f"c{k}" for k in range(2 * FOLDS)]]
+    table = blocks.select(*PACKED).mapInArrow(count, "word string, " + ", ".join(f"{c} bigint" for c in names[1:]))
+    pages = blocks.agg(F.sum("pages")).first()[0] or 0
+    sums = table.groupBy("word").agg(*[F.sum(c).alias(c) for c in names[1:]]).filter(F.col("n") >= max(1.0, share * pages)).orderBy("word").collect()
+    vocabulary = {r["word"]: i for i, r in enumerate(sums)}
+    counts = np.array([r[2:] for r in sums], float).reshape(-1, 2, FOLDS)
+    total = np.zeros((2, FOLDS))
+    for fold, yes, no in hand.values():
+        total[0, fold] += yes
+        total[1, fold] += no
+    weights = np.zeros((FOLDS + 1, len(vocabulary)))
+    for k in range(FOLDS + 1):
+        others = [f for f in range(FOLDS) if f != k]
+        yes, no = counts[:, 0][:, others].sum(axis=1), counts[:, 1][:, others].sum(axis=1)
+        weights[k] = np.log((yes + 0.5) / (total[0, others].sum() + 1)) - np.log((no + 0.5) / (total[1, others].sum() + 1))
+    return vocabulary, np.clip(weights, -4, 4)
+
+
+def page_evidence(b: _Block, mask: np.ndarray, weights: np.ndarray, fold: np.ndarray, level: np.ndarray, first: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """FEATURES of the pages of a block. level gives for each phrase 0, 1 (two hosts or more) or 2 (five or more)."""
+    pages, n = len(b.doc_ids), len(b.codes)
+    out = np.zeros((pages, len(FEATURES)))
+    if not n:
+        return out
+    word = mask[b.codes]
+    covered = []
+    for least in (1, 2):
+        hit = level >= least
+        covered.append((np.bincount(first[hit], minlength=n + 1) - np.bincount(first[hit] + span[hit], minlength=n + 1)).cumsum()[:n] > 0)
+    seen = covered[0]
+    total = np.maximum(1, np.bincount(b.page, minlength=pages)).astype(float)
+    per_page = lambda hit: np.bincount(b.page, hit, pages) / total
+    kept = word >= KEPT
+    weight = np.where(kept, weights[fold[b.page], np.where(kept, word - KEPT, 0)] if weights.shape[1] else 0.0, 0.0)
+    listing, prosaic = weight >= 1, weight <= -1
+    per_segment = lambda hit: np.add.reduceat(hit.astype(float), b.starts) / b.lengths
+    url, tag, price, number = (per_segment(word == k) for k in (URL, TAG, PRICE, NUMBER))
+    lists, prose_share = per_segment(listing), per_segment(prosaic)
+    length = b.lengths
+    linked = (url + tag >= 0.3) | ((url > 0) & (length <= 14))
+    offered = lists >= 0.3
+    noted = (number >= 0.2) & ~offered & (price == 0)
+    priced = (price > 0) & (number + price + lists >= 0.3)
+    prose = (prose_share >= 0.2) & (length >= 5) & ~linked & ~offered
+    short = (length <= 4) & (prose_share == 0) & ~noted
+    last = b.codes[b.starts + length - 1]
+    tails = np.array([2 if t[-1] == "?" else 1 if t[-1] in ".!" or t[-2:] in (".)", '."', ".”") else 0 for t in b.tokens], np.int8)[last]
+    with np.errstate(over="ignore"):
+        whole = np.add.reduceat((word.astype(np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(9), b.starts) * np.uint64(0x94D049BB133111EB)
+        whole ^= b.page_of_segment.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    at, kinds = pd.factorize(whole)
+    times = np.bincount(at, minlength=len(kinds))[at]
+    ended, many = tails > 0, times >= 3
+    spread = lambda flag: per_page(seen & np.repeat(flag, length))
+    free = seen & ~prosaic
+    wide = int(word.max()) + 1
+    pair = b.page[free].astype(np.int64) * (1 << 32) + np.where(word[free] >= KEPT, word[free], b.codes[free] + wide)
+    which, pairs = pd.factorize(pair)
+    owner = pairs >> 32
+    used = np.bincount(which, minlength=len(pairs))
+    distinct = np.bincount(owner, minlength=pages)
+    top = np.zeros(pages)
+    np.maximum.at(top, owner, used)
+    count = np.maximum(1, np.bincount(b.page[free], minlength=pages))
+    replicated, segments = per_page(seen), np.maximum(1, b.segments)
+    columns = [
+        *(per_page(seen & (word == k)) for k in range(KEPT)), per_page(seen & listing), per_page(seen & prosaic),
+        spread(linked), spread(short), spread(offered), spread(many & ~ended), spread(many & ended), spread(prose), spread(noted), spread(priced),
+        spread(tails == 2), spread(ended), spread(linked | offered | priced | (short & ~prose)),
+        per_page(seen * weight), distinct / count, top / count, np.minimum(50, total / segments) * replicated, per_page(~seen & np.repeat(prose, length)),
+        np.log1p(total) * replicated, replicated, per_page(covered[1]),
+    ]
+    out[:] = np.column_stack(columns)
+    out[np.bincount(b.page, minlength=pages) == 0] = 0
+    return out
+
+
+def page_features(documents: DataFrame, hand: dict[int, tuple[int, int, int]] | None = None, share: float = 0.005, words_each: int = 1_000_000) -> DataFrame:
+    """(doc_id, features): the evidence of each page on words in phrases of at least two hosts, and the shares of words in
+    phrases of two and of five hosts. Null, empty and blank texts have zeros throughout; a null host is a host; a null doc_id gives no row.
+
+    A block's distinct phrases meet the corpus once, whatever number of its pages use them.
+    """
+    hand = hand or {}
+    blocks = page_blocks(documents, words_each)
+    vocabulary, weights = word_table(blocks, hand, share)
 
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc_ids = batch.column(0)[i].values
-                features, segments, lengths, at, found = (c[i].values.to_numpy() for c in batch.columns[1:])
-                page = np.repeat(np.repeat(np.arange(len(segments)), segments), lengths)
-                level = np.zeros(int(at.max(initial=-1)) + 1, np.int8)
-                level[found >> 1] = 1 + (found & 1)
-                level = level[at]
-                total = np.maximum(1, np.bincount(page, minlength=len(segments)))
-                shares = [np.bincount(page, _covered(level >= k, lengths), minlength=len(segments)) / total for k in (1, 2)]
-                rows = np.column_stack([features.reshape(-1, width), *shares]).astype(np.float32)
-                ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], names=["doc_id", "features"])
-
-    return (
-        blocks.join(shared, "block", "left")
-        .select("doc_ids", "features", "segments", "lengths", "at", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
-        .mapInArrow(share, "doc_id bigint, features array<float>")
-    )
+    def used_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, (block,) in _each(batches, 1):
+            first, keys, _ = b.phrases(b.masks(vocabulary)[b.codes])
+            at, phrases = pd.factorize(keys)
+            which, hosts = pd.factorize(b.hosts)
+            pairs = pd.unique(at.astype(np.int64) * max(1, len(hosts)) + which[b.page[first]])
+            pairs.sort()
+            phrase, host = np.divmod(pairs, max(1, len(hosts)))
+            lead = np.diff(phrase, prepend=-1) > 0
+            arrays = [pa.array(phrases[phrase]), pa.array(hosts[host]), pa.array(np.full(len(phrase), block.as_py(), np.int64)), pa.array(lead)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["phrase", "host", "block", "lead"])
+
+    uses = blocks.select(*PACKED, "block").mapInArrow(used_by, "phrase bigint, host bigint, block bigint, lead boolean")
+    hosts = uses.groupBy("phrase", "host").agg(F.lit(1).alias("one")).groupBy("phrase").agg(F.count("one").alias("hosts")).filter("hosts > 1")
+    shared = (
+        uses.filter("lead").select("block", "phrase").join(hosts, "phrase").groupBy("block")
+        .agg(F.collect_list("phrase").alias("phrases"), F.collect_list(F.col("hosts") >= 5).alias("many"))
+    )
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, (phrases, many) in _each(batches, 2):
+            mask = b.masks(vocabulary)
+            first, keys, span = b.phrases(mask[b.codes])
+            at, own = pd.factorize(keys)
+            level = np.zeros(len(own), np.int8)
+            if phrases.is_valid:
+                known = phrases.values.to_numpy(zero_copy_only=False)
+                order = np.argsort(known)
+                place = np.clip(np.searchsorted(known[order], own), 0, len(known) - 1)
+                hit = known[order][place] == own
+                level[hit] = 1 + many.values.to_numpy(zero_copy_only=False)[order][place][hit]
+            fold = np.array([hand[d][0] if d in hand else FOLDS for d in b.doc_ids.tolist()], np.int64)
+            rows = page_evidence(b, mask, weights, fold, level[at], first, span).astype(np.float32)
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(b.doc_ids), pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], names=["doc_id", "features"])
+
+    return blocks.join(shared, "block", "left").select(*PACKED, "phrases", "many").mapInArrow(measure, "doc_id bigint, features array<float>")
 
 
 class BoostedTrees:
@@ -362,24 +399,38 @@ def fit_trimmed(x: np.ndarray, y: np.ndarray, folds: int = 5, doubt: float = 2.0
     return BoostedTrees().fit(x[keep], y[keep])
 
 
+def labelled_pages(documents: DataFrame, labels: DataFrame, sample: int) -> list:
+    """At most ``sample`` labels of pages there are: those with the least hash of doc_id, so always the same ones."""
+    hand = labels.filter("doc_id IS NOT NULL AND is_stuffed IN (0, 1)").select("doc_id", "is_stuffed")
+    there = hand.join(documents.select("doc_id"), "doc_id", "left_semi")
+    return there.orderBy(F.xxhash64("doc_id"), "doc_id", "is_stuffed").limit(sample).collect()
+
+
 def stuffed_pages(documents: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
-    """(doc_id) of the pages in which most words stand in keywords, lists or listings.
+    """(doc_id) of the pages of which more than half of the words stand in phrases replicated on other hosts, by list density
+    in keywords, lists or listings.
 
-    The model is fitted on at most ``sample`` labelled pages (those with the least hash of doc_id, so
-    always the same ones); every page is judged, copies like originals. Labels of unknown pages and null labels are ignored; a page
-    with several labels counts with each. Without labels of both kinds nothing is found. Pages without words are never found.
+    The words' weights and the model of list density are fitted on at most ``sample`` labels (those with the least hash of
+    doc_id); every page is judged, copies like originals. Labels of unknown pages, and other than 0 and 1, are ignored; a page
+    with several labels counts with each. Without labels of both kinds nothing is found. Pages without words are never
+    found, nor is a row without doc_id. Extra columns are dropped.
     """
-    features = cut_lineage(page_features(documents))
-    hand = labels.filter("doc_id IS NOT NULL AND is_stuffed IS NOT NULL").select("doc_id", "is_stuffed")
-    rows = hand.join(features, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("features", "is_stuffed").collect()
-    x = np.array([r["features"] for r in rows], float).reshape(-1, len(FEATURES))
-    model = fit_trimmed(x, np.array([r["is_stuffed"] for r in rows], float))
-    at = FEATURES.index("log_words")
+    sampled = labelled_pages(documents, labels, sample)
+    hand: dict[int, tuple[int, int, int]] = {}
+    for r in sampled:
+        _, yes, no = hand.get(r["doc_id"], (0, 0, 0))
+        hand[r["doc_id"]] = (zlib.crc32(str(r["doc_id"]).encode()) % FOLDS, yes + r["is_stuffed"], no + 1 - r["is_stuffed"])
+    features = cut_lineage(page_features(documents, hand))
+    known = features.filter(F.col("doc_id").isin(list(hand))) if hand else features.limit(0)
+    rows = [(r["features"], y) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id", "features").collect() for y, k in ((1, hand[r["doc_id"]][1]), (0, hand[r["doc_id"]][2])) for _ in range(k)]
+    x = np.array([f for f, _ in rows], float).reshape(-1, len(FEATURES))
+    model = fit_trimmed(x, np.array([y for _, y in rows], float))
+    at = FEATURES.index("replicated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = np.array(batch.column(1).to_pylist(), float).reshape(-1, len(FEATURES))
-            hit = (model.score(given) > 0) & (given[:, at] > 0) if model.trees else np.zeros(len(given), bool)
+            given = batch.column(1).flatten().to_numpy().astype(float).reshape(-1, len(FEATURES))
+            hit = (model.score(given) > 0) & (given[:, at] > 0.5) if model.trees else np.zeros(len(given), bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit))], names=["doc_id"])
 
     return features.mapInArrow(run, "doc_id bigint")

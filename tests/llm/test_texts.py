@@ -158,7 +158,7 @@ def test_phrases_count_hosts(spark):
 
 
 def test_every_shingle_of_a_segment_counts(spark):
-    """Words beyond a segment's least shingle, and over the edges of 20-word blocks, are covered too; brute force by words."""
+    """Every word that a phrase of several hosts covers counts, a phrase being the set of its words; brute force by words."""
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
     pool = [[rng.choice(vocabulary) for _ in range(rng.choice([3, 7, 12, 50, 90]))] for _ in range(12)]
@@ -172,14 +172,33 @@ def test_every_shingle_of_a_segment_counts(spark):
     for _, parts, host in docs:
         for p in parts:
             for _, s in shingles(p):
-                hosts[tuple(sorted(s)) if len(s) < 5 else s].add(host)
+                hosts[frozenset(s)].add(host)
     want = Counter()
     for i, parts, _ in docs:
         shares = []
         for least in (2, 5):
-            hit = [{k + j for k, s in shingles(p) for j in range(len(s)) if len(hosts[tuple(sorted(s)) if len(s) < 5 else s]) >= least} for p in parts]
+            hit = [{k + j for k, s in shingles(p) for j in range(len(s)) if len(hosts[frozenset(s)]) >= least} for p in parts]
             shares.append(round(sum(map(len, hit)) / sum(map(len, parts)), 4))
         want[i, *shares] += 1
     df = spark.createDataFrame([(i, "\n".join(" ".join(p) for p in parts), host) for i, parts, host in docs], "doc_id bigint, text string, source string")
     for given in (df, df.repartition(5)):
         assert Counter((r["doc_id"], *(round(x, 4) for x in r["features"][-2:])) for r in stuffed_pages.page_features(given).collect()) == want
+    small = stuffed_pages.page_features(df, words_each=200).collect()
+    assert Counter((r["doc_id"], *(round(x, 4) for x in r["features"][-2:])) for r in small) == want
+
+
+def test_nothing_is_found_without_replication(spark):
+    """The same pages on one host: no phrase is replicated elsewhere, so no page has any evidence."""
+    rows = list(pages(200, 3))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 100], "doc_id bigint, is_stuffed bigint")
+    on = lambda hosts: spark.createDataFrame([(i, t, f"h{i % hosts}") for i, t, _ in rows], "doc_id bigint, text string, source string")
+    assert stuffed_pages.stuffed_pages(on(1), labels).collect() == []
+    assert len(stuffed_pages.stuffed_pages(on(7), labels).collect()) > 60
+    assert all(not any(r["features"]) for r in stuffed_pages.page_features(on(1)).collect() if r["doc_id"] % 5 < 1)
+
+
+def test_page_columns_and_copies(spark):
+    rows = [(1, "a b\u2028c d e f", None, "x"), (1, "a b\u2028c d e f", "h", "x"), (None, "a b c", "h", "y"), (2, "\ud83d\ude00 #x#y €5", "h", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, block string")
+    got = [(r["doc_id"], round(r["features"][-2], 2)) for r in stuffed_pages.page_features(docs).collect()]
+    assert sorted(got) == [(1, 1.0), (1, 1.0), (2, 0.0)]
