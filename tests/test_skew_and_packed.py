@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -70,6 +71,21 @@ def test_malformed_values_are_flagged_and_nothing_hangs(text):
     assert got and any(flag for _, flag in got) or any(q in v for v, _ in got for q in "\"'")
 
 
+@pytest.mark.parametrize(
+    "unit, times, tail",
+    [('"[a,', 10_000, ""), ("[", 100_000, ""), ("[a,", 50_000, ""), ("“a,", 50_000, "””"), ("{[ '", 20_000, ""), ('["a', 20_000, '"]' * 20_000), ("\\", 100_000, '"'), ("[ \u200b", 30_000, ""), ('"a""', 30_000, "x")],
+)
+def test_long_malformed_fields_take_linear_time(unit, times, tail):
+    start = time.perf_counter()
+    parse_packed(unit * times + tail)
+    assert time.perf_counter() - start < 2
+
+
+def test_deep_groups():
+    assert [v for v, _ in parse_packed("[" * 3000 + "a, 'b, c'" + "]" * 3000 + "; d")] == ["a", "b, c", "d"]
+    assert parse_packed("[x\u200b \u200b,y]") == [("x", ""), ("y", "")]
+
+
 def test_random_fields_end(spark):
     rng = random.Random(5)
     for _ in range(3000):
