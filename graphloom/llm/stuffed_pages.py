@@ -38,6 +38,7 @@ EDGES = ".,;:!?()[]{}\"'“”„«»<>…*|"
 
 URL, TAG, PRICE, NUMBER, RARE, BARE_MARK = range(6)
 KEPT = 6
+PACKED = ("doc_ids", "hosts", "segments", "lengths", "codes", "form", "number", "bares")
 FEATURES = (
     "url tag price number rare mark listed_words prose_words linked short offered repeated repeated_sentences prose noted priced asked ended listed "
     "mean_weight distinct top_word mean_segment fresh_prose log_words replicated hosts5"
@@ -57,13 +58,30 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
-def bare_word(token: str) -> str:
-    return token.strip(EDGES).lower()
+def _token_table(tokens: dict[str, int]) -> tuple[np.ndarray, np.ndarray, str]:
+    """Of each token its form (kind of word, and by sixteens 1 for an end of sentence or 2 for one of a question) and the number of its bare word; the bare words."""
+    form, number, bares = np.empty(len(tokens), np.int8), np.empty(len(tokens), np.int32), {}
+    for i, token in enumerate(tokens):
+        bare = token.strip(EDGES).lower()
+        number[i] = bares.setdefault(bare, len(bares))
+        if LINK.search(token):
+            kind = URL
+        elif token[0] in "#@" and len(token) > 1:
+            kind = TAG
+        elif MONEY.search(token):
+            kind = PRICE
+        elif not bare:
+            kind = BARE_MARK
+        else:
+            kind = RARE if bare.isalpha() or not any(c.isdigit() for c in bare) else NUMBER
+        form[i] = kind + (32 if token[-1] == "?" else 16 if token[-1] in ".!" or token[-2:] in (".)", '."', ".”") else 0)
+    return form, number, "\n".join(bares)
 
 
 def page_blocks(documents: DataFrame, words_each: int = 1_000_000) -> DataFrame:
     """Tokenised pages, many to a row: block, pages (their number), and as packed arrays doc_ids, hosts, the number of
-    segments of each page, the number of words of each segment, the code of each word and the tokens that codes stand for.
+    segments of each page, the number of words of each segment, the code of each word, and of the tokens that codes stand for the form,
+    the bare word's number and the bare words.
 
     A block ends with the page that fills it, so its size is bounded but for a single longer page. Texts are split once and
     stored; whatever is asked later runs on numbers.
@@ -77,7 +95,7 @@ def page_blocks(documents: DataFrame, words_each: int = 1_000_000) -> DataFrame:
         def block() -> pa.RecordBatch:
             packed = [
                 _pack(np.array(doc_ids, np.int64)), _pack(np.array(hosts, np.int64)), _pack(np.array(segments)), _pack(np.array(lengths)),
-                _pack(np.array(flat)), _pack("\n".join(codes)),
+                _pack(np.array(flat)), *map(_pack, _token_table(codes)),
             ]
             return pa.RecordBatch.from_arrays([pa.array([len(doc_ids)], pa.int32()), *[pa.array([p], pa.binary()) for p in packed]], names=names)
 
@@ -106,7 +124,7 @@ def page_blocks(documents: DataFrame, words_each: int = 1_000_000) -> DataFrame:
         if doc_ids:
             yield block()
 
-    names = ["pages", "doc_ids", "hosts", "segments", "lengths", "codes", "tokens"]
+    names = ["pages", *PACKED]
     made = source.filter("doc_id IS NOT NULL").mapInArrow(read, "pages int, " + ", ".join(f"{n} binary" for n in names[1:]))
     return cut_lineage(made.withColumn("block", F.monotonically_increasing_id()))
 
@@ -115,35 +133,21 @@ class _Block:
     """One row of page_blocks, unpacked, with its words read by a vocabulary."""
 
     def __init__(self, packed: list[bytes]) -> None:
-        doc_ids, hosts, segments, lengths, codes, tokens = packed
+        doc_ids, hosts, segments, lengths, codes, form, number, bares = packed
         self.doc_ids, self.hosts = _unpack(doc_ids, np.int64), _unpack(hosts, np.int64)
         self.segments, self.lengths, self.codes = (_unpack(d, np.int32) for d in (segments, lengths, codes))
-        text = zlib.decompress(tokens).decode("utf-8", "surrogatepass")
-        self.tokens = text.split("\n") if text else []
+        form = _unpack(form, np.int8)
+        self.kind, self.tail, self.number = form & 15, form >> 4, _unpack(number, np.int32)
+        self.bares = zlib.decompress(bares).decode("utf-8", "surrogatepass").split("\n") if len(form) else []
         self.page_of_segment = np.repeat(np.arange(len(self.doc_ids)), self.segments)
         self.page = np.repeat(self.page_of_segment, self.lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def masks(self, vocabulary: dict[str, int]) -> np.ndarray:
         """Of each token: KEPT and its number in the vocabulary, or else the kind of word it is."""
-        out = np.empty(len(self.tokens), np.int32)
-        for i, token in enumerate(self.tokens):
-            if LINK.search(token):
-                out[i] = URL
-            elif token[0] in "#@" and len(token) > 1:
-                out[i] = TAG
-            elif MONEY.search(token):
-                out[i] = PRICE
-            else:
-                bare = bare_word(token)
-                n = vocabulary.get(bare)
-                if n is not None:
-                    out[i] = KEPT + n
-                elif not bare:
-                    out[i] = BARE_MARK
-                else:
-                    out[i] = NUMBER if any(c.isdigit() for c in bare) else RARE
-        return out
+        get = vocabulary.get
+        known = np.fromiter((get(w, -1) for w in self.bares), np.int32, len(self.bares))[self.number]
+        return np.where((self.kind == RARE) & (known >= 0), KEPT + known, self.kind).astype(np.int32)
 
     def phrases(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The first word, key and number of words of every phrase; word has the mask of each word.
@@ -169,14 +173,11 @@ class _Block:
         return first, key[first].view(np.int64), np.minimum(left[first], SHINGLE)
 
 
-def _each(batches: Iterator[pa.RecordBatch], extra: int = 0) -> Iterator[tuple[_Block, list]]:
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, list]]:
     for batch in batches:
         for i in range(batch.num_rows):
             values = [c[i] for c in batch.columns]
-            yield _Block([v.as_py() for v in values[:6]]), values[6 : 6 + extra]
-
-
-PACKED = ("doc_ids", "hosts", "segments", "lengths", "codes", "tokens")
+            yield _Block([v.as_py() for v in values[: len(PACKED)]]), values[len(PACKED) :]
 
 
 def word_table(blocks: DataFrame, hand: dict[int, tuple[int, int, int]], share: float = 0.005) -> tuple[dict[str, int], np.ndarray]:
@@ -190,12 +191,8 @@ def word_table(blocks: DataFrame, hand: dict[int, tuple[int, int, int]], share:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, _ in _each(batches):
-            bare = [bare_word(t) for t in b.tokens]
-            number: dict[str, int] = {}
-            of = np.array([number.setdefault(w, len(number)) for w in bare], np.int64)
-            words = list(number)
-            wide = max(1, len(words))
-            used = pd.unique(b.page.astype(np.int64) * wide + of[b.codes])
+            words, wide = b.bares, max(1, len(b.bares))
+            used = pd.unique(b.page.astype(np.int64) * wide + b.number[b.codes])
             page, word = np.divmod(used, wide)
             columns = [np.bincount(word, minlength=len(words))]
             marks = np.zeros((2 * FOLDS, len(b.doc_ids)), np.int64)
@@ -253,8 +250,7 @@ def page_evidence(b: _Block, mask: np.ndarray, weights: np.ndarray, fold: np.nda
     priced = (price > 0) & (number + price + lists >= 0.3)
     prose = (prose_share >= 0.2) & (length >= 5) & ~linked & ~offered
     short = (length <= 4) & (prose_share == 0) & ~noted
-    last = b.codes[b.starts + length - 1]
-    tails = np.array([2 if t[-1] == "?" else 1 if t[-1] in ".!" or t[-2:] in (".)", '."', ".”") else 0 for t in b.tokens], np.int8)[last]
+    tails = b.tail[b.codes[b.starts + length - 1]]
     with np.errstate(over="ignore"):
         whole = np.add.reduceat((word.astype(np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(9), b.starts) * np.uint64(0x94D049BB133111EB)
         whole ^= b.page_of_segment.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
@@ -263,8 +259,7 @@ def page_evidence(b: _Block, mask: np.ndarray, weights: np.ndarray, fold: np.nda
     ended, many = tails > 0, times >= 3
     spread = lambda flag: per_page(seen & np.repeat(flag, length))
     free = seen & ~prosaic
-    wide = int(word.max()) + 1
-    pair = b.page[free].astype(np.int64) * (1 << 32) + np.where(word[free] >= KEPT, word[free], b.codes[free] + wide)
+    pair = b.page[free].astype(np.int64) * (1 << 32) + b.number[b.codes[free]]
     which, pairs = pd.factorize(pair)
     owner = pairs >> 32
     used = np.bincount(which, minlength=len(pairs))
@@ -296,7 +291,7 @@ def page_features(documents: DataFrame, hand: dict[int, tuple[int, int, int]] |
     vocabulary, weights = word_table(blocks, hand, share)
 
     def used_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (block,) in _each(batches, 1):
+        for b, (block,) in _each(batches):
             first, keys, _ = b.phrases(b.masks(vocabulary)[b.codes])
             at, phrases = pd.factorize(keys)
             which, hosts = pd.factorize(b.hosts)
@@ -315,7 +310,7 @@ def page_features(documents: DataFrame, hand: dict[int, tuple[int, int, int]] |
     )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (phrases, many) in _each(batches, 2):
+        for b, (phrases, many) in _each(batches):
             mask = b.masks(vocabulary)
             first, keys, span = b.phrases(mask[b.codes])
             at, own = pd.factorize(keys)
