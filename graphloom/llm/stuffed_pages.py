@@ -58,6 +58,14 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
+class _Codes(dict):
+    """Numbers of tokens in the order of their first use."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self)
+        return n
+
+
 def _token_table(tokens: dict[str, int]) -> tuple[np.ndarray, np.ndarray, str]:
     """Of each token its form (kind of word, and by sixteens 1 for an end of sentence or 2 for one of a question) and the number of its bare word; the bare words."""
     form, number, bares = np.empty(len(tokens), np.int8), np.empty(len(tokens), np.int32), {}
@@ -89,7 +97,7 @@ def page_blocks(documents: DataFrame, words_each: int = 1_000_000) -> DataFrame:
     source = spread_input(documents.select("doc_id", F.xxhash64(F.coalesce("source", F.lit(""))).alias("host"), F.col("text").cast("string").alias("text")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[str, int] = {}
+        codes = _Codes()
         doc_ids, hosts, segments, lengths, flat = [], [], array("i"), array("i"), array("i")
 
         def block() -> pa.RecordBatch:
@@ -110,16 +118,12 @@ def page_blocks(documents: DataFrame, words_each: int = 1_000_000) -> DataFrame:
                 before = len(lengths)
                 for part in SEGMENT.split(text) if text else ():
                     if part and (tokens := part.split()):
-                        for token in tokens:
-                            code = codes.get(token)
-                            if code is None:
-                                code = codes[token] = len(codes)
-                            flat.append(code)
+                        flat.extend(map(codes.__getitem__, tokens))
                         lengths.append(len(tokens))
                 segments.append(len(lengths) - before)
                 if len(flat) >= words_each or len(doc_ids) >= words_each:
                     yield block()
-                    codes = {}
+                    codes = _Codes()
                     doc_ids, hosts, segments, lengths, flat = [], [], array("i"), array("i"), array("i")
         if doc_ids:
             yield block()
