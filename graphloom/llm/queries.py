@@ -29,11 +29,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """Counted rows with their texts; the core is a part of the text and isn't stored beside it."""
+    """Counted rows with their texts."""
     genes = en.gene_entities(read_table(spark, sf_dir, "nodes"))
     rows = overlaps.named_rows(read_table(spark, sf_dir, "split_assignments"), _drugs(spark, sf_dir), genes)
-    stored = cut_lineage(overlaps.record_texts(rows).select("row_id", "split", *extra, "text"))
-    return stored.withColumn("core", overlaps.core_of("text"))
+    return cut_lineage(overlaps.record_texts(rows).select("row_id", "split", *extra, "text"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +43,11 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps.overlap_report(_records(spark, sf_dir, "record_source"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per overlapping row its links; the class stays a name of our own."""
+    return overlaps.overlap_classes(_records(spark, sf_dir)).select("row_id", "links")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -63,11 +67,16 @@ QUERIES = {
     "p2_found": p2_found,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p5_classes": p5_classes,
     "p6_ids": p6_ids,
     "p7_pack": p7_pack,
     "p8_found": p8_found,
 }
 
+def _plain_sql(column: str, name: str) -> str:
+    return rf"regexp_replace(lower(coalesce({column}, '')), '[\s_\-\x1f]+', ' ', 'g') AS {name}"
+
+
 _ENTITIES = r"""
     WITH RECURSIVE acc AS (
         SELECT node_index, node_type, nullif(regexp_extract(node_id, '(?i)PA[^0-9A-Za-z]*0*([0-9]+)', 1), '') AS a FROM nodes),
@@ -87,7 +96,7 @@ _ENTITIES = r"""
     gene AS (
         SELECT node_index AS gene_idx, coalesce(a, 'node:' || node_index) AS gene_entity FROM acc WHERE node_type = 'gene'),
     counted AS (
-        SELECT s.row_id, s.drug_idx, s.gene_idx, s.record_source, p.split, coalesce(drug_entity, 'node:' || s.drug_idx) AS de,
+        SELECT s.row_id, s.drug_idx, s.gene_idx, s.record_source, s.source_type, s.target_type, s.evidence, s.association, p.split, coalesce(drug_entity, 'node:' || s.drug_idx) AS de,
             coalesce(gene_entity, 'node:' || s.gene_idx) AS ge
         FROM split_assignments s
         JOIN (SELECT DISTINCT split AS raw, CASE
@@ -110,4 +119,18 @@ ORACLE = {
     "p5_found": f"""{_ENTITIES}
         SELECT least(t.row_id, h.row_id) AS row_id_a, greatest(t.row_id, h.row_id) AS row_id_b
         FROM counted t JOIN counted h USING (de, ge) WHERE t.split = 'train' AND h.split <> 'train'""",
+    "p5_classes": f"""{_ENTITIES},
+        n AS (SELECT de, ge, count(*) FILTER (split = 'train') AS t, count(*) FILTER (split <> 'train') AS h FROM counted GROUP BY ALL)
+        SELECT row_id, CASE WHEN split = 'train' THEN h ELSE t END AS links FROM counted JOIN n USING (de, ge) WHERE t > 0 AND h > 0""",
+    "p5_report": f"""{_ENTITIES},
+        plain AS (SELECT *, {", ".join(_plain_sql(c, "f" + str(i)) for i, c in enumerate(overlaps.FIELDS))} FROM counted),
+        seen AS (
+            SELECT de, ge, count(*) AS n, {", ".join(f"list(DISTINCT f{i}) AS l{i}" for i in range(4))}, list(DISTINCT concat_ws(chr(31), f0, f1, f2, f3)) AS whole FROM plain WHERE split = 'train' GROUP BY ALL),
+        outer_rows AS (
+            SELECT h.split, record_source, n, list_contains(whole, concat_ws(chr(31), f0, f1, f2, f3)) AS exact, 7 + length(de) + length(ge) AS core,
+                {" + ".join(f"(3 + length(f{i}))" for i in range(4))} AS rest, {" + ".join(f"CASE WHEN list_contains(l{i}, f{i}) THEN 3 + length(f{i}) ELSE 0 END" for i in range(4))} AS shared
+            FROM plain h LEFT JOIN seen USING (de, ge) WHERE h.split <> 'train')
+        SELECT split, record_source, count(*) AS n_rows, count(n) AS n_overlapping, count(*) FILTER (exact) AS n_exact, count(*) FILTER (NOT exact) AS n_near,
+            coalesce(sum(core + rest) FILTER (n IS NOT NULL), 0)::BIGINT AS n_chars, coalesce(sum(core + shared) FILTER (n IS NOT NULL), 0)::BIGINT AS n_covered, coalesce(sum(n), 0)::BIGINT AS n_pairs
+        FROM outer_rows GROUP BY ALL""",
 }

@@ -11,6 +11,7 @@ from graphloom.llm import entity_splits as es
 from graphloom.llm import overlaps
 from graphloom.llm.spanning_forest import spanning_forest
 from graphloom.llm.top_n import top_n
+from graphloom.session import estimated_bytes
 
 NODE = "node_index bigint, node_id string, node_name string, node_type string, split string"
 ROW = "row_id bigint, drug_idx bigint, gene_idx bigint, split string, record_source string, source_type string, target_type string, evidence string, association string, drug_entity string"
@@ -163,6 +164,26 @@ def test_overlaps_match_brute_force(spark, assignments, names):
     assert overlaps.overlap_pairs(rows.limit(0)).collect() == []
 
 
+def test_automata_decide_the_overlaps(spark, assignments, names, monkeypatch):
+    rows = overlaps.record_texts(overlaps.named_rows(assignments, *names))
+    scan = lambda **k: Counter(tuple(r) for r in overlaps.scan_overlaps(rows, **k).collect())
+    routed = scan()
+    assert routed and routed == scan(routed=False) == scan(shard_bytes=max(1, estimated_bytes(rows) // 20))  # every text past every shard finds no more
+    texts = rows.select("split", "text").distinct().collect()
+    for text, core, matched, exact in routed:
+        trained = [r["text"].split("\x1f")[1:-1] for r in texts if r["split"] == "train" and r["text"].startswith(core)]
+        mine = text.split("\x1f")[1:-1]
+        shared = [f for i, f in enumerate(mine) if any(t[i] == f for t in trained)]
+        assert matched == 1 + sum(len(f) + 1 for f in shared) and exact == (mine in trained)
+    links = Counter()
+    for a, b in ((r["row_id_a"], r["row_id_b"]) for r in overlaps.overlap_pairs(rows).collect()):
+        links[a] += 1
+        links[b] += 1
+    assert {r["row_id"]: r["links"] for r in overlaps.overlap_classes(rows).collect()} == dict(links)
+    monkeypatch.setattr(overlaps, "scan_overlaps", lambda rows: spark.createDataFrame([], "text string, train_core string, matched bigint, exact boolean"))
+    assert overlaps.overlap_pairs(rows).collect() == []  # no pair comes from anything but the automata
+
+
 def test_intervals_merge():
     spans = []
     for new in ((5, 9), (0, 2), (2, 4), (8, 12)):
