@@ -25,6 +25,14 @@ ASSOCIATIONS = ("associated", "ambiguous", "not_associated")
 STRATA = ("2", "3-4", "5-9", "10-19", "20+")
 EVIDENCE_PRIORITY = {"guideline": 1, "label": 2, "clinical": 3, "literature": 4, "pathway": 5, "other": 6}
 NULL_TEXT = ("", "nan", "none", "null")
+# Words of split labels, letters only.
+SPLIT_WORDS = {
+    "train": ("train", "training", "trainset", "trainingset", "trainingcontextonly", "traincontextonly", "traincontext", "trainingcontext"),
+    "validation": ("validation", "validate", "valid", "val", "validationset", "valset", "dev"),
+    "test": ("test", "testing", "testset", "tst"),
+}
+# What stands for a missing structure, after white space is dropped, in lower case.
+NO_STRUCTURE = ("", "none", "null", "nan", "na", "n/a", "n.a.", "[notavailable]", "notavailable", "unknown", "missing")
 # Tokens that a pandas reader takes for missing.
 NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -80,6 +88,21 @@ def normalise_association(value: Column | str) -> Column:
     return F.when(label.isin(*ASSOCIATIONS), label)
 
 
+def split_label(label: Column | str) -> Column:
+    """train, validation or test of a label however written; training context counts as train; else null."""
+    word = F.regexp_replace(F.lower(as_column(label)), r"(?U)[^\p{L}]+", "")
+    out = F.when(word.isin(*SPLIT_WORDS["train"]), "train")
+    for split in ("validation", "test"):
+        out = out.when(word.isin(*SPLIT_WORDS[split]), split)
+    return out
+
+
+def structure(smiles: Column | str) -> Column:
+    """The structure without white space (no-break spaces included); null for a placeholder. Every letter of a short one counts too."""
+    bare = F.regexp_replace(as_column(smiles), r"(?U)\s+", "")
+    return F.when(~(F.lower(bare).isin(*NO_STRUCTURE) | ~bare.rlike("[A-Za-z]")), bare)
+
+
 def relation_type(source: Column | str, target: Column | str, evidence: Column | str, association: Column | str) -> Column:
     """The four parts with underscores between; null if one is null."""
     parts = [as_column(x) for x in (source, target, evidence, association)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -104,21 +107,21 @@ def stratum_sizes(strata: DataFrame) -> DataFrame:
 
 
 def largest_remainder(sizes: dict[str, int], target: int, share: float, capacity: dict[str, int] | None = None) -> dict[str, int]:
-    """Splits target over strata in proportion: whole parts first, then one each by remainder (ties by label), never past capacity."""
-    room = dict(sizes if capacity is None else capacity)
-    given = {s: min(int(n * share), room[s]) for s, n in sizes.items()}
-    left = target - sum(given.values())
-    if left < 0:
+    """How many of target each stratum gets: its whole part of size times share, and the seats left over in order of (round, remainder from high to low, label).
+
+    A stratum has one seat a round as long as it has room below its capacity (its size, if none is given).
+    Errors: whole parts beyond the target, or fewer seats than are left over.
+    """
+    whole = {s: min(math.floor(n * share), (capacity or sizes)[s]) for s, n in sizes.items()}
+    over = target - sum(whole.values())
+    if over < 0:
         raise ValueError("whole parts exceed the target")
-    ranked = sorted(sizes, key=lambda s: (-(sizes[s] * share - int(sizes[s] * share)), s))
-    while left:
-        open_strata = [s for s in ranked if given[s] < room[s]]
-        if not open_strata:
-            raise ValueError("the strata have no room for the target")
-        for s in open_strata[:left]:
-            given[s] += 1
-        left -= min(left, len(open_strata))
-    return given
+    remainder = {s: n * share % 1 for s, n in sizes.items()}
+    seats = ((turn, -remainder[s], s) for s in sizes for turn in range(min(over, (capacity or sizes)[s] - whole[s])))
+    taken = Counter(s for _, _, s in heapq.nsmallest(over, seats))
+    if taken.total() < over:
+        raise ValueError("the strata have no room for the target")
+    return {s: n + taken[s] for s, n in whole.items()}
 
 
 def allocations(strata: DataFrame, config: SplitConfig = SplitConfig()) -> list[tuple[str, int, int]]:

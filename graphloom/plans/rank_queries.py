@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
@@ -10,6 +10,8 @@ from graphloom.operators import graph_build as gb
 from graphloom.operators import ranking as rk
 from graphloom.operators import splits as sp
 from graphloom.operators import stats
+from graphloom.operators.positions import accession
+from graphloom.plans.common import ASSIGNED, STRUCTURE, accession_sql, assignments
 from graphloom.session import cut_lineage
 from graphloom.session import read_table as t
 
@@ -25,7 +27,7 @@ def _genes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _degree(s: SparkSession, d: str) -> DataFrame:
-    return rk.gene_degree(t(s, d, "split_assignments"), _genes(s, d))
+    return rk.gene_degree(assignments(s, d), _genes(s, d))
 
 
 def _paired(s: SparkSession, d: str) -> DataFrame:
@@ -35,11 +37,9 @@ def _paired(s: SparkSession, d: str) -> DataFrame:
 
 def _structured(s: SparkSession, d: str) -> DataFrame:
     """(drug_idx, has_structure, seen_in_train) of test drugs, by the structures of their nodes."""
-    def key(c: str) -> Column:
-        return F.upper(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
-    held = t(s, d, "chemicals").filter("length(smiles) > 15").select(key("pharmgkb_accession_id").alias("acc"), F.regexp_replace("smiles", r"(?U)\s", "").alias("smiles")).distinct()
-    drugs = t(s, d, "nodes").filter("node_type = 'drug'").select(F.col("node_index").alias("drug_idx"), key("node_id").alias("acc")).join(held, "acc", "left").select("drug_idx", "smiles")
-    trained = t(s, d, "split_assignments").filter(F.col("split").rlike("^(train|training_context_only)$")).select("drug_idx").distinct()
+    held = t(s, d, "chemicals").select(accession(F.col("pharmgkb_accession_id")).alias("acc"), tx.structure("smiles").alias("smiles")).filter("acc IS NOT NULL AND smiles IS NOT NULL").distinct()
+    drugs = t(s, d, "nodes").filter("node_type = 'drug'").select(F.col("node_index").alias("drug_idx"), accession(F.col("node_id")).alias("acc")).join(held, "acc", "left").select("drug_idx", "smiles")
+    trained = assignments(s, d).filter("split = 'train'").select("drug_idx").distinct()
     seen = drugs.join(trained, "drug_idx", "left_semi").filter("smiles IS NOT NULL").select("smiles").distinct().withColumn("seen", F.lit(True))
     return drugs.join(seen, "smiles", "left").groupBy("drug_idx").agg(F.max(F.col("smiles").isNotNull()).alias("has_structure"), F.coalesce(F.max("seen"), F.lit(False)).alias("seen_in_train"))
 
@@ -107,7 +107,7 @@ QUERIES = {
     "topk_candidates": lambda s, d: rk.top_candidates(_pool(s, d)),
     "candidate_categories": lambda s, d: rk.top_candidates(_pool(s, d)).groupBy(F.when(F.col("known"), "rediscovered").otherwise("novel").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("drug_idx").alias("n_drugs")),
     "top5_alternatives": lambda s, d: rk.alternatives(_pool(s, d)),
-    "modal_relation": lambda s, d: rk.modal_relation(t(s, d, "split_assignments")),
+    "modal_relation": lambda s, d: rk.modal_relation(assignments(s, d)),
     "ambiguous_pairs": lambda s, d: t(s, d, "edges").filter(F.lower("association_raw").contains("ambiguous") & F.expr("source_type = 'drug' AND target_type = 'gene'")).select("source_idx", "target_idx", "relation_type").distinct(),
     "paired_rank_compare": lambda s, d: _paired(s, d).withColumn("delta_rr", F.round("delta_rr", 6)),
     "win_tie_loss": lambda s, d: rk.comparison_summary(_paired(s, d)),
@@ -125,7 +125,7 @@ QUERIES = {
 
 POOL = """pool AS (SELECT drug_idx, gene_idx, max(score) AS score, coalesce(bool_or(association = 'associated'), false) AS known, max(association) AS label FROM test_pairs
     WHERE drug_idx IS NOT NULL AND gene_idx IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL)"""
-DEG = """deg AS (SELECT node_index AS gene_idx, count(DISTINCT drug_idx) AS degree FROM nodes LEFT JOIN (SELECT * FROM split_assignments WHERE split = 'train' AND association = 'associated') s ON s.gene_idx = node_index
+DEG = f"""deg AS (SELECT node_index AS gene_idx, count(DISTINCT drug_idx) AS degree FROM nodes LEFT JOIN (SELECT * FROM {ASSIGNED} WHERE split = 'train' AND association = 'associated') s ON s.gene_idx = node_index
     WHERE node_type = 'gene' GROUP BY ALL)"""
 
 
@@ -147,9 +147,9 @@ _PAIRED = f"""{POOL}, {DEG}, {_DPOOL}, {_rank('pool', 'ra')}, {_rank('dpool', 'r
     CASE WHEN ra.rank < rb.rank THEN 'win' WHEN ra.rank > rb.rank THEN 'loss' ELSE 'tie' END AS outcome FROM ra JOIN rb USING (drug_idx, gene_idx))"""
 _RAND = f"""{POOL}, rpool AS (SELECT seed, drug_idx, gene_idx, known, ('0x' || substr(md5(seed || ':' || gene_idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS score FROM pool, (SELECT unnest([42, 123, 2026])::INTEGER AS seed)),
     {_rank('rpool', 'rr', by='seed, drug_idx')}"""
-_STRUCT = r"""held AS (SELECT DISTINCT upper(regexp_replace(pharmgkb_accession_id, '[^A-Za-z0-9]', '', 'g')) AS acc, regexp_replace(smiles, '[\s\x{a0}]', '', 'g') AS smiles FROM chemicals WHERE length(smiles) > 15),
-    sd AS (SELECT node_index AS drug_idx, smiles FROM nodes LEFT JOIN held ON acc = upper(regexp_replace(node_id, '[^A-Za-z0-9]', '', 'g')) WHERE node_type = 'drug'),
-    seen AS (SELECT DISTINCT smiles FROM sd WHERE smiles IS NOT NULL AND drug_idx IN (SELECT drug_idx FROM split_assignments WHERE split IN ('train', 'training_context_only'))),
+_STRUCT = f"""held AS (SELECT DISTINCT {accession_sql('pharmgkb_accession_id')} AS acc, {STRUCTURE} AS smiles FROM chemicals),
+    sd AS (SELECT node_index AS drug_idx, smiles FROM nodes LEFT JOIN held ON acc = {accession_sql('node_id')} WHERE node_type = 'drug'),
+    seen AS (SELECT DISTINCT smiles FROM sd WHERE smiles IS NOT NULL AND drug_idx IN (SELECT drug_idx FROM {ASSIGNED} WHERE split = 'train')),
     flags AS (SELECT drug_idx, bool_or(smiles IS NOT NULL) AS has_structure, coalesce(bool_or(smiles IN (SELECT smiles FROM seen)), false) AS seen_in_train FROM sd GROUP BY ALL)"""
 _SEEDED = f"{_RAND}, {_rank('pool', 'ra')}, per AS (SELECT seed, avg(1 / ra.rank - 1 / rr.rank) AS delta, avg(1 / rr.rank) AS mrr_b FROM rr JOIN ra USING (drug_idx, gene_idx) GROUP BY seed)"
 
@@ -177,7 +177,7 @@ ORACLE = {
     "top5_alternatives": f"""WITH {POOL}, a AS (SELECT p.drug_idx, p.gene_idx, 1 + count(*) FILTER (q.score > p.score) AS rank FROM pool p JOIN pool q USING (drug_idx) WHERE p.label = 'ambiguous' GROUP BY ALL),
         o AS (SELECT a.drug_idx, a.gene_idx, q.gene_idx AS alt, row_number() OVER (PARTITION BY a.drug_idx, a.gene_idx ORDER BY q.score DESC, q.gene_idx) AS n FROM a JOIN pool q ON q.drug_idx = a.drug_idx AND q.gene_idx <> a.gene_idx AND NOT q.known)
         SELECT a.*, coalesce((SELECT list(alt ORDER BY n) FROM o WHERE o.drug_idx = a.drug_idx AND o.gene_idx = a.gene_idx AND n <= 5), []) AS alternatives FROM a""",
-    "modal_relation": "SELECT relation_type, count(*) AS n FROM split_assignments WHERE split = 'train' AND source_type = 'drug' AND target_type = 'gene' GROUP BY ALL ORDER BY n DESC, relation_type LIMIT 1",
+    "modal_relation": f"SELECT relation_type, count(*) AS n FROM {ASSIGNED} WHERE split = 'train' AND source_type = 'drug' AND target_type = 'gene' GROUP BY ALL ORDER BY n DESC, relation_type LIMIT 1",
     "ambiguous_pairs": "SELECT DISTINCT source_idx, target_idx, relation_type FROM edges WHERE association_raw ILIKE '%ambiguous%' AND source_type = 'drug' AND target_type = 'gene'",
     "paired_rank_compare": f"WITH {_PAIRED} SELECT drug_idx, gene_idx, rank_a, rank_b, round(delta_rr, 6) AS delta_rr, outcome FROM paired",
     "win_tie_loss": f"WITH {_PAIRED} SELECT {_SUM} FROM paired",

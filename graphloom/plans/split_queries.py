@@ -9,6 +9,7 @@ from graphloom.operators import graph_build as gb
 from graphloom.operators import quality as dq
 from graphloom.operators import splits as sp
 from graphloom.plans.graph_queries import assoc, clean
+from graphloom.plans.common import ASSIGNED, assignments
 from graphloom.session import cut_lineage
 from graphloom.session import read_table as t
 
@@ -70,12 +71,12 @@ QUERIES = {
     "removal_counts": lambda s, d: _edges(s, d, "strict_cold").groupBy("seed", "removal_reason").agg(F.count(F.lit(1)).alias("n_edges")),
     "evaluation_pairs": lambda s, d: sp.evaluation_pairs(sp.assign_pairs(_pairs(s, d), _drugs(s, d)), "test"),
     "evaluation_edges": lambda s, d: _edges(s, d, "dg_context").filter("is_drug_gene AND supervision_split = 'test' AND association = 'associated'").select("seed", "edge_index"),
-    "relation_vocab_semi": lambda s, d: sp.seen_relations(t(s, d, "split_assignments")).select("row_id", "relation_type"),
+    "relation_vocab_semi": lambda s, d: sp.seen_relations(assignments(s, d)).select("row_id", "relation_type"),
     "supervision_regimes": lambda s, d: sp.supervision_regimes(_pairs(s, d)),
     "variant_exposure": _exposure,
     "leakage_audit_context": lambda s, d: _audit(s, d, "dg_context"),
     "leakage_audit_strict": lambda s, d: _audit(s, d, "strict_cold"),
-    "leakage_audit_legacy": lambda s, d: sp.heldout_in_training(t(s, d, "split_assignments")),
+    "leakage_audit_legacy": lambda s, d: sp.heldout_in_training(assignments(s, d)),
     "variant_path_audit": lambda s, d: sp.variant_path_audit(t(s, d, "edges").select(*SLIM)),
     "dq_blank_endpoints": lambda s, d: dq.blank_endpoints(t(s, d, "relationships")),
     "dq_unknown_labels": lambda s, d: dq.unknown_labels(t(s, d, "relationships")),
@@ -159,13 +160,13 @@ ORACLE = {
     "removal_counts": f"WITH {_AE} SELECT seed, removal_reason, count(*) AS n_edges FROM strict GROUP BY ALL",
     "evaluation_pairs": f"WITH {_AS} SELECT seed, drug_idx, gene_idx FROM pairs JOIN drugs USING (drug_idx) WHERE split = 'test' AND association = 'associated'",
     "evaluation_edges": f"WITH {_AE} SELECT seed, edge_index FROM context WHERE is_drug_gene AND supervision_split = 'test' AND association = 'associated'",
-    "relation_vocab_semi": """SELECT row_id, relation_type FROM split_assignments WHERE split IN ('validation', 'test') AND relation_type IN (SELECT relation_type FROM split_assignments WHERE split = 'train')""",
+    "relation_vocab_semi": f"""SELECT row_id, relation_type FROM {ASSIGNED} WHERE split IN ('validation', 'test') AND relation_type IN (SELECT relation_type FROM {ASSIGNED} WHERE split = 'train')""",
     "supervision_regimes": f"""WITH {_OR} SELECT regime, drug_idx, gene_idx, association = 'associated' OR (regime = 'ambig_as_pos' AND association = 'ambiguous') AS positive
         FROM pairs, (SELECT unnest(['default', 'ambig_as_pos', 'nonassoc_excluded']) AS regime) WHERE association IS NOT NULL AND NOT (regime = 'nonassoc_excluded' AND association = 'not_associated')""",
     "variant_exposure": f"""WITH {_exposed('context')} SELECT seed, drug_idx, gene_idx, mediating_variants, mediating_variant_count, mediating_variant_count > 0 AS variant_mediated_exposure FROM exposed WHERE split = 'test'""",
     "leakage_audit_context": _audit_sql("context"),
     "leakage_audit_strict": _audit_sql("strict"),
-    "leakage_audit_legacy": """WITH b AS (SELECT DISTINCT drug_idx FROM split_assignments WHERE split = 'test' AND drug_idx IN (SELECT drug_idx FROM split_assignments WHERE split = 'train'))
+    "leakage_audit_legacy": f"""WITH b AS (SELECT DISTINCT drug_idx FROM {ASSIGNED} WHERE split = 'test' AND drug_idx IN (SELECT drug_idx FROM {ASSIGNED} WHERE split = 'train'))
         SELECT (SELECT count(*) FROM b) AS n_leaked, coalesce((SELECT list_sort(list(drug_idx)) FROM (SELECT drug_idx FROM b ORDER BY drug_idx LIMIT 20)), []) AS first_drugs""",
     "variant_path_audit": f"""WITH {_OR}, x AS (SELECT CASE WHEN source_type = 'variant' THEN target_idx ELSE source_idx END AS o, CASE WHEN source_type = 'variant' THEN source_idx ELSE target_idx END AS v,
             CASE WHEN source_type = 'variant' THEN target_type ELSE source_type END AS k FROM edges WHERE (source_type = 'variant') <> (target_type = 'variant')),
