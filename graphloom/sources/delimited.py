@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
-from collections.abc import Sequence
-from pathlib import Path
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,24 +35,30 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
     return named.select(*[tx.null_tokens(F.col(f"`{c}`")).alias(c) for c in named.columns])
 
 
-def find_file(folder: str, stem: str, suffixes: Sequence[str] = (".tsv", ".csv", ".txt")) -> str:
-    """The first file below folder, in order of path, whose name has the stem and one of the suffixes."""
-    hits = sorted(str(p) for p in Path(folder).rglob(f"*{stem}*") if p.suffix in suffixes)
-    if not hits:
+def find_file(spark: SparkSession, folder: str, stem: str, suffixes: Sequence[str] = (".tsv", ".csv", ".txt")) -> str:
+    """The first file below folder, in order of path, whose name has the stem and one of the suffixes; on any file system Spark reads."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    hit = listed.filter(name.contains(stem) & F.lower(name).rlike("(" + "|".join(re.escape(s) for s in suffixes) + ")$")).agg(F.min("path")).first()[0]
+    if hit is None:
         raise FileNotFoundError(f"no file for {stem} in {folder}")
-    return hits[0]
+    return hit
 
 
 def pick_column(df: DataFrame, names: Sequence[str], label: str) -> str:
-    """The first of names that df has, as written or else whatever the case."""
-    for name in names:
-        if name in df.columns:
-            return name
-    lower = {c.lower(): c for c in df.columns}
-    for name in names:
-        if name.lower() in lower:
-            return lower[name.lower()]
-    raise KeyError(f"no column for {label}: tried {list(names)}")
+    """The column that matches names best: as written before whatever the case, then by the order of names."""
+    matches = [(column != name, place, column) for place, name in enumerate(names) for column in df.columns if column.casefold() == name.casefold()]
+    if not matches:
+        raise KeyError(f"no column for {label}: tried {list(names)}")
+    return min(matches)[2]
+
+
+def require_columns(df: DataFrame, names: Sequence[str], label: str = "the table") -> DataFrame:
+    """df, if it has all the columns; else an error that names those it lacks."""
+    lacking = [n for n in names if n not in df.columns]
+    if lacking:
+        raise ValueError(f"{label} lacks the columns {lacking}")
+    return df
 
 
 def _stem(path: Column) -> Column:
@@ -72,22 +80,37 @@ def parse_gmt(lines: DataFrame, source: Column | str) -> DataFrame:
 
 def read_gmt(spark: SparkSession, folder: str) -> DataFrame:
     """Gene sets of all .gmt files below folder; the source is told by the file name."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.gmt").text(folder).withColumn("path", F.upper(F.input_file_name()))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[gG][mM][tT]").text(folder).withColumn("path", F.upper(F.input_file_name()))
     source = F.when(F.col("path").contains("REACTOME"), "REACTOME").when(F.col("path").contains("KEGG"), "KEGG").otherwise("OTHER")
     return parse_gmt(lines, source)
 
 
 def read_pathway_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """(source, set_id, gene): the comma-separated genes column of each table PA<digits>-*.tsv below folder."""
-    paths = sorted(str(p) for p in Path(folder).rglob("PA*-*.tsv") if re.match(r"PA\d+-", p.name))
-    out = None
-    for path in paths:  # one small table a pathway
-        df = read_delimited(spark, path)
-        column = pick_column(df, ["genes"], "genes")
-        name = "PGKB::" + Path(path).stem.replace("-", "_", 1)
-        one = df.select(F.lit("PGKB").alias("source"), F.lit(name).alias("set_id"), F.explode(tx.split_symbols(F.col(f"`{column}`"))).alias("gene")).distinct()
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "source string, set_id string, gene string")
+    """(source, set_id, gene): the comma-separated genes column of each table PA<digits>-*.tsv below folder.
+
+    All files are one read, a row each, parsed where they are read, since their columns differ; a table without a genes column is an error.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "PA*-*.tsv").text(folder, wholetext=True)
+    named = files.select(_stem(F.col("_metadata.file_path")).alias("stem"), "value").filter(F.col("stem").rlike(r"^PA\d+-"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stems, fields = [], []
+            for stem, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = csv.reader(io.StringIO(text, newline=""), delimiter="\t")
+                header = [clean_header(h).casefold() for h in next(rows, [])]
+                if "genes" not in header:
+                    raise KeyError(f"no column for genes in {stem}")
+                at = header.index("genes")
+                for row in rows:
+                    if len(row) > at:
+                        stems.append(stem)
+                        fields.append(row[at])
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(fields, pa.string())], names=["stem", "genes"])
+
+    parsed = named.mapInArrow(parse, "stem string, genes string")
+    set_id = F.concat(F.lit("PGKB::"), F.regexp_replace("stem", "^([^-]*)-", "$1_"))
+    return parsed.select(F.lit("PGKB").alias("source"), set_id.alias("set_id"), F.explode(tx.split_symbols("genes")).alias("gene")).distinct()
 
 
 def merge_gene_sets(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -84,13 +84,13 @@ def test_propagation_keeps_the_fewest_hops(spark):
     assert got == {"label": (1, None, True, False), "clinical": (2, 20, False, True)}
 
 
-TOY = ([0, 1, 2, 3, 4, 5, 1, 4], [1, 2, 3, 4, 5, 0, 5, 2], [0, 1, 2, 0, 1, 2, 1, 0])
+GRAPH = ([0, 0, 1, 2, 3, 3, 4, 5, 5, 2], [3, 4, 2, 1, 0, 5, 0, 1, 1, 5], [0, 1, 1, 2, 2, 0, 0, 1, 1, 2])
 
 
 @pytest.fixture(scope="module")
 def toy(spark):
     x = np.random.default_rng(0).normal(size=(6, 3))
-    edges = spark.createDataFrame(list(zip(*TOY, strict=True)), "src int, dst int, rel int")
+    edges = spark.createDataFrame(list(zip(*GRAPH, strict=True)), "src int, dst int, rel int")
     return edges, spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "node int, x array<double>"), x
 
 
@@ -100,7 +100,7 @@ def rows_of(df):
 
 def test_layers_match_numpy(spark, toy):
     edges, features, x = toy
-    src, dst, rel = map(np.array, TOY)
+    src, dst, rel = map(np.array, GRAPH)
     w = np.arange(9).reshape(3, 3) / 7 - 0.5
     loops = np.arange(6)
     s, t = np.r_[src, loops], np.r_[dst, loops]
@@ -149,18 +149,21 @@ def test_trainer_learns_and_repeats():
 def test_delimited_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub/drugs_x.tsv").write_text('﻿PharmId\t Long   name \nPA1\tNA\nPA2\t"a\t""b"""\n', encoding="utf-8")
-    path = dl.find_file(str(tmp_path), "drugs")
+    path = dl.find_file(spark, str(tmp_path), "drugs")
     df = dl.read_delimited(spark, path)
     assert df.columns == ["PharmId", "Long name"] and sorted(tuple(r) for r in df.collect()) == [("PA1", None), ("PA2", 'a\t"b"')]
     assert dl.pick_column(df, ["x", "pharmid"], "id") == "PharmId"
     with pytest.raises(KeyError):
         dl.pick_column(df, ["y"], "y")
+    assert dl.require_columns(df, ["PharmId"]) is df
+    with pytest.raises(ValueError, match="lacks"):
+        dl.require_columns(df, ["PharmId", "nope"])
     with pytest.raises(FileNotFoundError):
-        dl.find_file(str(tmp_path), "nothing")
+        dl.find_file(spark, str(tmp_path), "nothing")
 
 
 def test_gene_sets(spark, tmp_path):
-    (tmp_path / "kegg_a.gmt").write_text("S1\td\tg1\tG2\tg1\nS2\td\nS3\td\tnan\tg9\n")
+    (tmp_path / "kegg_a.GMT").write_text("S1\td\tg1\tG2\tg1\nS2\td\nS3\td\tnan\tg9\n")
     (tmp_path / "PA12-Some-path.tsv").write_text("Id\tGenes\n1\tabc, DEF\n2\tabc\n")
     gmt, tables = dl.read_gmt(spark, str(tmp_path)), dl.read_pathway_tables(spark, str(tmp_path))
     assert {tuple(r) for r in gmt.collect()} == {("KEGG", "S1", "G1"), ("KEGG", "S1", "G2"), ("KEGG", "S3", "G9")}
