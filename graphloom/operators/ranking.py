@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.group_ranks import MOST, better_before, light_and_heavy, over_groups
 from graphloom.operators.positions import count_greater, global_position, with_position
 from graphloom.session import cut_lineage
 
@@ -24,15 +27,31 @@ def candidates(scored: DataFrame) -> DataFrame:
     return clean.groupBy("drug_idx", "gene_idx").agg(F.max("score").alias("score"), known.alias("known"), F.max("association").alias("label"))
 
 
-def rank_known(pool: DataFrame, groups: Sequence[str] = ("drug_idx",), score: str = "score", filtered: bool = True, scale: float = 256.0) -> DataFrame:
-    """Known pairs of the pool with their rank in their group.
+def rank_known(pool: DataFrame, groups: Sequence[str] = ("drug_idx",), score: str = "score", filtered: bool = True, scale: float = 256.0, most: int = MOST) -> DataFrame:
+    """Known pairs of the pool with their rank in their group; rows with a null in groups have none.
 
-    filtered masks other known pairs: only unknown candidates can stand before one. Better
-    candidates are counted by pre-added scores, so a group of any size is spread.
+    filtered masks other known pairs: only unknown candidates can stand before one. Groups of at most ``most`` rows are
+    ranked in one pass over rows shuffled once; in larger ones better candidates are counted by pre-added
+    scores, so a group of any size is spread. Both give the same ranks.
     """
+    light, heavy = light_and_heavy(pool, groups, most)
+    columns = [*groups, *[c for c in pool.columns if c not in groups]]
+    at_known, at_score = columns.index("known"), columns.index(score)
+
+    def rank(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        known = table.column(at_known).to_numpy()
+        better = better_before(group, table.column(at_score).to_numpy().astype(float), ~known if filtered else np.ones(len(known), bool))
+        out = table.append_column("rank", pa.array(better + 1)).filter(table.column(at_known)).combine_chunks()
+        return out.to_batches()[0] if len(out) else pa.RecordBatch.from_pylist([], schema=out.schema)
+
+    fields = ", ".join(f"`{c}` {pool.schema[c].dataType.simpleString()}" for c in columns)
+    ranked = over_groups(light, groups, columns, rank, fields + ", rank bigint")
+    if heavy is None:
+        return ranked
     weight = (~F.col("known")).cast("bigint") if filtered else F.lit(1).cast("bigint")
-    better = count_greater(pool, groups, score, weight, "better", scale=scale)
-    return pool.filter("known").join(better, [*groups, score]).withColumn("rank", (F.col("better") + 1).cast("bigint")).drop("better")
+    better = count_greater(heavy, groups, score, weight, "better", scale=scale)
+    spread = heavy.filter("known").join(better, [*groups, score]).withColumn("rank", (F.col("better") + 1).cast("bigint")).drop("better")
+    return ranked.unionByName(spread)
 
 
 def rank_metrics(ranks: DataFrame, by: Sequence[str] = (), cuts: Sequence[int] = (1, 3, 10)) -> DataFrame:
@@ -186,20 +205,34 @@ def comparison_summary(paired: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def calibration_grid(pool: DataFrame, degree: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
-    """(alpha, position, mrr, chosen): z(score) + alpha * z(log1p degree) ranked for every alpha in one plan.
+def calibration_grid(pool: DataFrame, degree: DataFrame, alphas: Sequence[float] = ALPHAS, most: int = MOST) -> DataFrame:
+    """(alpha, position, mrr, chosen): z(score) + alpha * z(log1p degree) ranked for every alpha.
 
     The chosen alpha has the best MRR, then the least |alpha|, then the earliest position. Scores
-    are standardised within a drug, and rounded so that equal inputs stay ties.
+    are standardised within a drug, and rounded so that equal inputs stay ties. The pool is shuffled by drug once; all alphas
+    are tried on a drug's candidates where they are, and only counts leave. Drugs of more than ``most`` candidates are spread instead.
     """
     per_drug = pool.groupBy("drug_idx").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))
     z_degree = zscore(degree, F.log1p("degree"), "zd").select("gene_idx", "zd")
     grid = pool.sparkSession.createDataFrame(list(enumerate(alphas)), "position int, alpha double")
-    scored = (
-        pool.join(per_drug, "drug_idx").join(z_degree, "gene_idx").crossJoin(F.broadcast(grid))
-        .select("position", "alpha", "drug_idx", "gene_idx", "known", F.round(F.when(F.col("s") > 0, (F.col("score") - F.col("m")) / F.col("s")).otherwise(0.0) + F.col("alpha") * F.col("zd"), 6).alias("score"))
-    )
-    mrr = rank_known(scored, ("position", "alpha", "drug_idx"), scale=16.0).groupBy("position", "alpha").agg(F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"))
+    standard = F.when(F.col("s") > 0, (F.col("score") - F.col("m")) / F.col("s")).otherwise(0.0)
+    scored = pool.join(per_drug, "drug_idx").join(z_degree, "gene_idx").select("drug_idx", "gene_idx", "known", standard.alias("z"), "zd")
+    light, heavy = light_and_heavy(scored, ["drug_idx"], most)
+
+    def tried(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        known, z, zd = (table.column(i).to_numpy() for i in (1, 2, 3))
+        rows = []
+        for position, alpha in enumerate(alphas):
+            better = better_before(group, np.round(z + alpha * zd, 6), ~known)[known]
+            rows.append((position, alpha, float((1 / (1 + better)).sum()), len(better)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["position", "alpha", "rr", "n"])
+
+    sums = over_groups(light, ["drug_idx"], ["known", "z", "zd"], tried, "position int, alpha double, rr double, n bigint")
+    if heavy is not None:
+        spread = heavy.crossJoin(F.broadcast(grid)).select("position", "alpha", "drug_idx", "gene_idx", "known", F.round(F.col("z") + F.col("alpha") * F.col("zd"), 6).alias("score"))
+        ranks = rank_known(spread, ("position", "alpha", "drug_idx"), scale=16.0, most=0)
+        sums = sums.unionByName(ranks.groupBy("position", "alpha").agg(F.sum(1 / F.col("rank")).alias("rr"), F.count(F.lit(1)).alias("n")))
+    mrr = sums.groupBy("position", "alpha").agg(F.round(F.sum("rr") / F.sum("n"), 6).alias("mrr")).filter("mrr IS NOT NULL")
     best = mrr.agg(F.max_by("position", F.struct("mrr", -F.abs("alpha"), -F.col("position"))).alias("best"))
     return mrr.crossJoin(F.broadcast(best)).select("alpha", F.col("position").cast("bigint").alias("position"), "mrr", (F.col("position") == F.col("best")).alias("chosen"))
 

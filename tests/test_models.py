@@ -75,3 +75,18 @@ def test_negatives_of_a_drug_that_knows_most_genes(spark):
     assert sorted(got.collect()) == sorted(rk.weighted_negatives(known.repartition(7), degree, known, 3, 7).collect())
     with pytest.raises(ValueError, match="drug 1 knows all"):
         rk.negative_samples(known, genes.filter("gene_idx < 110"), known, 3, 7)
+
+
+def test_ranks_are_the_same_in_memory_and_spread(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(d), g, float(rng.choice([0.0, -1.5, 0.25, rng.random()])), bool(rng.random() < 0.2), "x") for d in (1, 1, 2, 3) for g in range(int(rng.integers(1, 120)))] + [(None, 1, 0.5, True, "x")]
+    pool = spark.createDataFrame(rows, "drug_idx bigint, gene_idx bigint, score double, known boolean, better string").dropDuplicates(["drug_idx", "gene_idx"]).cache()
+    kept = [r for r in pool.collect() if r["drug_idx"] is not None]
+    for filtered in (True, False):
+        want = sorted((r["drug_idx"], r["gene_idx"], 1 + sum(q["drug_idx"] == r["drug_idx"] and q["score"] > r["score"] and not (filtered and q["known"]) for q in kept)) for r in kept if r["known"])
+        for most in (0, 40, 1_000_000):
+            assert sorted((r["drug_idx"], r["gene_idx"], r["rank"]) for r in rk.rank_known(pool.drop("better"), filtered=filtered, most=most).collect()) == want
+    degree = spark.createDataFrame([(i, i % 7) for i in range(130)], "gene_idx bigint, degree bigint")
+    grids = [sorted(map(tuple, rk.calibration_grid(pool.drop("better"), degree, most=most).collect())) for most in (0, 40, 1_000_000)]
+    assert grids[0] == grids[1] == grids[2] and len(grids[0]) == 17
+    assert rk.rank_known(pool.limit(0)).collect() == [] and rk.calibration_grid(pool.limit(0), degree).collect() == []
