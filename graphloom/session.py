@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "graphloom", cores: int | str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the engine expects (UTC, AQE, Arrow)."""
+    """A session with the settings the engine expects (UTC, AQE, Arrow): local, or under spark-submit on the master that it names."""
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ
+    start = SparkSession.builder if submitted else SparkSession.builder.master(f"local[{cores}]")
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        start.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(cores) if cores != "*" else "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -32,15 +37,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (tests, a laptop)
-    a folder is made here.
+    The cluster names it in spark.checkpoint.dir; a cluster that names none is an error, since executors can't share a folder
+    of one machine. Only a local session without the setting (tests, a laptop) gets a folder of its own, removed when Python ends.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = named or tempfile.mkdtemp(prefix="graphloom-checkpoint-", dir=os.environ.get("TMPDIR"))
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="graphloom-checkpoint-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return folder
 
@@ -74,10 +83,16 @@ def shuffle_parts(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     return max(least, min(100_000, math.ceil(estimated_bytes(df) / bytes_each)))
 
 
+SHUFFLED = re.compile(r"^[\s:+|\-]*(Join|Aggregate|Distinct|Repartition\w*|RebalancePartitions|Sort|Window|GlobalLimit|Deduplicate|Intersect|Except)\b", re.M)
+
+
 def spread_input(df: DataFrame) -> DataFrame:
     """df with at least as many partitions as there are cores, for work that costs much more than moving the rows.
 
-    Few large files make few input partitions; more than that are left as they are, without a shuffle.
+    Few large files make few input partitions; more than that are left as they are, without a shuffle. So is a plan that
+    shuffles anyway: its partitions can't be counted without running it. The rows are the same in all cases.
     """
+    if SHUFFLED.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
