@@ -82,28 +82,80 @@ def gene_pathway_hits(sets: DataFrame, enriched: DataFrame, top: int = 5) -> Dat
     """Per gene its ``top`` significant sets by q, then by set."""
     hit = sets.join(enriched.filter("significant").select("source", "set_id", "q"), ["source", "set_id"])
     best = Window.partitionBy("gene_idx").orderBy("q", "source", "set_id")
-    return hit.withColumn("place", F.row_number().over(best).cast("bigint")).filter(F.col("place") <= top).select("gene_idx", "source", "set_id", "place")
+    return hit.withColumn("place", F.row_number().over(best).cast("bigint")).filter(F.col("place") <= top).select("gene_idx", "source", "set_id", "place", F.round("q", 12).alias("q"))
 
 
 def integrated_scores(predictions: DataFrame, articles: DataFrame, flagged: DataFrame, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
     """Weighted sum of reciprocal place, log article count (both scaled to a greatest of 1) and pathway flag."""
     base = (
-        predictions.select("drug_idx", "gene_idx", "place").join(articles, ["drug_idx", "gene_idx"], "left")
+        predictions.select("drug_idx", "gene_idx", "place", "score").join(articles, ["drug_idx", "gene_idx"], "left")
         .join(flagged.select("gene_idx").distinct().withColumn("flag", F.lit(1.0)), "gene_idx", "left")
-        .select("drug_idx", "gene_idx", "place", F.coalesce("n_articles", F.lit(0)).alias("n_articles"), (1 / F.col("place")).alias("h"), F.log1p(F.coalesce("n_articles", F.lit(0)).cast("double")).alias("l"), F.coalesce("flag", F.lit(0.0)).alias("pathway"))
+        .select("drug_idx", "gene_idx", "place", "score", F.coalesce("n_articles", F.lit(0)).alias("n_articles"), (1 / F.col("place")).alias("h"), F.log1p(F.coalesce("n_articles", F.lit(0)).cast("double")).alias("l"), F.coalesce("flag", F.lit(0.0)).alias("pathway"))
     )
     top = base.agg(F.max("h").alias("mh"), F.max("l").alias("ml"))
     def scaled(c: str, m: str):
         return F.coalesce(F.col(c) / F.nullif(F.col(m), F.lit(0.0)), F.lit(0.0))
     score = weights[0] * scaled("h", "mh") + weights[1] * scaled("l", "ml") + weights[2] * F.col("pathway")
-    return base.crossJoin(F.broadcast(top)).select("drug_idx", "gene_idx", "place", "n_articles", "pathway", F.round(score, 6).alias("integrated_score"))  # one row
+    parts = [F.round(scaled("h", "mh"), 6).alias("hub_adjusted"), F.round(scaled("l", "ml"), 6).alias("literature_signal")]
+    return base.crossJoin(F.broadcast(top)).select("drug_idx", "gene_idx", "place", "score", "n_articles", *parts, "pathway", F.round(score, 6).alias("integrated_score"))  # one row
 
 
-def explain(scored: DataFrame, hits: DataFrame, nodes: DataFrame, top: int = 50) -> DataFrame:
-    """The ``top`` integrated predictions with a sentence on rank, articles and pathways."""
-    best = scored.orderBy(F.desc("integrated_score"), "drug_idx", "gene_idx").limit(top)
-    sets = hits.groupBy("gene_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws("::", "source", F.col("set_id").cast("string")).alias("s")))), lambda x: x["s"]), ", ").alias("pathways"))
-    name = nodes.select("node_index", F.coalesce(tx.clean_text("node_name"), F.col("node_index").cast("string")).alias("name"))
-    named = best.join(name.select(F.col("node_index").alias("drug_idx"), F.col("name").alias("drug")), "drug_idx", "left").join(name.select(F.col("node_index").alias("gene_idx"), F.col("name").alias("gene")), "gene_idx", "left").join(sets, "gene_idx", "left")
-    said = F.format_string("%s and %s: place %d, %d articles, pathways: %s.", "drug", "gene", "place", "n_articles", F.coalesce("pathways", F.lit("none")))
-    return named.select("drug_idx", "gene_idx", "integrated_score", said.alias("explanation"))
+ARTICLE = ("pmid", "title", "journal", "year", "authors", "doi", "url", "abstract")
+
+
+def article_lists(articles: DataFrame) -> DataFrame:
+    """(drug_idx, gene_idx, n_articles, literature_citations, abstract_summary) of articles (drug_idx, gene_idx, pmid, title, journal,
+    year, authors, doi, url, abstract), in order of pmid: one numbered line an article, and the first sentences of the abstracts.
+
+    Articles without pmid don't count. Missing authors and years are said to be missing; other missing parts are empty.
+    """
+    empty = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ARTICLE}
+    lists = articles.filter("pmid IS NOT NULL AND pmid <> ''").groupBy("drug_idx", "gene_idx").agg(F.array_sort(F.collect_list(F.struct(*[v.alias(c) for c, v in empty.items()]))).alias("a"))
+
+    def line(x, i):
+        who = F.when(x["authors"] == "", "Unknown authors").otherwise(tx.author_short(x["authors"]))
+        year = F.when(x["year"] == "", "n.d.").otherwise(x["year"])
+        doi = F.when(x["doi"] == "", "").otherwise(F.concat(F.lit(". DOI:"), x["doi"]))
+        return F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), who, F.lit(" ("), year, F.lit("). "), x["title"], F.lit(" "), x["journal"], F.lit(". PMID:"), x["pmid"], doi, F.lit(". "), x["url"])
+
+    def sentence(x, i):
+        return F.when(F.trim(x["abstract"]) != "", F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), tx.first_sentence(F.trim(x["abstract"]))))
+
+    return lists.select(
+        "drug_idx", "gene_idx", F.size("a").cast("bigint").alias("n_articles"), F.array_join(F.transform("a", line), "\n").alias("literature_citations"),
+        F.array_join(F.array_compact(F.transform("a", sentence)), "\n").alias("abstract_summary"),
+    )
+
+
+def integrated_explanations(scored: DataFrame, explanations: DataFrame, hits: DataFrame, articles: DataFrame, nodes: DataFrame, top: int = 50) -> DataFrame:
+    """The ``top`` integrated predictions, one row each with all their evidence.
+
+    scored has (drug_idx, gene_idx, place, score, hub_adjusted, literature_signal, pathway, integrated_score), hits the significant sets of a gene (gene_idx,
+    source, set_id, place, q), explanations what explain_pairs gives. Of several explanations of a pair, the greatest ``explained_at`` (last) counts, if
+    there is such a column. A prediction without explanation, article or set has empty texts and zeros.
+    """
+    key = ["drug_idx", "gene_idx"]
+    best = scored.orderBy(F.desc("integrated_score"), *key).limit(top)
+    parts = ["shortest_path_length", "shortest_paths", "shortest_path_relations", "shared_genes_within_khop", "n_shared_genes", "n_shared_variants", "n_shared_phenotypes"]
+    at = F.col("explained_at") if "explained_at" in explanations.columns else F.lit(0)
+    last = explanations.groupBy(*key).agg(F.max_by(F.struct(*parts), at).alias("x")).select(*key, "x.*")
+    name = F.concat_ws("::", "source", F.col("set_id").cast("string"))
+    said = F.concat(name, F.format_string(" (q=%.2e)", "q"))
+    sets = hits.groupBy("gene_idx").agg(F.array_sort(F.collect_list(F.struct("place", name.alias("s"), said.alias("t")))).alias("h"))
+    sets = sets.select("gene_idx", F.size("h").cast("bigint").alias("n_sets"), F.array_join(F.transform("h", lambda x: x["t"]), "; ").alias("top_pathway_hits"), F.array_join(F.slice(F.transform("h", lambda x: x["s"]), 1, 2), ", ").alias("first_sets"))
+    names = nodes.select("node_index", F.coalesce(tx.clean_text("node_name"), F.col("node_index").cast("string")).alias("name"))
+    rows = best.drop("n_articles").join(last, key, "left").join(sets, "gene_idx", "left").join(article_lists(articles), key, "left")
+    for end in ("drug", "gene"):
+        rows = rows.join(names.select(F.col("node_index").alias(f"{end}_idx"), F.col("name").alias(f"{end}_name")), f"{end}_idx", "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", F.col(f"{end}_idx").cast("string")))
+    rows = rows.fillna({"shortest_paths": "", "shortest_path_relations": "", "shared_genes_within_khop": "", "n_shared_genes": 0, "n_shared_variants": 0, "n_shared_phenotypes": 0, "n_sets": 0, "top_pathway_hits": "", "n_articles": 0,
+                        "literature_citations": "No articles found for this pair.", "abstract_summary": ""})
+    path = F.when(F.col("shortest_path_length").isNull(), "no path in the graph").otherwise(F.format_string("connected by %d steps", "shortest_path_length"))
+    literature = F.when(F.col("n_articles") > 0, F.format_string("%d articles name both", "n_articles")).otherwise("no article names both")
+    pathways = F.when(F.col("n_sets") > 0, F.format_string("; the gene is in %d significant sets, among them %s", "n_sets", "first_sets")).otherwise("")
+    shared = F.when(F.col("n_shared_genes") + F.col("n_shared_variants") + F.col("n_shared_phenotypes") > 0, F.format_string("; they share %d genes, %d variants and %d phenotypes", "n_shared_genes", "n_shared_variants", "n_shared_phenotypes")).otherwise("")
+    text = F.concat(F.format_string("%s and %s: integrated score %.3f; ", "drug_name", "gene_name", "integrated_score"), path, F.lit("; "), literature, pathways, shared, F.lit("."))
+    return rows.select(
+        *key, "drug_name", "gene_name", F.col("place").alias("model_rank"), F.col("score").alias("model_score"), "hub_adjusted", "literature_signal", F.col("pathway").alias("pathway_signal"), "integrated_score", "n_articles",
+        "literature_citations", "abstract_summary", F.col("n_sets").alias("n_significant_pathways_for_gene"), "top_pathway_hits", "shortest_path_length", "shortest_paths", "shortest_path_relations",
+        "shared_genes_within_khop", "n_shared_genes", "n_shared_variants", "n_shared_phenotypes", text.alias("explanation"),
+    )

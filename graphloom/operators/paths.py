@@ -8,6 +8,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as tx
 from graphloom.session import cut_lineage
 
 
@@ -67,25 +68,80 @@ def all_shortest_paths(neighbours: DataFrame, pairs: DataFrame, near: int = 4) -
     return first.filter("length IS NOT NULL").unionByName(rest)
 
 
-def path_strings(neighbours: DataFrame, pairs: DataFrame, names: DataFrame, keep: int = 3) -> DataFrame:
-    """(drug_idx, gene_idx, paths): up to ``keep`` shortest paths of at most two steps as ``name[type] -> ...``, in order of the middle node."""
-    label = names.select(F.col("node_index"), F.format_string("%s[%s]", F.coalesce("node_name", F.col("node_index").cast("string")), "node_type").alias("label"))
-    direct = pairs.join(neighbours, (pairs["drug_idx"] == neighbours["u"]) & (pairs["gene_idx"] == neighbours["v"])).select("drug_idx", "gene_idx").distinct().withColumn("mid", F.lit(None).cast("bigint"))
-    rest = pairs.select("drug_idx", "gene_idx").distinct().join(direct, ["drug_idx", "gene_idx"], "left_anti")
-    first = neighbours.select(F.col("u").alias("drug_idx"), F.col("v").alias("mid"))
-    second = neighbours.select(F.col("u").alias("mid"), F.col("v").alias("gene_idx"))
-    ways = direct.unionByName(rest.join(first, "drug_idx").join(second, ["mid", "gene_idx"], "left_semi").select("drug_idx", "gene_idx", "mid"))
-    kept = ways.withColumn("n", F.row_number().over(Window.partitionBy("drug_idx", "gene_idx").orderBy("mid"))).filter(F.col("n") <= keep)
-    for c in ("drug_idx", "gene_idx", "mid"):
-        kept = kept.join(label.select(F.col("node_index").alias(c), F.col("label").alias(f"{c}_label")), c, "left")
-    text = F.concat_ws(" -> ", "drug_idx_label", "mid_label", "gene_idx_label")
-    return kept.groupBy("drug_idx", "gene_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda x: x["t"]).alias("paths"))
+def listed_paths(neighbours: DataFrame, pairs: DataFrame, ball: DataFrame, keep: int = 3) -> DataFrame:
+    """(drug_idx, gene_idx, place, path): the first ``keep`` shortest paths of each pair as arrays of nodes, whatever their length.
+
+    ball has (source, node, distance) of the drugs, as far as their genes are to be found. Paths are read from the gene back,
+    always to a node one step nearer the drug, and are ordered by their nodes in that order; since every part of a
+    path can be finished, ``keep`` parts of a pair are enough at each step.
+    """
+    toward = ball.select(F.col("source").alias("drug_idx"), "node", "distance")
+    ends = pairs.select("drug_idx", "gene_idx").distinct().join(toward.withColumnRenamed("node", "gene_idx"), ["drug_idx", "gene_idx"])
+    walk = cut_lineage(ends.select("drug_idx", "gene_idx", F.col("gene_idx").alias("node"), "distance", F.array("gene_idx").alias("path"), F.lit(1).alias("place")))
+    done = walk.filter("distance = 0")
+    first = Window.partitionBy("drug_idx", "gene_idx").orderBy("place", "node")
+    for _ in range(walk.agg(F.max("distance")).first()[0] or 0):
+        step = walk.filter("distance > 0").select("drug_idx", "gene_idx", F.col("node").alias("u"), (F.col("distance") - 1).alias("distance"), "path", "place").join(neighbours, "u")
+        near = step.withColumnRenamed("v", "node").join(toward, ["drug_idx", "node", "distance"])
+        ranked = near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= keep)
+        walk = cut_lineage(ranked.select("drug_idx", "gene_idx", "node", "distance", F.concat(F.array("node"), "path").alias("path"), F.col("n").alias("place")))
+        done = done.unionByName(walk.filter("distance = 0"))
+    return done.select("drug_idx", "gene_idx", F.col("place").cast("bigint").alias("place"), "path")
+
+
+def path_texts(paths: DataFrame, names: DataFrame, relations: DataFrame) -> DataFrame:
+    """(drug_idx, gene_idx, shortest_paths, shortest_path_relations) of listed_paths: ``name[type] -> ...`` and the relations along
+    each path with bars between; paths are divided by double bars. names has (node, name, node_type), relations (u, v, relation_type)."""
+    nodes = paths.select("drug_idx", "gene_idx", "place", F.posexplode("path").alias("step", "node")).join(names, "node", "left")
+    said = F.format_string("%s[%s]", F.coalesce("name", F.col("node").cast("string")), F.coalesce("node_type", F.lit("?")))
+    links = F.expr("zip_with(slice(path, 1, size(path) - 1), slice(path, 2, size(path) - 1), (a, b) -> named_struct('u', a, 'v', b))")
+    ends = paths.select("drug_idx", "gene_idx", "place", F.posexplode(links).alias("step", "e"))
+    links = ends.select("drug_idx", "gene_idx", "place", "step", "e.u", "e.v").join(relations, ["u", "v"], "left")
+
+    def joined(df: DataFrame, text, between: str, name: str) -> DataFrame:
+        """One text a pair: in order of step within a path, and of paths."""
+        one = df.groupBy("drug_idx", "gene_idx", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", text.alias("t")))), lambda x: x["t"]), between).alias("t"))
+        return one.groupBy("drug_idx", "gene_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]), " || ").alias(name))
+
+    walked = joined(nodes, said, " -> ", "shortest_paths")
+    return walked.join(joined(links, F.coalesce("relation_type", F.lit("unknown")), " | ", "shortest_path_relations"), ["drug_idx", "gene_idx"], "left")
+
+
+def explain_pairs(neighbours: DataFrame, relations: DataFrame, nodes: DataFrame, degree: DataFrame, pairs: DataFrame, max_hops: int = 4, keep: int = 3, top: int = 10) -> DataFrame:
+    """One row a pair: names, length and texts of its first shortest paths, and of three types the nodes that both ends
+    have within max_hops, with their number (``top`` at most).
+
+    Path length has no limit. Pairs that aren't connected have a null length, no paths and empty texts. nodes has (node_index, node_name, node_type).
+    """
+    pairs = cut_lineage(pairs.select("drug_idx", "gene_idx").distinct())
+    names = nodes.select(F.col("node_index").alias("node"), F.coalesce(tx.clean_text("node_name"), F.col("node_index").cast("string")).alias("name"), "node_type")
+    found = all_shortest_paths(neighbours, pairs)
+    longest = found.agg(F.max("length")).first()[0] or 0
+    ball = khop(neighbours, pairs.select(F.explode(F.array("drug_idx", "gene_idx")).alias("source")), max(max_hops, longest))
+    listed = cut_lineage(listed_paths(neighbours, pairs, ball, keep))
+    out = found.select("drug_idx", "gene_idx", F.col("length").alias("shortest_path_length")).join(listed.groupBy("drug_idx", "gene_idx").agg(F.count(F.lit(1)).alias("n_shortest_paths")), ["drug_idx", "gene_idx"], "left")
+    out = out.join(path_texts(listed, names, relations), ["drug_idx", "gene_idx"], "left").fillna({"n_shortest_paths": 0, "shortest_paths": "", "shortest_path_relations": ""})
+    types = ("gene", "variant", "phenotype")
+    shared = _shared(ball.filter(F.col("distance") <= max_hops), pairs, nodes, degree, types, top).join(names.select("node", "name"), "node")
+    said = F.format_string("%s(d=%d,g=%d)", "name", "drug_distance", "gene_distance")
+    lists = cut_lineage(shared.groupBy("drug_idx", "gene_idx", "node_type").agg(F.array_sort(F.collect_list(F.struct("place", said.alias("t")))).alias("l")))
+    for kind in types:
+        text, number = f"shared_{kind}s_within_khop", f"n_shared_{kind}s"
+        one = lists.filter(F.col("node_type") == kind).select("drug_idx", "gene_idx", F.array_join(F.transform("l", lambda x: x["t"]), "; ").alias(text), F.size("l").cast("bigint").alias(number))
+        out = out.join(one, ["drug_idx", "gene_idx"], "left").fillna({text: "", number: 0})
+    for end in ("drug", "gene"):
+        out = out.join(names.select(F.col("node").alias(f"{end}_idx"), F.col("name").alias(f"{end}_name")), f"{end}_idx", "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", F.col(f"{end}_idx").cast("string")))
+    return out
 
 
 def shared_by_type(neighbours: DataFrame, pairs: DataFrame, nodes: DataFrame, degree: DataFrame, types: Sequence[str], max_hops: int = 4, top: int = 10) -> DataFrame:
     """Nodes of each type within max_hops of both ends of a pair, ends left out: of a type the ``top`` nearest by summed
     distance, then by falling degree, then by index."""
     ball = khop(neighbours, pairs.select(F.explode(F.array("drug_idx", "gene_idx")).alias("source")), max_hops)
+    return _shared(ball, pairs, nodes, degree, types, top)
+
+
+def _shared(ball: DataFrame, pairs: DataFrame, nodes: DataFrame, degree: DataFrame, types: Sequence[str], top: int) -> DataFrame:
     wanted = ball.join(nodes.filter(F.col("node_type").isin(*types)).select(F.col("node_index").alias("node"), "node_type"), "node")
     a = wanted.select(F.col("source").alias("drug_idx"), "node", "node_type", F.col("distance").alias("drug_distance"))
     b = wanted.select(F.col("source").alias("gene_idx"), "node", F.col("distance").alias("gene_distance"))
@@ -94,8 +150,3 @@ def shared_by_type(neighbours: DataFrame, pairs: DataFrame, nodes: DataFrame, de
     best = Window.partitionBy("drug_idx", "gene_idx", "node_type").orderBy("distance", F.desc("degree"), "node")
     kept = ranked.withColumn("place", F.row_number().over(best).cast("bigint")).filter(F.col("place") <= top)
     return kept.select("drug_idx", "gene_idx", "node_type", "node", "drug_distance", "gene_distance", "distance", "degree", "place")
-
-
-def shared_khop(neighbours: DataFrame, pairs: DataFrame, nodes: DataFrame, degree: DataFrame, node_type: str, max_hops: int = 2, top: int = 10) -> DataFrame:
-    """shared_by_type of one type."""
-    return shared_by_type(neighbours, pairs, nodes, degree, [node_type], max_hops, top).select("drug_idx", "gene_idx", "node", "distance", "degree", "place")

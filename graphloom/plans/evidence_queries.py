@@ -10,6 +10,7 @@ from graphloom.gnn import layers as gnn
 from graphloom.operators import evidence as ev
 from graphloom.operators import graph_build as gb
 from graphloom.operators import paths, ranking, stats
+from graphloom.plans.graph_queries import clean
 from graphloom.session import cut_lineage
 from graphloom.session import read_table as t
 
@@ -28,32 +29,24 @@ def _neighbours(s: SparkSession, d: str) -> DataFrame:
     return cut_lineage(paths.symmetric(t(s, d, "edges")))
 
 
-def _shared(s: SparkSession, d: str) -> DataFrame:
-    edges = t(s, d, "edges")
-    degree = gb.simple_degree(gb.undirected_edges(edges))
-    return paths.shared_khop(_neighbours(s, d), _asked(s, d), t(s, d, "nodes"), degree, "variant", max_hops=1)
-
-
-def _shared_all(s: SparkSession, d: str) -> DataFrame:
-    """Shared nodes as the reference has them: four hops, three types."""
-    degree = gb.simple_degree(gb.undirected_edges(t(s, d, "edges")))
-    return paths.shared_by_type(_neighbours(s, d), _asked(s, d), t(s, d, "nodes"), degree, ["gene", "variant", "phenotype"])
+def _degrees(s: SparkSession, d: str) -> DataFrame:
+    return gb.simple_degree(gb.undirected_edges(t(s, d, "edges")))
 
 
-# Candidates of a drug: as many as the SQL of the plain names states, and the operator's whole list for the names with _25.
-FEW, WHOLE = 5, 25
+def _shared(s: SparkSession, d: str) -> DataFrame:
+    return paths.shared_by_type(_neighbours(s, d), _asked(s, d), t(s, d, "nodes"), _degrees(s, d), ["gene", "variant", "phenotype"])
 
 
-def _top(s: SparkSession, d: str, k: int) -> DataFrame:
-    return ranking.top_candidates(ranking.candidates(t(s, d, "test_pairs")), k)
+def _top(s: SparkSession, d: str) -> DataFrame:
+    return ranking.top_candidates(ranking.candidates(t(s, d, "test_pairs")))
 
 
-def _propagated(s: SparkSession, d: str, k: int) -> DataFrame:
-    return ev.propagate(_top(s, d, k), t(s, d, "edges"))
+def _propagated(s: SparkSession, d: str) -> DataFrame:
+    return ev.propagate(_top(s, d), t(s, d, "edges"))
 
 
-def _sampled(s: SparkSession, d: str, k: int) -> DataFrame:
-    return _propagated(s, d, k).filter("evidence = 'guideline' AND NOT is_negative AND NOT is_ambiguous").orderBy("drug_idx", "gene_idx", "phenotype_idx").limit(5)
+def _sampled(s: SparkSession, d: str) -> DataFrame:
+    return _propagated(s, d).filter("evidence = 'guideline' AND NOT is_negative AND NOT is_ambiguous").orderBy("drug_idx", "gene_idx", "phenotype_idx").limit(5)
 
 
 def _enriched(s: SparkSession, d: str) -> DataFrame:
@@ -62,34 +55,31 @@ def _enriched(s: SparkSession, d: str) -> DataFrame:
     return stats.enrichment(ev.gene_sets(t(s, d, "edges")), hits, universe)
 
 
-def _flagged(s: SparkSession, d: str, k: int) -> DataFrame:
+def _flagged(s: SparkSession, d: str) -> DataFrame:
     hits = ev.gene_pathway_hits(ev.gene_sets(t(s, d, "edges")), _enriched(s, d))
-    return _top(s, d, k).join(hits.select("gene_idx").distinct(), "gene_idx", "left_semi").select("drug_idx", "gene_idx")
+    return _top(s, d).join(hits.select("gene_idx").distinct(), "gene_idx", "left_semi").select("drug_idx", "gene_idx")
 
 
-def _integrated(s: SparkSession, d: str, k: int) -> DataFrame:
+def _integrated(s: SparkSession, d: str) -> DataFrame:
     edges = t(s, d, "edges")
     hits = ev.gene_pathway_hits(ev.gene_sets(edges), _enriched(s, d))
-    return ev.integrated_scores(_top(s, d, k), ev.literature_counts(edges), hits)
+    return ev.integrated_scores(_top(s, d), ev.literature_counts(edges), hits)
 
 
-def _explained(s: SparkSession, d: str) -> DataFrame:
-    hits = ev.gene_pathway_hits(ev.gene_sets(t(s, d, "edges")), _enriched(s, d))
-    return ev.explain(_integrated(s, d, WHOLE), hits, t(s, d, "nodes"))
+def _predicted(s: SparkSession, d: str) -> DataFrame:
+    """The 50 predictions to be explained: unknown candidates by place, then by drug; a top-k report."""
+    return _top(s, d).filter("NOT known").orderBy("place", "drug_idx", "gene_idx").limit(50).select("drug_idx", "gene_idx")
 
 
 def _explanations(s: SparkSession, d: str) -> DataFrame:
-    asked, near = _asked(s, d), _neighbours(s, d)
-    nodes = t(s, d, "nodes").withColumn("node_name", tx.clean_text("node_name"))
-    found = paths.all_shortest_paths(near, asked)
-    out = found.join(paths.path_strings(near, asked, nodes), ["drug_idx", "gene_idx"], "left")
-    names = nodes.select(F.col("node_index").alias("node"), F.coalesce("node_name", F.col("node_index").cast("string")).alias("name"))
-    said = F.format_string("%s(d=%d,g=%d)", "name", "drug_distance", "gene_distance")
-    lists = _shared_all(s, d).join(names, "node").groupBy("drug_idx", "gene_idx", "node_type").agg(F.array_sort(F.collect_list(F.struct("place", said.alias("t")))).alias("l"))
-    for kind in ("gene", "variant", "phenotype"):
-        one = lists.filter(F.col("node_type") == kind).select("drug_idx", "gene_idx", F.array_join(F.transform("l", lambda x: x["t"]), "; ").alias(f"shared_{kind}s"), F.size("l").cast("bigint").alias(f"n_shared_{kind}s"))
-        out = out.join(one, ["drug_idx", "gene_idx"], "left").fillna({f"shared_{kind}s": "", f"n_shared_{kind}s": 0})
-    return out
+    return paths.explain_pairs(_neighbours(s, d), gb.pair_relation(t(s, d, "edges")), t(s, d, "nodes"), _degrees(s, d), _predicted(s, d))
+
+
+def _explained(s: SparkSession, d: str) -> DataFrame:
+    edges = t(s, d, "edges")
+    hits = ev.gene_pathway_hits(ev.gene_sets(edges), _enriched(s, d))
+    articles = ev.literature_rows(edges).select("drug_idx", "gene_idx", *[F.col(c) if c == "pmid" else F.lit(None).cast("string").alias(c) for c in ev.ARTICLE])
+    return ev.integrated_explanations(_integrated(s, d), _explanations(s, d), hits, articles, t(s, d, "nodes"))
 
 
 def _graph(s: SparkSession, d: str) -> DataFrame:
@@ -111,31 +101,23 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 QUERIES = {
-    "khop_distances": lambda s, d: paths.khop(_neighbours(s, d), _asked(s, d).select(F.col("drug_idx").alias("source")), 2),
-    "shortest_paths": lambda s, d: paths.shortest_paths(_neighbours(s, d), _asked(s, d), 3),
+    "khop_distances": lambda s, d: paths.khop(_neighbours(s, d), _asked(s, d).select(F.col("drug_idx").alias("source")), 4),
+    "shortest_paths": lambda s, d: paths.all_shortest_paths(_neighbours(s, d), _asked(s, d)),
     "shared_khop": _shared,
-    "khop_distances_4": lambda s, d: paths.khop(_neighbours(s, d), _asked(s, d).select(F.col("drug_idx").alias("source")), 4),
-    "shortest_paths_all": lambda s, d: paths.all_shortest_paths(_neighbours(s, d), _asked(s, d)),
-    "shared_khop_4": _shared_all,
     "explanations": _explanations,
     "phenotype_one_hop": lambda s, d: ev.phenotype_one_hop(t(s, d, "edges")),
     "phenotype_two_hop": lambda s, d: ev.phenotype_two_hop(t(s, d, "edges")),
-    "phenotype_propagation": lambda s, d: _propagated(s, d, FEW),
-    "phenotype_propagation_25": lambda s, d: _propagated(s, d, WHOLE),
-    "propagation_sample": lambda s, d: _sampled(s, d, FEW),
-    "propagation_sample_25": lambda s, d: _sampled(s, d, WHOLE),
-    "evidence_polarity": lambda s, d: ev.evidence_polarity(_propagated(s, d, FEW)),
-    "evidence_polarity_25": lambda s, d: ev.evidence_polarity(_propagated(s, d, WHOLE)),
+    "phenotype_propagation": lambda s, d: _propagated(s, d),
+    "propagation_sample": lambda s, d: _sampled(s, d),
+    "evidence_polarity": lambda s, d: ev.evidence_polarity(_propagated(s, d)),
     "literature_evidence": lambda s, d: ev.literature_rows(t(s, d, "edges")),
     "literature_counts": lambda s, d: ev.literature_counts(t(s, d, "edges")),
     "gene_set_explode": lambda s, d: t(s, d, "relationships").select("rel_id", F.explode(tx.split_symbols("pmids", r"[;,]")).alias("symbol")),
     "ora_enrichment": lambda s, d: _enriched(s, d).select("source", "set_id", "set_size", "overlap", *[F.round(c, 6).alias(c) for c in ("fold", "p", "q")], "significant"),
     "ora_by_source": lambda s, d: _enriched(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_sets"), F.count_if(F.col("significant")).alias("n_significant"), F.round(F.min("q"), 6).alias("least_q")),
-    "gene_pathway_hits": lambda s, d: ev.gene_pathway_hits(ev.gene_sets(t(s, d, "edges")), _enriched(s, d)),
-    "pathway_flag": lambda s, d: _flagged(s, d, FEW),
-    "pathway_flag_25": lambda s, d: _flagged(s, d, WHOLE),
-    "integrated_scores": lambda s, d: _integrated(s, d, FEW),
-    "integrated_scores_25": lambda s, d: _integrated(s, d, WHOLE),
+    "gene_pathway_hits": lambda s, d: ev.gene_pathway_hits(ev.gene_sets(t(s, d, "edges")), _enriched(s, d)).drop("q"),
+    "pathway_flag": lambda s, d: _flagged(s, d),
+    "integrated_scores": lambda s, d: _integrated(s, d).drop("score", "hub_adjusted", "literature_signal"),
     "integrated_explanations": _explained,
     "pubdate_year": lambda s, d: t(s, d, "orders").select(tx.year_token(F.date_format("o_orderdate", "yyyy MMM d")).alias("year")).groupBy("year").agg(F.count(F.lit(1)).alias("n")),
     "first_sentence": lambda s, d: t(s, d, "documents").select("doc_id", tx.first_sentence("text").alias("sentence")),
@@ -149,14 +131,17 @@ QUERIES = {
 _POOL = """pool AS (SELECT drug_idx, gene_idx, max(score) AS score, coalesce(bool_or(association = 'associated'), false) AS known, max(association) AS label FROM test_pairs
     WHERE drug_idx IS NOT NULL AND gene_idx IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
     asked AS (SELECT drug_idx, gene_idx FROM pool WHERE label = 'ambiguous'),
-    top AS (SELECT *, row_number() OVER (PARTITION BY drug_idx ORDER BY score DESC, gene_idx) AS place FROM pool QUALIFY place <= 5)"""
+    top AS (SELECT *, row_number() OVER (PARTITION BY drug_idx ORDER BY score DESC, gene_idx) AS place FROM pool QUALIFY place <= 25)"""
 _SYM = """sym AS (SELECT DISTINCT u, v FROM (SELECT source_idx AS u, target_idx AS v FROM edges UNION ALL SELECT target_idx, source_idx FROM edges) WHERE u IS NOT NULL AND v IS NOT NULL AND u <> v)"""
 
 
-def _ball(src: str, p: str) -> str:
-    return f"""{p}0 AS (SELECT DISTINCT {src} AS source, {src} AS node, 0 AS distance, 1::BIGINT AS n_paths FROM asked),
-        {p}1 AS (SELECT source, v AS node, 1 AS distance, 1::BIGINT AS n_paths FROM {p}0 JOIN sym ON u = source),
-        {p}2 AS (SELECT source, v AS node, 2 AS distance, count(*) AS n_paths FROM {p}1 JOIN sym ON u = node WHERE v <> source AND NOT EXISTS (SELECT 1 FROM {p}1 x WHERE x.source = {p}1.source AND x.node = v) GROUP BY ALL)"""
+def _ball(source: str, p: str, hops: int) -> str:
+    """Levels p0, p1, ... of a search from sources, and p with all; a neighbour of a level lies in the one before, in it or in the next."""
+    levels = [f"{p}0 AS MATERIALIZED (SELECT DISTINCT source, source AS node, 0 AS distance, 1::BIGINT AS n_paths FROM ({source}))"]
+    for k in range(1, hops + 1):
+        met = " ".join(f"AND NOT EXISTS (SELECT 1 FROM {p}{j} x WHERE x.source = b.source AND x.node = v)" for j in (k - 1, k - 2) if j >= 0)
+        levels.append(f"{p}{k} AS MATERIALIZED (SELECT source, v AS node, {k} AS distance, sum(n_paths)::BIGINT AS n_paths FROM {p}{k - 1} b JOIN sym ON u = node WHERE true {met} GROUP BY source, v)")
+    return ", ".join(levels) + f", {p} AS (" + " UNION ALL ".join(f"SELECT source, node, distance::BIGINT AS distance, n_paths FROM {p}{k}" for k in range(hops + 1)) + ")"
 
 
 def _btw(a: str, b: str) -> str:
@@ -185,7 +170,7 @@ _ORA = f"""{_POOL}, {_SETS}, hits AS (SELECT DISTINCT gene_idx FROM pool WHERE k
         coalesce(overlap / nullif(n_hits * set_size / n_universe, 0), 0)::DOUBLE AS fold FROM f),
     k AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY round(p, 14)) + count(*) OVER (PARTITION BY source, round(p, 14)) - 1 AS r, count(*) OVER (PARTITION BY source) AS m FROM p),
     ora AS (SELECT *, least(1.0, min(p * m / r) OVER (PARTITION BY source ORDER BY round(p, 14) DESC, r)) AS q FROM k)"""
-_GPH = "gph AS (SELECT gene_idx, source, set_id, row_number() OVER (PARTITION BY gene_idx ORDER BY round(q, 12), source, set_id) AS place FROM sets JOIN ora USING (source, set_id) WHERE q < 0.05 QUALIFY place <= 5)"
+_GPH = "gph AS (SELECT gene_idx, source, set_id, round(q, 12) AS q, row_number() OVER (PARTITION BY gene_idx ORDER BY round(q, 12), source, set_id) AS place FROM sets JOIN ora USING (source, set_id) WHERE q < 0.05 QUALIFY place <= 5)"
 _X = """xs AS (SELECT node_index AS node, (node_index * 1) % 7 / 7.0::DOUBLE AS a0, (node_index * 3) % 11 / 11.0::DOUBLE AS a1, (node_index * 5) % 13 / 13.0::DOUBLE AS a2, (node_index * 2) % 17 / 17.0::DOUBLE AS a3 FROM nodes),
     g AS (SELECT source_idx AS src, target_idx AS dst, rel_idx AS rel FROM edges WHERE source_idx IS NOT NULL AND target_idx IS NOT NULL)"""
 
@@ -209,17 +194,55 @@ _RGAT = f"""WITH {_X}, y AS (SELECT node, {', '.join(f'{e} AS y{j}' for j, e in
     SELECT node, {', '.join(f'round(greatest(coalesce(o{i}, 0), 0), 6) AS x{i}' for i in range(4))} FROM xs LEFT JOIN o USING (node)"""
 _CELLS = " + ".join("pow(" + " + ".join(f"((rel * 7 + {b} * 3) % 5 - 2) / 2.0::DOUBLE * ({BASES[b][i][j]})" for b in range(2)) + ", 2)" for i in range(4) for j in range(4))
 
+_NAMES = f"names AS (SELECT node_index AS node, coalesce({clean('node_name')}, node_index::VARCHAR) AS name, node_type FROM nodes)"
+_DEGREE = """und AS (SELECT DISTINCT least(source_idx, target_idx) AS a, greatest(source_idx, target_idx) AS b FROM edges WHERE source_idx IS NOT NULL AND target_idx IS NOT NULL),
+    dg AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM und UNION ALL SELECT b FROM und) GROUP BY ALL)"""
+_SHARED = """shared AS (SELECT drug_idx, gene_idx, node_type, a.node, a.distance AS drug_distance, c.distance AS gene_distance, a.distance + c.distance AS distance, degree,
+        row_number() OVER (PARTITION BY drug_idx, gene_idx, node_type ORDER BY a.distance + c.distance, degree DESC, a.node) AS place
+    FROM {pairs} JOIN b a ON a.source = drug_idx AND a.distance <= 4 JOIN b c ON c.source = gene_idx AND c.node = a.node AND c.distance <= 4 JOIN nodes ON node_index = a.node JOIN dg ON dg.node = a.node
+    WHERE node_type IN ('gene', 'variant', 'phenotype') AND a.node <> drug_idx AND a.node <> gene_idx QUALIFY place <= 10)"""
+_EXPLAIN = f"""{_POOL}, {_SYM}, {_DEGREE}, {_NAMES}, said AS (SELECT drug_idx, gene_idx FROM top WHERE NOT known ORDER BY place, drug_idx, gene_idx LIMIT 50),
+    {_ball('SELECT unnest([drug_idx, gene_idx]) AS source FROM said', 'b', 9)}, {_SHARED.format(pairs='said')},
+    rel AS (SELECT u, v, arg_max(relation_type, edge_index) AS r FROM (SELECT source_idx AS u, target_idx AS v, relation_type, edge_index FROM edges UNION ALL SELECT target_idx, source_idx, relation_type, edge_index FROM edges)
+        WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY ALL),
+    walk AS (
+        SELECT drug_idx, gene_idx, gene_idx AS node, distance, [gene_idx] AS back FROM said JOIN b ON source = drug_idx AND node = gene_idx
+        UNION ALL SELECT w.drug_idx, w.gene_idx, v, b.distance, list_append(back, v) FROM walk w JOIN sym ON u = w.node JOIN b ON b.source = w.drug_idx AND b.node = v AND b.distance = w.distance - 1),
+    p3 AS (SELECT drug_idx, gene_idx, list_reverse(back) AS p, row_number() OVER (PARTITION BY drug_idx, gene_idx ORDER BY back) AS place FROM walk WHERE distance = 0 QUALIFY place <= 3),
+    steps AS (SELECT drug_idx, gene_idx, place, i, p[i] AS node, p[i + 1] AS following FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM p3)),
+    txt AS (SELECT drug_idx, gene_idx, place, string_agg(coalesce(name, s.node::VARCHAR) || '[' || coalesce(node_type, '?') || ']', ' -> ' ORDER BY i) AS t, string_agg(coalesce(r, 'unknown'), ' | ' ORDER BY i) FILTER (following IS NOT NULL) AS r
+        FROM steps s LEFT JOIN names USING (node) LEFT JOIN rel ON u = s.node AND v = following GROUP BY ALL),
+    pt AS (SELECT drug_idx, gene_idx, count(*) AS n, string_agg(t, ' || ' ORDER BY place) AS t, string_agg(r, ' || ' ORDER BY place) AS r FROM txt GROUP BY ALL),
+    lst AS (SELECT drug_idx, gene_idx, node_type, count(*) AS n, string_agg(name || '(d=' || drug_distance || ',g=' || gene_distance || ')', '; ' ORDER BY place) AS t FROM shared JOIN (SELECT node, name FROM names) USING (node) GROUP BY ALL),
+    explained AS (SELECT drug_idx, gene_idx, b.distance AS shortest_path_length, coalesce(pt.n, 0) AS n_shortest_paths, coalesce(pt.t, '') AS shortest_paths, coalesce(pt.r, '') AS shortest_path_relations,
+        {', '.join(f"coalesce({k}.t, '') AS shared_{k}s_within_khop, coalesce({k}.n, 0) AS n_shared_{k}s" for k in ('gene', 'variant', 'phenotype'))}, dn.name AS drug_name, gn.name AS gene_name
+        FROM said LEFT JOIN b ON source = drug_idx AND node = gene_idx LEFT JOIN pt USING (drug_idx, gene_idx)
+        {' '.join(f"LEFT JOIN (SELECT * FROM lst WHERE node_type = '{k}') {k} USING (drug_idx, gene_idx)" for k in ('gene', 'variant', 'phenotype'))}
+        JOIN names dn ON dn.node = drug_idx JOIN names gn ON gn.node = gene_idx)"""
+
 ORACLE = {
-    "khop_distances": f"WITH {_POOL}, {_SYM}, {_ball('drug_idx', 'b')} SELECT source, node, distance::BIGINT AS distance, n_paths FROM (FROM b0 UNION ALL FROM b1 UNION ALL FROM b2)",
-    "shortest_paths": f"""WITH {_POOL}, {_SYM}, {_ball('drug_idx', 'b')}, g1 AS (SELECT DISTINCT gene_idx AS source, v AS node FROM asked JOIN sym ON u = gene_idx),
-        l1 AS (SELECT drug_idx, gene_idx, 1 AS length, 1 AS n FROM asked JOIN b1 ON source = drug_idx AND node = gene_idx), l2 AS (SELECT drug_idx, gene_idx, 2, n_paths FROM asked JOIN b2 ON source = drug_idx AND node = gene_idx),
-        l3 AS (SELECT drug_idx, gene_idx, 3, sum(n_paths) FROM asked JOIN b2 ON b2.source = drug_idx JOIN g1 ON g1.source = gene_idx AND g1.node = b2.node GROUP BY ALL),
-        a AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3), m AS (SELECT drug_idx, gene_idx, min(length) AS length, arg_min(n, length) AS n FROM a GROUP BY ALL)
-        SELECT drug_idx, gene_idx, length::BIGINT AS length, coalesce(n, 0)::BIGINT AS n_paths FROM asked LEFT JOIN m USING (drug_idx, gene_idx)""",
-    "shared_khop": f"""WITH {_POOL}, {_SYM}, und AS (SELECT DISTINCT least(source_idx, target_idx) AS a, greatest(source_idx, target_idx) AS b FROM edges WHERE source_idx IS NOT NULL AND target_idx IS NOT NULL),
-        dg AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM und UNION ALL SELECT b FROM und) GROUP BY ALL)
-        SELECT drug_idx, gene_idx, a.v AS node, 2::BIGINT AS distance, degree, row_number() OVER (PARTITION BY drug_idx, gene_idx ORDER BY degree DESC, a.v) AS place
-        FROM asked JOIN sym a ON a.u = drug_idx JOIN sym b ON b.u = gene_idx AND b.v = a.v JOIN nodes ON node_index = a.v JOIN dg ON dg.node = a.v WHERE node_type = 'variant' QUALIFY place <= 10""",
+    "khop_distances": f"WITH {_POOL}, {_SYM}, {_ball('SELECT drug_idx AS source FROM asked', 'b', 4)} SELECT * FROM b",
+    "shortest_paths": f"""WITH {_POOL}, {_SYM}, {_ball('SELECT drug_idx AS source FROM asked', 'b', 9)}
+        SELECT drug_idx, gene_idx, distance AS length, coalesce(n_paths, 0)::BIGINT AS n_paths FROM asked LEFT JOIN b ON source = drug_idx AND node = gene_idx""",
+    "shared_khop": f"""WITH {_POOL}, {_SYM}, {_DEGREE}, {_ball('SELECT unnest([drug_idx, gene_idx]) AS source FROM asked', 'b', 4)}, {_SHARED.format(pairs='asked')} SELECT * FROM shared""",
+    "explanations": f"WITH RECURSIVE {_EXPLAIN} SELECT * FROM explained",
+    "integrated_explanations": f"""WITH RECURSIVE {_ORA}, {_GPH}, {_ART}, {_EXPLAIN.replace(_POOL + ",", "", 1)}, n AS (SELECT drug_idx, gene_idx, count(pmid) AS n_articles, list_sort(list(pmid) FILTER (pmid IS NOT NULL)) AS ids FROM art GROUP BY ALL),
+        sc AS (SELECT drug_idx, gene_idx, place, score, coalesce(n_articles, 0) AS n_articles, ids, (gene_idx IN (SELECT gene_idx FROM gph))::INT::DOUBLE AS pathway_signal, (1 / place) / max(1 / place) OVER () AS h,
+            coalesce(ln(1 + coalesce(n_articles, 0)) / nullif(max(ln(1 + coalesce(n_articles, 0))) OVER (), 0), 0) AS l FROM top LEFT JOIN n USING (drug_idx, gene_idx)),
+        best AS (SELECT *, round(0.4 * h + 0.3 * l + 0.3 * pathway_signal, 6) AS integrated_score FROM sc ORDER BY integrated_score DESC, drug_idx, gene_idx LIMIT 50),
+        hs AS (SELECT gene_idx, list(source || '::' || set_id ORDER BY place) AS names, list(source || '::' || set_id || printf(' (q=%.2e)', q) ORDER BY place) AS said FROM gph GROUP BY gene_idx),
+        j AS (SELECT b.*, dn.name AS drug_name, gn.name AS gene_name, e.shortest_path_length, coalesce(e.shortest_paths, '') AS shortest_paths, coalesce(e.shortest_path_relations, '') AS shortest_path_relations,
+            coalesce(e.shared_genes_within_khop, '') AS shared_genes_within_khop, coalesce(e.n_shared_genes, 0) AS n_shared_genes, coalesce(e.n_shared_variants, 0) AS n_shared_variants, coalesce(e.n_shared_phenotypes, 0) AS n_shared_phenotypes,
+            coalesce(len(hs.names), 0) AS n_sets, coalesce(array_to_string(hs.said, '; '), '') AS top_pathway_hits, array_to_string(hs.names[1:2], ', ') AS first_sets
+            FROM best b JOIN names dn ON dn.node = b.drug_idx JOIN names gn ON gn.node = b.gene_idx LEFT JOIN explained e USING (drug_idx, gene_idx) LEFT JOIN hs USING (gene_idx))
+        SELECT drug_idx, gene_idx, drug_name, gene_name, place AS model_rank, score AS model_score, round(h, 6) AS hub_adjusted, round(l, 6) AS literature_signal, pathway_signal, integrated_score, n_articles,
+            CASE WHEN n_articles = 0 THEN 'No articles found for this pair.' ELSE array_to_string([format('[{{}}] Unknown authors (n.d.).  . PMID:{{}}. ', i, ids[i]) for i in range(1, len(ids) + 1)], chr(10)) END AS literature_citations, '' AS abstract_summary,
+            n_sets AS n_significant_pathways_for_gene, top_pathway_hits, shortest_path_length, shortest_paths, shortest_path_relations, shared_genes_within_khop, n_shared_genes, n_shared_variants, n_shared_phenotypes,
+            drug_name || ' and ' || gene_name || printf(': integrated score %.3f; ', integrated_score) || CASE WHEN shortest_path_length IS NULL THEN 'no path in the graph' ELSE 'connected by ' || shortest_path_length || ' steps' END || '; '
+            || CASE WHEN n_articles > 0 THEN n_articles || ' articles name both' ELSE 'no article names both' END || CASE WHEN n_sets > 0 THEN '; the gene is in ' || n_sets || ' significant sets, among them ' || first_sets ELSE '' END
+            || CASE WHEN n_shared_genes + n_shared_variants + n_shared_phenotypes > 0 THEN '; they share ' || n_shared_genes || ' genes, ' || n_shared_variants || ' variants and ' || n_shared_phenotypes || ' phenotypes' ELSE '' END || '.' AS explanation
+        FROM j""",
+    "first_sentence": r"""SELECT doc_id, CASE WHEN regexp_extract(text, '(?s)^(.*?\.)\s+\p{Lu}', 1) = '' THEN text ELSE regexp_extract(text, '(?s)^(.*?\.)\s+\p{Lu}', 1) END AS sentence FROM documents""",
     "phenotype_one_hop": f"WITH {_ONE} SELECT * FROM one",
     "phenotype_two_hop": f"WITH {_TWO} SELECT * FROM two",
     "phenotype_propagation": f"WITH {_PROP} SELECT * FROM prop",
@@ -232,7 +255,7 @@ ORACLE = {
     "ora_enrichment": f"WITH {_ORA} SELECT source, set_id, set_size, overlap, round(fold, 6) AS fold, round(p, 6) AS p, round(q, 6) AS q, q < 0.05 AS significant FROM ora",
     "ora_by_source": f"WITH {_ORA} SELECT source, count(*) AS n_sets, count(*) FILTER (q < 0.05) AS n_significant, round(min(q), 6) AS least_q FROM ora GROUP BY ALL",
     "pathway_flag": f"WITH {_ORA}, {_GPH} SELECT drug_idx, gene_idx FROM top WHERE gene_idx IN (SELECT gene_idx FROM gph)",
-    "gene_pathway_hits": f"WITH {_ORA}, {_GPH} SELECT * FROM gph",
+    "gene_pathway_hits": f"WITH {_ORA}, {_GPH} SELECT * EXCLUDE (q) FROM gph",
     "integrated_scores": f"""WITH {_ORA}, {_GPH}, {_ART}, n AS (SELECT drug_idx, gene_idx, count(pmid) AS n_articles FROM art GROUP BY ALL),
         b AS (SELECT drug_idx, gene_idx, place, coalesce(n_articles, 0) AS n_articles, (gene_idx IN (SELECT gene_idx FROM gph))::INT::DOUBLE AS pathway FROM top LEFT JOIN n USING (drug_idx, gene_idx))
         SELECT *, round(0.4 * (1 / place) / max(1 / place) OVER () + 0.3 * coalesce(ln(1 + n_articles) / nullif(max(ln(1 + n_articles)) OVER (), 0), 0) + 0.3 * pathway, 6) AS integrated_score FROM b""",

@@ -14,7 +14,7 @@ from graphloom.plans import evidence_queries, graph_queries, model_queries, rank
 
 TABLES = Path("/root/testdata/sf0.001")
 MODULES = [skew_queries, graph_queries, split_queries, rank_queries, evidence_queries, model_queries]
-SLOW = {"molecular_summary", "bootstrap_ci", "gnn_train", "explanations", "explanation_diagnostics", "integrated_explanations", "khop_distances", "calibration_grid"}
+SLOW = {"khop_distances", "shortest_paths"}  # tests/test_whole_jobs.py has them against a search of its own
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
 
 

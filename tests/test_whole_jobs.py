@@ -1,4 +1,4 @@
-"""Queries that do the whole of what the SQL of their plain name states for less."""
+"""Searches without a limit, against a breadth-first search of our own; results of any size."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from graphloom.operators import evidence as ev
 from graphloom.plans import evidence_queries as eq
 from graphloom.sources.delimited import parse_gmt
 from tests.test_oracle import TABLES, bag, duck  # noqa: F401
@@ -13,25 +14,6 @@ from tests.test_oracle import TABLES, bag, duck  # noqa: F401
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
 
 
-def whole_list(name):
-    """The SQL of a name, with 25 candidates a drug."""
-    pool = eq._POOL.replace("QUALIFY place <= 5)", "QUALIFY place <= 25)")
-    assert pool != eq._POOL and eq._POOL in eq.ORACLE[name]
-    return eq.ORACLE[name].replace(eq._POOL, pool)
-
-
-@pytest.mark.parametrize("name", ["phenotype_propagation", "propagation_sample", "evidence_polarity", "pathway_flag", "integrated_scores"])
-def test_all_candidates_of_a_drug(spark, duck, name):  # noqa: F811
-    got = bag(eq.QUERIES[f"{name}_25"](spark, str(TABLES)).toArrow())
-    assert got == bag(duck.sql(whole_list(name)).to_arrow_table())
-
-
-def test_explanations_are_of_all_candidates(spark, duck):  # noqa: F811
-    got = {(r["drug_idx"], r["gene_idx"], round(r["integrated_score"], 5)) for r in eq.QUERIES["integrated_explanations"](spark, str(TABLES)).collect()}
-    want = duck.sql(f"SELECT drug_idx, gene_idx, integrated_score FROM ({whole_list('integrated_scores')}) ORDER BY integrated_score DESC, drug_idx, gene_idx LIMIT 50").fetchall()
-    assert got == {(d, g, round(x, 5)) for d, g, x in want}
-
-
 @pytest.fixture(scope="module")
 def searched(duck):  # noqa: F811
     """Of each asked pair its drug's and its gene's distances and path numbers, breadth first without a limit."""
@@ -57,9 +39,9 @@ def searched(duck):  # noqa: F811
 
 
 def test_distances_and_paths_have_no_short_limit(spark, searched):
-    got = {(r["source"], r["node"], r["distance"]) for r in eq.QUERIES["khop_distances_4"](spark, str(TABLES)).collect()}
+    got = {(r["source"], r["node"], r["distance"]) for r in eq.QUERIES["khop_distances"](spark, str(TABLES)).collect()}
     assert got == {(d, n, k) for (d, _), (seen, _, _) in searched.items() for n, k in seen.items() if k <= 4}
-    found = {(r["drug_idx"], r["gene_idx"], r["length"], r["n_paths"]) for r in eq.QUERIES["shortest_paths_all"](spark, str(TABLES)).collect()}
+    found = {(r["drug_idx"], r["gene_idx"], r["length"], r["n_paths"]) for r in eq.QUERIES["shortest_paths"](spark, str(TABLES)).collect()}
     assert found == {(d, g, seen.get(g), ways.get(g, 0)) for (d, g), (seen, ways, _) in searched.items()}
 
 
@@ -74,16 +56,54 @@ def test_paths_longer_than_the_near_search(spark):
 def test_shared_nodes_of_three_types_within_four_hops(spark, duck, searched):  # noqa: F811
     kinds = dict(duck.sql("SELECT node_index, node_type FROM nodes").fetchall())
     got = defaultdict(list)
-    for r in eq.QUERIES["shared_khop_4"](spark, str(TABLES)).collect():
+    for r in eq.QUERIES["shared_khop"](spark, str(TABLES)).collect():
         got[r["drug_idx"], r["gene_idx"], r["node_type"]].append(r["distance"])
-    said = {(r["drug_idx"], r["gene_idx"]): r for r in eq.QUERIES["explanations"](spark, str(TABLES)).collect()}
-    assert set(said) == set(searched)
     for (d, g), (a, _, b) in searched.items():
-        assert said[d, g]["length"] == a.get(g)
         for kind in ("gene", "variant", "phenotype"):
             want = sorted(a[n] + b[n] for n in a if n in b and a[n] <= 4 and b[n] <= 4 and kinds.get(n) == kind and n not in (d, g))[:10]
             assert sorted(got[d, g, kind]) == want
-            assert said[d, g][f"n_shared_{kind}s"] == len(want) and said[d, g][f"shared_{kind}s"].count("(d=") == len(want)
+
+
+def test_paths_and_texts_of_pairs_at_any_distance(spark):
+    steps = [(i, i + 1) for i in range(7)] + [(0, 11), (11, 2), (0, 12), (12, 2), (0, 13), (13, 2), (20, 21)]
+    edges = spark.createDataFrame([(a, b, f"r{a}-{b}", i) for i, (a, b) in enumerate(steps)], "source_idx bigint, target_idx bigint, relation_type string, edge_index bigint")
+    nodes = spark.createDataFrame([(i, f" n{i} " if i != 3 else "nan", "gene" if i % 2 else "drug") for i in range(22)], "node_index bigint, node_name string, node_type string")
+    near, degree = eq.paths.symmetric(edges), eq.gb.simple_degree(eq.gb.undirected_edges(edges))
+    pairs = spark.createDataFrame([(0, 7), (0, 2), (0, 21), (5, 5), (0, 1), (0, 1)], "drug_idx bigint, gene_idx bigint")
+    got = {(r["drug_idx"], r["gene_idx"]): r for r in eq.paths.explain_pairs(near, eq.gb.pair_relation(edges), nodes, degree, pairs).collect()}
+    assert set(got) == {(0, 7), (0, 2), (0, 21), (5, 5), (0, 1)}
+    far, two, none, same = got[0, 7], got[0, 2], got[0, 21], got[5, 5]
+    assert (far["shortest_path_length"], far["n_shortest_paths"]) == (7, 3)
+    assert far["shortest_paths"].split(" || ")[0] == "n0[drug] -> n1[gene] -> n2[drug] -> 3[gene] -> n4[drug] -> n5[gene] -> n6[drug] -> n7[gene]"
+    assert far["shortest_path_relations"].split(" || ")[1] == "r0-11 | r11-2 | r2-3 | r3-4 | r4-5 | r5-6 | r6-7"
+    assert two["shortest_paths"] == "n0[drug] -> n1[gene] -> n2[drug] || n0[drug] -> n11[gene] -> n2[drug] || n0[drug] -> n12[drug] -> n2[drug]"
+    assert none["shortest_path_length"] is None and none["shortest_paths"] == none["shared_genes_within_khop"] == "" and none["n_shortest_paths"] == 0
+    assert same["shortest_path_length"] == 0 and same["shortest_paths"] == "n5[gene]" and same["shortest_path_relations"] in ("", None)
+    assert eq.paths.explain_pairs(near, eq.gb.pair_relation(edges), nodes, degree, pairs.limit(0)).collect() == []
+
+
+def test_articles_and_last_explanation(spark):
+    row = dict.fromkeys(ev.ARTICLE)
+    articles = [
+        {"drug_idx": 1, "gene_idx": 2, **row, "pmid": "7", "title": "T", "journal": "J", "year": "2021", "authors": "A B; C D", "doi": "10/x", "url": "u", "abstract": "We saw 3.5 mg. It worked. Yes."},
+        {"drug_idx": 1, "gene_idx": 2, **row, "pmid": "9", "authors": "Z"}, {"drug_idx": 1, "gene_idx": 2, **row, "pmid": ""}, {"drug_idx": 1, "gene_idx": 3, **row},
+    ]
+    df = spark.createDataFrame(articles, "drug_idx bigint, gene_idx bigint, " + ", ".join(f"{c} string" for c in ev.ARTICLE))
+    lists = {(r["drug_idx"], r["gene_idx"]): r for r in ev.article_lists(df).collect()}
+    assert set(lists) == {(1, 2)} and lists[1, 2]["n_articles"] == 2
+    assert lists[1, 2]["literature_citations"] == "[1] A B et al. (2021). T J. PMID:7. DOI:10/x. u\n[2] Z (n.d.).  . PMID:9. "
+    assert lists[1, 2]["abstract_summary"] == "[1] We saw 3.5 mg."
+    scored = spark.createDataFrame([(1, 2, 1, 0.5, 1.0, 0.1, 1.0, 0.9), (1, 3, 2, 0.4, 0.5, 0.0, 0.0, 0.2)], "drug_idx bigint, gene_idx bigint, place bigint, score double, hub_adjusted double, literature_signal double, pathway double, integrated_score double")
+    told = spark.createDataFrame([(1, 2, n, "p", "r", "s", 1, 0, 2, n) for n in (3, 4)], "drug_idx bigint, gene_idx bigint, shortest_path_length bigint, shortest_paths string, shortest_path_relations string, shared_genes_within_khop string, n_shared_genes bigint, n_shared_variants bigint, n_shared_phenotypes bigint, explained_at bigint")
+    hits = spark.createDataFrame([(2, "S", i, i, 0.0123) for i in (1, 2, 3)], "gene_idx bigint, source string, set_id bigint, place bigint, q double")
+    nodes = spark.createDataFrame([(1, "D"), (2, "G")], "node_index bigint, node_name string")
+    out = ev.integrated_explanations(scored, told, hits, df, nodes)
+    assert len(out.columns) == 23
+    a, b = out.orderBy("gene_idx").collect()
+    assert a["shortest_path_length"] == 4  # the last explanation of a pair counts
+    assert a["explanation"] == "D and G: integrated score 0.900; connected by 4 steps; 2 articles name both; the gene is in 3 significant sets, among them S::1, S::2; they share 1 genes, 0 variants and 2 phenotypes."
+    assert a["top_pathway_hits"] == "S::1 (q=1.23e-02); S::2 (q=1.23e-02); S::3 (q=1.23e-02)"
+    assert b["gene_name"] == "3" and b["literature_citations"] == "No articles found for this pair." and b["explanation"] == "D and 3: integrated score 0.200; no path in the graph; no article names both."
 
 
 def test_a_large_gene_set_is_whole(spark):
