@@ -182,6 +182,33 @@ def alternatives(pool: DataFrame, k: int = 5) -> DataFrame:
     return ranks.select("drug_idx", "gene_idx", "rank").join(lists, ["drug_idx", "gene_idx", "rank"], "left").withColumn("alternatives", F.coalesce("alternatives", F.array().cast("array<bigint>")))
 
 
+# The action for a rank as a share of the candidates, in the order in which they are tried.
+ACTIONS = (("<=", 0.05, "upgrade_to_associated"), ("<=", 0.20, "lean_associated"), (">=", 0.95, "downgrade_to_not_associated"), (">=", 0.80, "lean_not_associated"))
+
+
+def curator_action(share: Column) -> Column:
+    out = F
+    for sign, bound, action in ACTIONS:
+        out = out.when(share <= bound if sign == "<=" else share >= bound, action)
+    return out.otherwise("remains_ambiguous")
+
+
+def recuration(pool: DataFrame, k: int = 5) -> DataFrame:
+    """Per ambiguous pair: raw rank, number of candidates, rank as a share of them, 1 / rank, the action this suggests, and the k best other
+    genes of the drug that aren't known, each with its own raw rank, best first."""
+    sizes = pool.groupBy("drug_idx").agg(F.count(F.lit(1)).alias("n_candidates"))
+    asked = alternatives(pool, k).join(sizes, "drug_idx")
+    better = count_greater(pool, ["drug_idx"], "score", F.lit(1).cast("bigint"), "better")
+    offered = asked.select("drug_idx", "gene_idx", F.posexplode("alternatives").alias("place", "alt"))
+    scores = pool.select("drug_idx", F.col("gene_idx").alias("alt"), "score")
+    ranked = offered.join(scores, ["drug_idx", "alt"]).join(better, ["drug_idx", "score"]).withColumn("said", F.concat(F.col("alt").cast("string"), F.lit(" (r="), (F.col("better") + 1).cast("string"), F.lit(")")))
+    texts = ranked.groupBy("drug_idx", "gene_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "said"))), lambda x: x["said"]), "; ").alias("top_alternatives"))
+    share = F.col("rank") / F.col("n_candidates")
+    return asked.join(texts, ["drug_idx", "gene_idx"], "left").select(
+        "drug_idx", "gene_idx", "rank", "n_candidates", F.round(share, 6).alias("rank_percentile"), F.round(1 / F.col("rank"), 6).alias("priority"), curator_action(share).alias("action"), F.coalesce("top_alternatives", F.lit("")).alias("top_alternatives")
+    )
+
+
 def modal_relation(assignments: DataFrame) -> DataFrame:
     """Most frequent forward drug-gene relation of the training rows, ties by name."""
     counts = assignments.filter("split = 'train' AND source_type = 'drug' AND target_type = 'gene'").groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"))

@@ -69,8 +69,7 @@ def seed_summary(s: SparkSession, d: str) -> DataFrame:
 
 def molecular_summary(s: SparkSession, d: str) -> DataFrame:
     """Per seed difference to the random ranker with its bootstrap interval, and the counts of seeds by sign of the interval."""
-    rows = _seeded(s, d).withColumn("k", F.concat_ws(":", F.col("drug_idx").cast("string"), F.col("gene_idx").cast("string")))
-    ci = stats.bootstrap_mean_ci(rows, "delta_rr", "k", ["seed"])
+    ci = stats.paired_bootstrap(_seeded(s, d), "delta_rr", ["drug_idx", "gene_idx"], ["seed"], 2000)
     return ci.agg(F.count(F.lit(1)).alias("n_seeds"), F.round(F.avg("mean"), 6).alias("mean_delta"), F.count_if(F.col("mean") > 0).alias("n_positive"), F.count_if(F.col("low") > 0).alias("n_above"), F.count_if(F.col("high") < 0).alias("n_below"))
 
 
@@ -107,6 +106,7 @@ QUERIES = {
     "topk_candidates": lambda s, d: rk.top_candidates(_pool(s, d)),
     "candidate_categories": lambda s, d: rk.top_candidates(_pool(s, d)).groupBy(F.when(F.col("known"), "rediscovered").otherwise("novel").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("drug_idx").alias("n_drugs")),
     "top5_alternatives": lambda s, d: rk.alternatives(_pool(s, d)),
+    "recuration_actions": lambda s, d: rk.recuration(_pool(s, d)),
     "modal_relation": lambda s, d: rk.modal_relation(assignments(s, d)),
     "ambiguous_pairs": lambda s, d: t(s, d, "edges").filter(F.lower("association_raw").contains("ambiguous") & F.expr("source_type = 'drug' AND target_type = 'gene'")).select("source_idx", "target_idx", "relation_type").distinct(),
     "paired_rank_compare": lambda s, d: _paired(s, d).withColumn("delta_rr", F.round("delta_rr", 6)),
@@ -118,7 +118,7 @@ QUERIES = {
     "structure_clean": lambda s, d: _structured(s, d),
     "subset_metrics": subset_metrics,
     "calibration_grid": lambda s, d: rk.calibration_grid(cut_lineage(_pool(s, d)), cut_lineage(_degree(s, d))),
-    "bootstrap_ci": lambda s, d: stats.bootstrap_mean_ci(_paired(s, d).withColumn("one", F.lit(1)).withColumn("k", F.concat_ws(":", F.col("drug_idx").cast("string"), F.col("gene_idx").cast("string"))), "delta_rr", "k", ["one"], draws=10_000),
+    "bootstrap_ci": lambda s, d: stats.paired_bootstrap(_paired(s, d).withColumn("one", F.lit(1)), "delta_rr", ["drug_idx", "gene_idx"], ["one"]),
     "early_stopping": early_stopping,
     "prefix_share": lambda s, d: _pool(s, d).filter("known").join(t(s, d, "nodes").select(F.col("node_index").alias("gene_idx"), "node_name"), "gene_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.upper("node_name").startswith("X").cast("int")), 6).alias("share")),
 }
@@ -177,6 +177,14 @@ ORACLE = {
     "top5_alternatives": f"""WITH {POOL}, a AS (SELECT p.drug_idx, p.gene_idx, 1 + count(*) FILTER (q.score > p.score) AS rank FROM pool p JOIN pool q USING (drug_idx) WHERE p.label = 'ambiguous' GROUP BY ALL),
         o AS (SELECT a.drug_idx, a.gene_idx, q.gene_idx AS alt, row_number() OVER (PARTITION BY a.drug_idx, a.gene_idx ORDER BY q.score DESC, q.gene_idx) AS n FROM a JOIN pool q ON q.drug_idx = a.drug_idx AND q.gene_idx <> a.gene_idx AND NOT q.known)
         SELECT a.*, coalesce((SELECT list(alt ORDER BY n) FROM o WHERE o.drug_idx = a.drug_idx AND o.gene_idx = a.gene_idx AND n <= 5), []) AS alternatives FROM a""",
+    "recuration_actions": f"""WITH {POOL}, r AS (SELECT *, rank() OVER (PARTITION BY drug_idx ORDER BY score DESC) AS rank, count(*) OVER (PARTITION BY drug_idx) AS n_candidates FROM pool),
+        o AS (SELECT a.drug_idx, a.gene_idx, q.gene_idx || ' (r=' || q.rank || ')' AS said, row_number() OVER (PARTITION BY a.drug_idx, a.gene_idx ORDER BY q.score DESC, q.gene_idx) AS n
+            FROM r a JOIN r q ON q.drug_idx = a.drug_idx AND q.gene_idx <> a.gene_idx AND NOT q.known WHERE a.label = 'ambiguous' QUALIFY n <= 5),
+        l AS (SELECT drug_idx, gene_idx, string_agg(said, '; ' ORDER BY n) AS t FROM o GROUP BY ALL)
+        SELECT drug_idx, gene_idx, rank, n_candidates, round(rank / n_candidates, 6) AS rank_percentile, round(1 / rank, 6) AS priority,
+            CASE WHEN rank / n_candidates <= 0.05 THEN 'upgrade_to_associated' WHEN rank / n_candidates <= 0.20 THEN 'lean_associated' WHEN rank / n_candidates >= 0.95 THEN 'downgrade_to_not_associated'
+                WHEN rank / n_candidates >= 0.80 THEN 'lean_not_associated' ELSE 'remains_ambiguous' END AS action, coalesce(t, '') AS top_alternatives
+        FROM r LEFT JOIN l USING (drug_idx, gene_idx) WHERE label = 'ambiguous'""",
     "modal_relation": f"SELECT relation_type, count(*) AS n FROM {ASSIGNED} WHERE split = 'train' AND source_type = 'drug' AND target_type = 'gene' GROUP BY ALL ORDER BY n DESC, relation_type LIMIT 1",
     "ambiguous_pairs": "SELECT DISTINCT source_idx, target_idx, relation_type FROM edges WHERE association_raw ILIKE '%ambiguous%' AND source_type = 'drug' AND target_type = 'gene'",
     "paired_rank_compare": f"WITH {_PAIRED} SELECT drug_idx, gene_idx, rank_a, rank_b, round(delta_rr, 6) AS delta_rr, outcome FROM paired",

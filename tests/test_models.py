@@ -4,11 +4,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.gnn import layers as gnn
 from graphloom.operators import ranking as rk
 from graphloom.operators import splits as sp
-from graphloom.operators.block_scores import best_match_ranks
+from graphloom.operators import stats
+from graphloom.operators.block_scores import best_match_ranks, relation_ranks
 
 
 def test_block_ranks_match_brute_force(spark):
@@ -90,3 +92,45 @@ def test_ranks_are_the_same_in_memory_and_spread(spark):
     grids = [sorted(map(tuple, rk.calibration_grid(pool.drop("better"), degree, most=most).collect())) for most in (0, 40, 1_000_000)]
     assert grids[0] == grids[1] == grids[2] and len(grids[0]) == 17
     assert rk.rank_known(pool.limit(0)).collect() == [] and rk.calibration_grid(pool.limit(0), degree).collect() == []
+
+
+def test_paired_bootstrap_equals_numpy(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, i, float(rng.normal())) for g in ("a", "b") for i in range(40)] + [("a", 99, None), (None, 1, 0.5), ("c", 1, 0.25)]
+    df = spark.createDataFrame(rows, "g string, i bigint, v double")
+    got = {r["g"]: r for r in stats.paired_bootstrap(df.repartition(5), "v", ["i"], ["g"], draws=200, seed=7).collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"]["low"] == got["c"]["high"] == 0.25
+    for g in ("a", "b"):
+        x, again = np.array([v for h, _, v in sorted(rows, key=lambda r: r[1]) if h == g and v is not None]), np.random.default_rng(7)
+        means = [x[again.integers(0, 40, size=40)].mean() for _ in range(200)]
+        assert (got[g]["low"], got[g]["high"]) == pytest.approx(np.percentile(means, [2.5, 97.5]), abs=1e-6) and got[g]["n"] == 40
+    spread = {r["g"]: r for r in stats.paired_bootstrap(df, "v", ["i"], ["g"], draws=400, most=10).collect()}
+    assert all(spread[g]["mean"] == got[g]["mean"] and abs(spread[g]["low"] - got[g]["low"]) < 0.15 for g in ("a", "b"))
+
+
+def test_relation_ranks_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x, r = rng.normal(size=(40, 5)).round(1), rng.normal(size=(3, 5)).round(1)
+    genes = list(range(10, 40))
+    triples = [(int(d), int(g), int(k)) for d, g, k in zip(rng.integers(0, 10, 50), rng.integers(10, 40, 50), rng.integers(0, 3, 50), strict=True)]
+    known = triples[:30] + triples[:3]
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} bigint" for n in names))
+    asked = frame([*triples, triples[0], (0, 99, 0), (0, 10, 7)], ["drug_idx", "gene_idx", "rel"])  # no vectors for the last two
+    features = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node bigint, x array<double>")
+    relations = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r)], "rel bigint, r array<double>")
+    told, marked = frame([t[:2] for t in known], ["drug_idx", "gene_idx"]), frame([(1,), (2,)], ["drug_idx"])
+    for filtered in (True, False):
+        want = {}
+        for d, g, k in set(triples):
+            s = {h: round(float((x[d] * r[k]) @ x[h]), 9) for h in genes if h == g or not (filtered and (d, h) in {t[:2] for t in known})}
+            want[d, g, k] = (1 + sum(v > s[g] for v in s.values()), min(s, key=lambda h: (-s[h], h)), d in (1, 2))
+        for size in (7, 8192):
+            out = relation_ranks(asked, features, relations, frame([(g,) for g in genes], ["gene_idx"]), told if filtered else None, marked, query_block=size, gene_block=size).collect()
+            assert {(q["drug_idx"], q["gene_idx"], q["rel"]): (q["rank"], q["best_gene"], q["marked"]) for q in out} == want
+    assert relation_ranks(asked.limit(0), features, relations, frame([(10,)], ["gene_idx"])).collect() == []
+
+
+def test_actions_in_order(spark):
+    shares = [0.01, 0.05, 0.2, 0.5, 0.8, 0.94, 0.95, 1.0]
+    got = spark.createDataFrame([(v,) for v in shares], "v double").select(rk.curator_action(F.col("v")).alias("a")).collect()
+    assert [r["a"] for r in got] == ["upgrade_to_associated"] * 2 + ["lean_associated", "remains_ambiguous", "lean_not_associated", "lean_not_associated"] + ["downgrade_to_not_associated"] * 2
