@@ -25,6 +25,8 @@ ASSOCIATIONS = ("associated", "ambiguous", "not_associated")
 STRATA = ("2", "3-4", "5-9", "10-19", "20+")
 EVIDENCE_PRIORITY = {"guideline": 1, "label": 2, "clinical": 3, "literature": 4, "pathway": 5, "other": 6}
 NULL_TEXT = ("", "nan", "none", "null")
+# Raw types of an audit with their type and subtype.
+AUDIT_TYPES = {"Chemical": ("drug", "chemical"), "Gene": ("gene", "gene"), "Disease": ("phenotype", "disease"), "Variant": ("variant", "sequence_variant")}
 # Words of split labels, letters only.
 SPLIT_WORDS = {
     "train": ("train", "training", "trainset", "trainingset", "trainingcontextonly", "traincontextonly", "traincontext", "trainingcontext"),
@@ -155,5 +157,36 @@ def citation(authors: Column | str, title: Column | str, journal: Column | str,
     return F.concat(F.concat_ws(". ", head, as_column(title), as_column(journal)), F.lit("."))
 
 
+def node_key(kind: Column | str, node_id: Column | str) -> Column:
+    """type:id, as maps of nodes are keyed."""
+    return F.concat_ws(":", as_column(kind), as_column(node_id))
+
+
+def source_of(name: Column | str) -> Column:
+    """What stands before the first double colon of a set's name; the whole name if there is none."""
+    return F.split_part(as_column(name), F.lit("::"), F.lit(1))
+
+
+def audit_type(value: Column | str) -> Column:
+    """The audit's reading of a raw type: by its exact words, all else in lower case; null stays null."""
+    return _audited(value, 0)
+
+
+def audit_subtype(value: Column | str) -> Column:
+    """As audit_type, the finer kind."""
+    return _audited(value, 1)
+
+
+def _audited(value: Column | str, place: int) -> Column:
+    raw = F.trim(as_column(value))
+    words = F.create_map(*[F.lit(x) for word, kinds in AUDIT_TYPES.items() for x in (word, kinds[place])])
+    return F.coalesce(words[raw], F.lower(raw))
+
+
+def title_case(value: Column | str) -> Column:
+    """A label with underscores as spaces and capitals at the beginning of words."""
+    return F.initcap(F.regexp_replace(as_column(value), "_+", " "))
+
+
 def sigmoid(x: Column | str) -> Column:
     return 1 / (1 + F.exp(-as_column(x)))
