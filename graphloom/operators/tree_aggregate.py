@@ -41,6 +41,9 @@ def tree_aggregate(
     partial: aggregates over input rows, by state name. merge: aggregates over states, by the same
     names. Both must be associative and commutative (sum, min, max, collect-free sketches).
 
+    Chunks are numbered by partition and by place in it, and neighbours in number are merged: at most fan_in states of a key
+    in every round but the last, which takes what is left of partitions larger than estimated.
+
     Nulls: a null key is a key of its own, as in GROUP BY. An empty input gives no rows. Extra
     columns of df are ignored; a column of df named ``__chunk`` is dropped first.
     """
@@ -51,9 +54,7 @@ def tree_aggregate(
     n_chunks = max(1, math.ceil(estimated_bytes(df) / chunk_bytes))
     rounds = merge_rounds(n_chunks, fan_in)
     row_in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    chunk = F.pmod(
-        F.xxhash64(F.spark_partition_id(), F.floor(row_in_partition / chunk_rows)), F.lit(fan_in**rounds)
-    )
+    chunk = F.spark_partition_id() + F.lit(n_chunks) * F.floor(row_in_partition / chunk_rows)
     state = (
         df.drop(CHUNK)
         .withColumn(CHUNK, chunk)
