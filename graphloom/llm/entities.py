@@ -5,31 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import split_label, structure
 from graphloom.llm.spanning_forest import SpanningForest, spanning_forest
 from graphloom.operators.positions import accession
 
-# What stands for a missing structure, after white space is dropped, in lower case.
-NO_STRUCTURE = ["", "none", "null", "nan", "na", "n/a", "n.a.", "[notavailable]", "notavailable", "unknown", "missing"]
 SPLITS = ("train", "validation", "test")
 
 
-def structure(smiles: Column) -> Column:
-    """The structure without white space (no-break spaces included); null for a placeholder."""
-    bare = F.regexp_replace(smiles, r"(?U)\s+", "")
-    missing = F.lower(bare).isin(NO_STRUCTURE) | ~bare.rlike("[A-Za-z]")
-    return F.when(~missing, bare)
-
-
-def split_label(label: Column) -> Column:
-    """train, validation or test of a label however written; training context counts as train; else null."""
-    word = F.regexp_replace(F.lower(label), r"(?U)[^\p{L}]+", "")
-    return (
-        F.when(word.isin("train", "training", "trainset", "trainingset", "trainingcontextonly", "traincontextonly", "traincontext", "trainingcontext"), "train")
-        .when(word.isin("validation", "validate", "valid", "val", "validationset", "valset", "dev"), "validation")
-        .when(word.isin("test", "testing", "testset", "tst"), "test")
-    )
-
-
 def counted_rows(assignments: DataFrame) -> DataFrame:
     """Rows with drug_idx, gene_idx and a label that names a split, which ``split`` then has plainly."""
     return assignments.withColumn("split", split_label(F.col("split"))).filter(

@@ -23,6 +23,16 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_splits.grouped_splits(read_table(spark, sf_dir, "split_assignments"), _drugs(spark, sf_dir))
 
 
+def p1_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p1_splits must hold: rows, drugs and entities dealt, entities in several splits (none), and whether every share is within 0.02 of its target."""
+    dealt = cut_lineage(p1_splits(spark, sf_dir).select("drug_idx", "drug_entity", "split"))
+    parts = dealt.groupBy("drug_entity").agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count(F.lit(1)).alias("n_entities"), F.count_if(F.col("a") != F.col("b")).alias("n_broken"))
+    share = lambda s: F.count_if(F.col("split") == s) / F.count(F.lit(1))
+    near = [F.abs(share(s) - target) <= 0.02 for s, target in zip(en.SPLITS, (0.8, 0.1, 0.1), strict=True)]
+    rows = dealt.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("drug_idx").alias("n_drugs"), (near[0] & near[1] & near[2]).alias("balanced"))
+    return rows.crossJoin(F.broadcast(parts))  # one row each
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = top_n.top_n(read_table(spark, sf_dir, "test_pairs"), "drug_idx", "gene_idx", "score", 10)
     return best.select("drug_idx", "gene_idx", "rank_no")
@@ -57,6 +67,19 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_items(sizes, "doc_id", "n_tokens", 2048)
 
 
+def p7_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p7_pack must hold: every text there once and whole, no container over capacity, no text cut that would fit, and containers 0.99 full."""
+    sizes = cut_lineage(tokens.count_tokens(read_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    packed = cut_lineage(packing.pack_items(sizes, "doc_id", "n_tokens", 2048))
+    placed = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("parts"))
+    texts = sizes.join(placed, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count_if(F.coalesce("placed", F.lit(-1)) != F.col("n_tokens")).alias("n_lost"), F.count_if((F.col("n_tokens") <= 2048) & (F.col("parts") > 1)).alias("n_cut")
+    )
+    loads = packed.filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
+    full = loads.agg(F.count_if(F.col("load") > 2048).alias("n_over"), (F.sum("load") >= F.count(F.lit(1)) * 2048 * 0.99).alias("full"), (F.max("container_id") + 1 == F.count(F.lit(1))).alias("numbered"))
+    return texts.crossJoin(F.broadcast(full))  # one row each
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages.stuffed_pages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "page_labels"))
 
@@ -64,12 +87,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
+    "p1_bounds": p1_bounds,
     "p2_found": p2_found,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p5_classes": p5_classes,
     "p6_ids": p6_ids,
     "p7_pack": p7_pack,
+    "p7_bounds": p7_bounds,
     "p8_found": p8_found,
 }
 
@@ -109,6 +134,10 @@ ORACLE = {
     "p1_found": f"""{_ENTITIES}
         SELECT DISTINCT drug_idx FROM counted
         WHERE de IN (SELECT de FROM counted GROUP BY de HAVING count(DISTINCT split) > 1)""",
+    "p1_bounds": f"""{_ENTITIES}
+        SELECT count(*) AS n_rows, count(DISTINCT drug_idx) AS n_drugs, count(DISTINCT coalesce(drug_entity, 'node:' || drug_idx)) AS n_entities, 0 AS n_broken, true AS balanced
+        FROM split_assignments LEFT JOIN drug USING (drug_idx) WHERE drug_idx IS NOT NULL AND gene_idx IS NOT NULL""",
+    "p7_bounds": "SELECT count(*) AS n_docs, 0 AS n_lost, 0 AS n_cut, 0 AS n_over, true AS full, true AS numbered FROM documents",
     "p2_found": """
         WITH best AS (
             SELECT drug_idx, gene_idx, max(score) AS score FROM test_pairs

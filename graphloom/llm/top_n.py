@@ -2,47 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.session import shuffle_parts
 
 
-def _emit(n: int, ranked: bool):
-    """Streams sorted batches (group, score, item) and emits the first n distinct items of each group.
+def _emit(n: int, ranked: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams sorted Arrow batches (group, score, item) and emits the first n distinct items of each group.
 
     Between batches only the items emitted for the last group are kept, at most n.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, seen = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, np.zeros(0, np.int64)
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            first = batch["group"].iloc[0] == last
-            if first:
-                again = (batch["group"] == last) & batch["item"].isin(seen)
-                batch = batch[~again]
-            batch = batch.drop_duplicates(["group", "item"])
-            if batch.empty:
-                continue
-            rank = batch.groupby("group", sort=False).cumcount() + 1
-            if first:
-                rank = rank + (batch["group"] == last) * len(seen)
-            kept = batch[rank <= n].assign(rank_no=rank[rank <= n])
-            end = batch["group"].iloc[-1]
-            mine = kept.loc[kept["group"] == end, "item"].tolist()
-            seen = seen + mine if first and end == last else mine
+            group, item = (batch.column(i).to_numpy() for i in (0, 1))
+            at = np.arange(len(group))
+            order = np.lexsort((at, item, group))
+            new = np.ones(len(at), bool)
+            new[1:] = (np.diff(group[order]) != 0) | (np.diff(item[order]) != 0)
+            fresh = np.zeros(len(at), bool)
+            fresh[order[new]] = True  # the first, so the best, of equal items of a group
+            carried = group == last if last is not None else np.zeros(len(at), bool)
+            fresh &= ~(carried & np.isin(item, seen))
+            count = np.cumsum(fresh)
+            start = np.maximum.accumulate(np.where(np.diff(group, prepend=group[0] - 1) != 0, at, 0))
+            rank = count - (count - fresh)[start] + carried * len(seen)
+            kept = fresh & (rank <= n)
+            end = int(group[-1])
+            mine = item[kept & (group == end)]
+            seen = np.concatenate([seen, mine]) if end == last else mine
             last = end
-            yield kept[["group", "item", "score", "rank_no"] if ranked else ["group", "item", "score"]]
+            out = batch.filter(pa.array(kept))
+            columns, names = list(out.columns), ["group", "item", "score"]
+            if ranked:
+                columns, names = [*columns, pa.array(rank[kept], pa.int64())], [*names, "rank_no"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def top_n(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame:
+def top_n(df: DataFrame, group: str, item: str, score: str, n: int, part_bytes: int = 64 << 20) -> DataFrame:
     """(group, item, score, rank_no) with the n best distinct items of every group.
 
     Best is the highest score, then the smaller item. An item that stands more than once in a group
@@ -53,7 +60,8 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame
     Secondary sort: rows are sorted by (group, score, item) and streamed, n rows a group passing.
     First within the input partitions, without a shuffle, which leaves at most n rows a group and
     partition; then by hash of group and item, so that a group of millions of rows is spread; then by
-    hash of the group, where rows of all parts of a group meet and are ranked.
+    hash of the group, where rows of all parts of a group meet and are ranked. The middle step is left out where rows
+    of part_bytes each make no more partitions than the session has; it changes no result.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
@@ -63,13 +71,13 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame
     ).filter("group IS NOT NULL AND item IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
     order = [F.col("group"), F.col("score").desc(), F.col("item")]
     fields = "group bigint, item bigint, score double"
-    parts = shuffle_parts(rows)
-    local = rows.sortWithinPartitions(*order).mapInPandas(_emit(n, False), fields)
+    parts = shuffle_parts(rows, part_bytes)
+    local = rows.sortWithinPartitions(*order).mapInArrow(_emit(n, False), fields)
     width = max(1, parts // int(spark.conf.get("spark.sql.shuffle.partitions")))
     if width > 1:
         salt = F.pmod(F.xxhash64("item"), F.lit(width))
-        local = local.repartition(parts, "group", salt).sortWithinPartitions(*order).mapInPandas(_emit(n, False), fields)
+        local = local.repartition(parts, "group", salt).sortWithinPartitions(*order).mapInArrow(_emit(n, False), fields)
     return (
-        local.repartition(parts, "group").sortWithinPartitions(*order).mapInPandas(_emit(n, True), f"{fields}, rank_no bigint")
+        local.repartition(parts, "group").sortWithinPartitions(*order).mapInArrow(_emit(n, True), f"{fields}, rank_no bigint")
         .select(F.col("group").alias(group), F.col("item").alias(item), F.col("score").alias(score), "rank_no")
     )

@@ -139,6 +139,8 @@ def test_top_n_matches_brute_force(spark):
             best[d][g] = max(s, best[d].get(g, s))
     want = {(d, g, s, i) for d, gs in best.items() for i, (g, s) in enumerate(sorted(gs.items(), key=lambda x: (-x[1], x[0]))[:10], 1)}
     df = spark.createDataFrame(rows, "drug_idx bigint, gene_idx bigint, s double, item int")
+    for part_bytes in (estimated_bytes(df) // 24, 64 << 20):  # the first spreads a group by item as well
+        assert {(r["drug_idx"], r["gene_idx"], r["s"], r["rank_no"]) for r in top_n(df, "drug_idx", "gene_idx", "s", 10, part_bytes).collect()} == want
     for parts in (1, 9):
         assert {(r["drug_idx"], r["gene_idx"], r["s"], r["rank_no"]) for r in top_n(df.repartition(parts), "drug_idx", "gene_idx", "s", 10).collect()} == want
     assert top_n(df.limit(0), "drug_idx", "gene_idx", "s", 10).collect() == []
@@ -146,6 +148,24 @@ def test_top_n_matches_brute_force(spark):
         top_n(df, "drug_idx", "gene_idx", "s", 0)
 
 
+def test_top_n_over_many_batches(spark):
+    """Groups and repeated items that go on over batches, at the smallest batch size."""
+    rng = random.Random(4)
+    rows = [(d, rng.randrange(30), rng.randrange(6) / 4) for d in (1, 2, 2, 2, 3) for _ in range(120)]
+    best = defaultdict(dict)
+    for d, g, s in rows:
+        best[d][g] = max(s, best[d].get(g, s))
+    want = {(d, g, i) for d, gs in best.items() for i, (g, _) in enumerate(sorted(gs.items(), key=lambda x: (-x[1], x[0]))[:7], 1)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 3, 50):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = top_n(spark.createDataFrame(rows, "a bigint, b bigint, c double").repartition(2), "a", "b", "c", 7).collect()
+            assert {(r["a"], r["b"], r["rank_no"]) for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_overlaps_match_brute_force(spark, assignments, names):
     keyed = [(r, s, entity(r["drug_idx"]), f"g{r['gene_idx'] // 2}" if r["gene_idx"] < 50 else f"node:{r['gene_idx']}") for r, s in counted(assignments)]
     train, held = defaultdict(list), defaultdict(list)
