@@ -72,24 +72,23 @@ def global_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame
     )
 
 
-def count_greater(
-    df: DataFrame, groups: Sequence[str], score: str, weight: Column, name: str, *, scale: float = 256.0
-) -> DataFrame:
+def count_greater(df: DataFrame, groups: Sequence[str], score: str, weight: Column, name: str) -> DataFrame:
     """(groups..., score, name): per distinct score of a group, the sum of weight over rows with a strictly greater score.
 
-    Rows are first added up by (group, score); the running sums are taken within buckets of
-    1/scale and lifted by the buckets above, so no window holds a whole group. Null and NaN scores
-    are left out.
+    Rows are first added up by (group, score) and spread over ranges of (group, score), whose bounds Spark takes from the data; the
+    running sums are taken within a range and lifted by the ranges before, so no window holds more than a range, however scores
+    or groups are distributed. Null and NaN scores, and rows with a null in groups, are left out.
     """
-    clean = df.filter(F.col(score).isNotNull() & ~F.isnan(score))
+    clean = df.filter(F.col(score).isNotNull() & ~F.isnan(score)).dropna(subset=list(groups))
     by_score = clean.groupBy(*groups, score).agg(F.sum(weight).alias("__w"))
-    by_score = by_score.withColumn("__bucket", F.floor(F.col(score) * scale))
-    above = Window.partitionBy(*groups).orderBy(F.desc("__bucket"))
-    sizes = by_score.groupBy(*groups, "__bucket").agg(F.sum("__w").alias("__n"))
-    lifts = sizes.select(*groups, "__bucket", (F.sum("__n").over(above) - F.col("__n")).alias("__lift"))
-    within = Window.partitionBy(*groups, "__bucket").orderBy(F.desc(score))
-    run = by_score.withColumn("__run", F.sum("__w").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__w"))
-    return run.join(lifts, [*groups, "__bucket"]).select(*groups, score, (F.col("__run") + F.col("__lift")).alias(name))
+    ranges = by_score.repartitionByRange(*groups, F.desc(score)).select("*", F.spark_partition_id().alias("__range"))
+    spread = cut_lineage(ranges)
+    before = Window.partitionBy(*groups).orderBy("__range")
+    sizes = spread.groupBy(*groups, "__range").agg(F.sum("__w").alias("__n"))
+    lifts = sizes.select(*groups, "__range", (F.sum("__n").over(before) - F.col("__n")).alias("__lift"))
+    within = Window.partitionBy(*groups, "__range").orderBy(F.desc(score))
+    run = spread.withColumn("__run", F.sum("__w").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__w"))
+    return run.join(lifts, [*groups, "__range"]).select(*groups, score, (F.col("__run") + F.col("__lift")).alias(name))
 
 
 def join_heavy(

@@ -27,7 +27,7 @@ def candidates(scored: DataFrame) -> DataFrame:
     return clean.groupBy("drug_idx", "gene_idx").agg(F.max("score").alias("score"), known.alias("known"), F.max("association").alias("label"))
 
 
-def rank_known(pool: DataFrame, groups: Sequence[str] = ("drug_idx",), score: str = "score", filtered: bool = True, scale: float = 256.0, most: int = MOST) -> DataFrame:
+def rank_known(pool: DataFrame, groups: Sequence[str] = ("drug_idx",), score: str = "score", filtered: bool = True, most: int = MOST) -> DataFrame:
     """Known pairs of the pool with their rank in their group; rows with a null in groups have none.
 
     filtered masks other known pairs: only unknown candidates can stand before one. Groups of at most ``most`` rows are
@@ -49,7 +49,7 @@ def rank_known(pool: DataFrame, groups: Sequence[str] = ("drug_idx",), score: st
     if heavy is None:
         return ranked
     weight = (~F.col("known")).cast("bigint") if filtered else F.lit(1).cast("bigint")
-    better = count_greater(heavy, groups, score, weight, "better", scale=scale)
+    better = count_greater(heavy, groups, score, weight, "better")
     spread = heavy.filter("known").join(better, [*groups, score]).withColumn("rank", (F.col("better") + 1).cast("bigint")).drop("better")
     return ranked.unionByName(spread)
 
@@ -81,7 +81,7 @@ def zscore(df: DataFrame, value: Column, name: str) -> DataFrame:
 def degree_baseline(pool: DataFrame, degree: DataFrame) -> DataFrame:
     """Filtered ranks of known pairs if every candidate's score is its gene's training degree."""
     scored = pool.select("drug_idx", "gene_idx", "known").join(degree, "gene_idx").select("drug_idx", "gene_idx", "known", F.col("degree").cast("double").alias("score"))
-    return rank_known(scored, scale=0.125)
+    return rank_known(scored)
 
 
 def hash_score(seed: Column | int, gene: str = "gene_idx") -> Column:
@@ -257,7 +257,7 @@ def calibration_grid(pool: DataFrame, degree: DataFrame, alphas: Sequence[float]
     sums = over_groups(light, ["drug_idx"], ["known", "z", "zd"], tried, "position int, alpha double, rr double, n bigint")
     if heavy is not None:
         spread = heavy.crossJoin(F.broadcast(grid)).select("position", "alpha", "drug_idx", "gene_idx", "known", F.round(F.col("z") + F.col("alpha") * F.col("zd"), 6).alias("score"))
-        ranks = rank_known(spread, ("position", "alpha", "drug_idx"), scale=16.0, most=0)
+        ranks = rank_known(spread, ("position", "alpha", "drug_idx"), most=0)
         sums = sums.unionByName(ranks.groupBy("position", "alpha").agg(F.sum(1 / F.col("rank")).alias("rr"), F.count(F.lit(1)).alias("n")))
     mrr = sums.groupBy("position", "alpha").agg(F.round(F.sum("rr") / F.sum("n"), 6).alias("mrr")).filter("mrr IS NOT NULL")
     best = mrr.agg(F.max_by("position", F.struct("mrr", -F.abs("alpha"), -F.col("position"))).alias("best"))

@@ -82,6 +82,16 @@ def _explained(s: SparkSession, d: str) -> DataFrame:
     return ev.integrated_explanations(_integrated(s, d), _explanations(s, d), hits, articles, t(s, d, "nodes"))
 
 
+def article_digest(s: SparkSession, d: str) -> DataFrame:
+    """Abstracts as articles of their drug, with citations and first sentences."""
+    year = F.year("published_at").cast("string")
+    articles = t(s, d, "documents").filter("doc_kind = 'abstract' AND drug_idx IS NOT NULL").select(
+        "drug_idx", F.lit(0).cast("bigint").alias("gene_idx"), F.col("doc_id").cast("string").alias("pmid"), "title", F.col("source").alias("journal"), year.alias("year"),
+        F.concat_ws("; ", "lang", "source").alias("authors"), F.lit("").alias("doi"), F.lit("").alias("url"), F.col("text").alias("abstract"),
+    )
+    return ev.article_lists(articles).drop("gene_idx")
+
+
 def _graph(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "edges").filter("source_idx IS NOT NULL AND target_idx IS NOT NULL").select(F.col("source_idx").alias("src"), F.col("target_idx").alias("dst"), F.col("rel_idx").alias("rel"))
 
@@ -120,6 +130,7 @@ QUERIES = {
     "integrated_scores": lambda s, d: _integrated(s, d).drop("score", "hub_adjusted", "literature_signal"),
     "integrated_explanations": _explained,
     "pubdate_year": lambda s, d: t(s, d, "orders").select(tx.year_token(F.date_format("o_orderdate", "yyyy MMM d")).alias("year")).groupBy("year").agg(F.count(F.lit(1)).alias("n")),
+    "article_digest": article_digest,
     "first_sentence": lambda s, d: t(s, d, "documents").select("doc_id", tx.first_sentence("text").alias("sentence")),
     "gcn_layer": lambda s, d: _columns(gnn.gcn_layer(_graph(s, d), _features(s, d), W)),
     "rgcn_layer": lambda s, d: _columns(gnn.rgcn_layer(_graph(s, d), _features(s, d), _coefficients(s, d), BASES, W)),
@@ -242,6 +253,13 @@ ORACLE = {
             || CASE WHEN n_articles > 0 THEN n_articles || ' articles name both' ELSE 'no article names both' END || CASE WHEN n_sets > 0 THEN '; the gene is in ' || n_sets || ' significant sets, among them ' || first_sets ELSE '' END
             || CASE WHEN n_shared_genes + n_shared_variants + n_shared_phenotypes > 0 THEN '; they share ' || n_shared_genes || ' genes, ' || n_shared_variants || ' variants and ' || n_shared_phenotypes || ' phenotypes' ELSE '' END || '.' AS explanation
         FROM j""",
+    "article_digest": r"""WITH a AS (SELECT drug_idx, doc_id::VARCHAR AS pmid, coalesce(title, '') AS title, coalesce(source, '') AS journal, coalesce(year(published_at)::VARCHAR, '') AS y, list_filter([lang, source], lambda x: x <> '') AS who, trim(coalesce(text, ''), ' ') AS abs
+            FROM documents WHERE doc_kind = 'abstract' AND drug_idx IS NOT NULL),
+        b AS (SELECT *, row_number() OVER (PARTITION BY drug_idx ORDER BY pmid, title, journal, y, array_to_string(who, '; '), abs) AS i, regexp_extract(abs, '(?s)^(.*?\.)\s+\p{Lu}', 1) AS f FROM a)
+        SELECT drug_idx, count(*) AS n_articles,
+            string_agg('[' || i || '] ' || CASE len(who) WHEN 0 THEN 'Unknown authors' WHEN 1 THEN who[1] ELSE who[1] || ' et al.' END || ' (' || CASE WHEN y = '' THEN 'n.d.' ELSE y END || '). ' || title || ' ' || journal || '. PMID:' || pmid || '. ', chr(10) ORDER BY i) AS literature_citations,
+            coalesce(string_agg('[' || i || '] ' || CASE WHEN f = '' THEN abs ELSE f END, chr(10) ORDER BY i) FILTER (abs <> ''), '') AS abstract_summary
+        FROM b GROUP BY drug_idx""",
     "first_sentence": r"""SELECT doc_id, CASE WHEN regexp_extract(text, '(?s)^(.*?\.)\s+\p{Lu}', 1) = '' THEN text ELSE regexp_extract(text, '(?s)^(.*?\.)\s+\p{Lu}', 1) END AS sentence FROM documents""",
     "phenotype_one_hop": f"WITH {_ONE} SELECT * FROM one",
     "phenotype_two_hop": f"WITH {_TWO} SELECT * FROM two",

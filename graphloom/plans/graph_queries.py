@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
 from graphloom.operators import graph_build as gb
+from graphloom.plans.common import ASSIGNED, STRUCTURE, assignments
 from graphloom.session import read_table as t
+from graphloom.sources import results
 
 
 def _typed(s: SparkSession, d: str) -> DataFrame:
@@ -18,7 +20,24 @@ def _indexed(s: SparkSession, d: str, how: str = "left") -> DataFrame:
     return gb.index_edges(_typed(s, d), t(s, d, "nodes"), how)
 
 
+def bundle(s: SparkSession, d: str) -> DataFrame:
+    """Sizes of the training graph: train rows as edges, associated pairs of each split, drugs with a structure."""
+    rows = assignments(s, d)
+    edges = rows.filter("split = 'train' AND source_idx IS NOT NULL AND target_idx IS NOT NULL").select("source_idx", "target_idx", F.col("rel_idx").alias("rel")).distinct()
+    pairs = rows.filter("association = 'associated' AND drug_idx IS NOT NULL AND gene_idx IS NOT NULL AND split IS NOT NULL").select("drug_idx", "gene_idx", "split").distinct()
+    return results.bundle_sizes(t(s, d, "nodes"), edges, pairs, t(s, d, "chemicals").select(tx.structure("smiles").alias("fp")))
+
+
+def audited_types(s: SparkSession, d: str) -> DataFrame:
+    """Raw types of both ends with the audit's type and subtype, and the rows of each."""
+    ends = t(s, d, "relationships").select(F.explode(F.array("entity1_type", "entity2_type")).alias("raw"))
+    return ends.groupBy("raw", tx.audit_type("raw").alias("type"), tx.audit_subtype("raw").alias("subtype")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "bundle_sizes": bundle,
+    "audit_types": audited_types,
+    "node_keys": lambda s, d: t(s, d, "nodes").select("node_index", tx.node_key("node_type", "node_id").alias("key"), tx.title_case(F.concat_ws("_", "node_type", "node_source")).alias("label")),
     "scan_clean_nulls": lambda s, d: t(s, d, "nodes").select("node_index", tx.null_tokens("node_name").alias("as_read"), tx.clean_text("node_name").alias("node_name")),
     "canonical_type": lambda s, d: t(s, d, "relationships").groupBy("entity1_type").agg(F.count(F.lit(1)).alias("n")).select(
         "entity1_type", tx.canonical_type("entity1_type").alias("node_type"), tx.canonical_type("entity1_type", "keep").alias("older_type"), "n"),
@@ -101,6 +120,13 @@ _DG = "((source_type = 'drug' AND target_type = 'gene') OR (source_type = 'gene'
 _ORD = "CASE node_type WHEN 'drug' THEN 0 WHEN 'gene' THEN 1 WHEN 'phenotype' THEN 2 WHEN 'variant' THEN 3 END"
 
 ORACLE = {
+    "bundle_sizes": f"""WITH r AS (SELECT * FROM {ASSIGNED}), e AS (SELECT DISTINCT source_idx, target_idx, rel_idx FROM r WHERE split = 'train' AND source_idx IS NOT NULL AND target_idx IS NOT NULL),
+        p AS (SELECT DISTINCT drug_idx, gene_idx, split FROM r WHERE association = 'associated' AND drug_idx IS NOT NULL AND gene_idx IS NOT NULL)
+        SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(DISTINCT rel_idx) FROM e) AS n_relations, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM p WHERE split = 'train') AS n_train_pairs,
+            (SELECT count(*) FROM p WHERE split = 'validation') AS n_validation_pairs, (SELECT count(*) FROM p WHERE split = 'test') AS n_test_pairs, (SELECT count({STRUCTURE}) FROM chemicals) AS n_fingerprints""",
+    "audit_types": """WITH e AS (SELECT unnest([entity1_type, entity2_type]) AS raw FROM relationships), m AS (SELECT raw, trim(raw, ' ') AS w FROM e)
+        SELECT raw, CASE w WHEN 'Chemical' THEN 'drug' WHEN 'Disease' THEN 'phenotype' ELSE lower(w) END AS type, CASE w WHEN 'Variant' THEN 'sequence_variant' ELSE lower(w) END AS subtype, count(*) AS n FROM m GROUP BY ALL""",
+    "node_keys": """SELECT node_index, concat_ws(':', node_type, node_id) AS key, list_aggregate(list_transform(string_split(regexp_replace(concat_ws('_', node_type, node_source), '_+', ' ', 'g'), ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS label FROM nodes""",
     "scan_clean_nulls": f"""SELECT node_index, CASE WHEN node_name NOT IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')
         THEN node_name END AS as_read, {clean('node_name')} AS node_name FROM nodes""",
     "canonical_type": f"""SELECT entity1_type, {ctype('entity1_type')} AS node_type, coalesce({ctype('entity1_type')},

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.operators import graph_build as gb
 from graphloom.operators import quality as dq
 from graphloom.operators import splits as sp
-from graphloom.plans.graph_queries import assoc, clean
 from graphloom.plans.common import ASSIGNED, assignments
+from graphloom.plans.graph_queries import assoc, clean
 from graphloom.session import cut_lineage
 from graphloom.session import read_table as t
 
@@ -38,7 +38,7 @@ def _allocation(s: SparkSession, d: str) -> DataFrame:
 
 def _audit(s: SparkSession, d: str, protocol: str) -> DataFrame:
     drugs, pairs = _drugs(s, d), _pairs(s, d)
-    edges = sp.assign_edges(t(s, d, "edges").select(*SLIM), drugs, protocol)
+    edges = cut_lineage(sp.assign_edges(t(s, d, "edges").select(*SLIM), drugs, protocol))
     assigned = sp.assign_pairs(pairs, drugs)
     return sp.leakage_audit(edges, sp.evaluation_pairs(assigned, "validation"), sp.evaluation_pairs(assigned, "test"))
 

@@ -126,3 +126,15 @@ def test_join_heavy_equals_join(spark):
         assert sorted(map(str, join_heavy(left, right, ["k"], heavy, how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
     with pytest.raises(ValueError, match="how"):
         join_heavy(left, right, ["k"], heavy, "outer")
+
+
+def test_count_greater_of_crowded_scores(spark):
+    """Scores that differ in the last digits only, a hot group and weights of several rows."""
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.8 else rng.choice(["a", "b", None]), 0.5 + rng.randrange(300) * 1e-9, rng.randrange(3)) for _ in range(3000)]
+    got = {(r["g"], r["s"]): r["n"] for r in count_greater(spark.createDataFrame(rows, "g string, s double, w int"), ["g"], "s", F.col("w"), "n").collect()}
+    scores = {}
+    for g, s, w in rows:
+        if g is not None:
+            scores.setdefault(g, Counter())[s] += w
+    assert got == {(g, s): sum(w for other, w in of.items() if other > s) for g, of in scores.items() for s in of}
