@@ -30,7 +30,10 @@ class Pattern:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """min |ax - b| over x >= 0, by active sets (Lawson and Hanson)."""
+    """min |ax - b| over x >= 0, by active sets (Lawson and Hanson).
+
+    After ``rounds`` columns the best so far is taken: counts it leaves over are packed greedily, so only fill can suffer.
+    """
     n = a.shape[1]
     x, active = np.zeros(n), np.zeros(n, bool)
     gram, atb = a.T @ a, a.T @ b
