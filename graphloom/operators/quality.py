@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ def enforce(violations: DataFrame, rule: str) -> None:
         raise ValueError(f"{rule}: {some}")
 
 
-def require_columns(df: DataFrame, columns: list[str]) -> None:
+def require_columns(df: DataFrame, columns: Sequence[str], label: str = "the table") -> DataFrame:
+    """df, if it has all the columns; else an error that names the missing ones."""
     missing = sorted(set(columns) - set(df.columns))
     if missing:
-        raise ValueError(f"missing columns: {missing}")
+        raise ValueError(f"missing columns: {label} lacks {missing}")
+    return df
 
 
 def blank_endpoints(relationships: DataFrame) -> DataFrame:

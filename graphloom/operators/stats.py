@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from graphloom.operators.group_ranks import MOST, light_and_heavy, whole_groups
+from graphloom.session import cut_lineage
 
 
 def log_choose(n: int, k: int) -> float:
@@ -54,18 +55,29 @@ def enrichment(sets: DataFrame, hits: DataFrame, universe: DataFrame, fdr: float
 
 
 def bh_qvalues(df: DataFrame, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """df with q, the Benjamini-Hochberg step-up values within ``by``; null p are left out.
+    """df with q, the Benjamini-Hochberg step-up values within ``by``; null p, and rows with a null in by, are left out.
 
-    Equal p are added up first, so the windows hold the distinct p values of a group.
+    Equal p are added up first. With by, windows hold the distinct p values of a group. Without, distinct values are spread over
+    ranges, whose counts and least values are carried from range to range, so no task holds them all.
     """
     keep = df.filter(F.col(p).isNotNull())
     levels = keep.groupBy(*by, p).agg(F.count(F.lit(1)).alias("__c"))
-    part = Window.partitionBy(*(by or [F.lit(0)]))
-    rank = F.sum("__c").over(part.orderBy(p))
-    total = F.sum("__c").over(part)
-    stepped = levels.withColumn("__raw", F.col(p) * total / rank)
-    q = F.least(F.lit(1.0), F.min("__raw").over(part.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)))
-    return keep.join(stepped.withColumn("q", q).select(*by, p, "q"), [*by, p])
+    if by:
+        part = Window.partitionBy(*by)
+        rank, total = F.sum("__c").over(part.orderBy(p)), F.sum("__c").over(part)
+        stepped = levels.withColumn("__raw", F.col(p) * total / rank)
+        q = F.least(F.lit(1.0), F.min("__raw").over(part.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)))
+        return keep.join(stepped.withColumn("q", q).select(*by, p, "q"), [*by, p])
+    spread = cut_lineage(levels.repartitionByRange(p).withColumn("__range", F.spark_partition_id()))
+    own = Window.partitionBy("__range")
+    every = Window.orderBy("__range")  # a row a range
+    sizes = spread.groupBy("__range").agg(F.sum("__c").alias("__n"))
+    lifts = sizes.select("__range", (F.sum("__n").over(every) - F.col("__n")).alias("__lift"), F.sum("__n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"))
+    ranked = spread.join(F.broadcast(lifts), "__range").withColumn("__raw", F.col(p) * F.col("__total") / (F.col("__lift") + F.sum("__c").over(own.orderBy(p))))
+    ranked = cut_lineage(ranked.withColumn("__least", F.min("__raw").over(own.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))))
+    later = ranked.groupBy("__range").agg(F.min("__raw").alias("__m")).select("__range", F.min("__m").over(every.rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    stepped = ranked.join(F.broadcast(later), "__range").select(p, F.least(F.lit(1.0), F.col("__least"), F.coalesce("__later", F.lit(1.0))).alias("q"))
+    return keep.join(stepped, p)
 
 
 def bootstrap_mean_ci(df: DataFrame, value: str, key: str, by: Sequence[str], draws: int = 2000, seed: int = 42, chunks: int = 64) -> DataFrame:

@@ -90,7 +90,14 @@ def early_stopping(s: SparkSession, d: str) -> DataFrame:
     return rk.early_stopping(history, 3)
 
 
+def step_up(s: SparkSession, d: str) -> DataFrame:
+    """False discovery rates of all candidates together, 1 - score standing for a p value."""
+    tested = _pool(s, d).filter("score >= 0 AND score <= 1").withColumn("p", F.round(1 - F.col("score"), 6))
+    return stats.bh_qvalues(tested, "p").select("drug_idx", "gene_idx", "p", F.round("q", 6).alias("q"))
+
+
 QUERIES = {
+    "fdr_step_up": step_up,
     "ranking_candidates": _pool,
     "gene_degree": _degree,
     "degree_zscore": lambda s, d: rk.zscore(_degree(s, d), F.log1p("degree"), "z").select("gene_idx", F.round("z", 6).alias("z")),
@@ -154,6 +161,8 @@ _STRUCT = f"""held AS (SELECT DISTINCT {accession_sql('pharmgkb_accession_id')}
 _SEEDED = f"{_RAND}, {_rank('pool', 'ra')}, per AS (SELECT seed, avg(1 / ra.rank - 1 / rr.rank) AS delta, avg(1 / rr.rank) AS mrr_b FROM rr JOIN ra USING (drug_idx, gene_idx) GROUP BY seed)"
 
 ORACLE = {
+    "fdr_step_up": f"""WITH {POOL}, a AS (SELECT drug_idx, gene_idx, round(1 - score, 6) AS p FROM pool WHERE score BETWEEN 0 AND 1), r AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS raw FROM a)
+        SELECT drug_idx, gene_idx, p, round(least(1.0, min(raw) OVER (ORDER BY p DESC)), 6) AS q FROM r""",
     "ranking_candidates": f"WITH {POOL} SELECT * FROM pool",
     "gene_degree": f"WITH {DEG} SELECT * FROM deg",
     "degree_zscore": f"WITH {DEG} SELECT gene_idx, round(coalesce((ln(1 + degree) - avg(ln(1 + degree)) OVER ()) / nullif(stddev_pop(ln(1 + degree)) OVER (), 0), 0), 6) AS z FROM deg",

@@ -61,22 +61,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame, partition_bytes: int = 16 << 20) -> int:
-    """The size of the sources that df reads, from Catalyst's statistics; costs no job.
+    """The size of the sources that df reads, from Catalyst's statistics and the files of stored checkpoints; costs no job.
 
     Estimates of joins are products of their sides and useless here, so the leaves of the plan are
-    added up. A stored checkpoint has no statistics and counts by its partitions.
+    added up. What has neither statistics nor files counts by its partitions.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     total = 0
     for i in range(leaves.size()):
         leaf = leaves.apply(i)
         if leaf.getClass().getSimpleName() == "LogicalRDD":
-            total += leaf.rdd().getNumPartitions() * partition_bytes
+            stored = leaf.rdd().getCheckpointFile()
+            total += _folder_bytes(df.sparkSession, stored.get()) if stored.isDefined() else leaf.rdd().getNumPartitions() * partition_bytes
         else:
             total += int(str(leaf.stats().sizeInBytes()))
     return total
 
 
+def _folder_bytes(spark: SparkSession, folder: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def write_file(spark: SparkSession, text: str, path: str) -> None:
+    """One small text file on any file system Spark writes, folders above it included."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def shuffle_parts(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Partitions for an explicit repartition of df: by size, at least the session's setting."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import write_file
+
 
 def write_graph(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, folder: str) -> None:
     for name, df in (("nodes", nodes), ("edges", edges), ("endpoint_aliases", aliases)):
@@ -24,13 +25,11 @@ def write_mapping(df: DataFrame, key: str, value: str, path: str, most: int = 10
     rows = df.select(key, value).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} entries; write parquet instead")
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps({str(r[0]): r[1] for r in sorted(rows, key=lambda r: str(r[0]))}, indent=2, ensure_ascii=False))
+    write_file(df.sparkSession, json.dumps({str(r[0]): r[1] for r in sorted(rows, key=lambda r: str(r[0]))}, indent=2, ensure_ascii=False), path)
 
 
 def write_manifest(one_row: DataFrame, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(one_row.first().asDict(recursive=True), indent=2, default=str))
+    write_file(one_row.sparkSession, json.dumps(one_row.first().asDict(recursive=True), indent=2, default=str), path)
 
 
 def write_report(df: DataFrame, folder: str) -> None:

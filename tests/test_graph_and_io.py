@@ -155,9 +155,6 @@ def test_delimited_files(spark, tmp_path):
     assert dl.pick_column(df, ["x", "pharmid"], "id") == "PharmId"
     with pytest.raises(KeyError):
         dl.pick_column(df, ["y"], "y")
-    assert dl.require_columns(df, ["PharmId"]) is df
-    with pytest.raises(ValueError, match="lacks"):
-        dl.require_columns(df, ["PharmId", "nope"])
     with pytest.raises(FileNotFoundError):
         dl.find_file(spark, str(tmp_path), "nothing")
 

@@ -40,3 +40,11 @@ def test_spread_input_keeps_the_rows(spark):
     assert session.spread_input(shuffled) is shuffled
     for df in (few, many):
         assert sorted(r["id"] for r in session.spread_input(df).collect()) == list(range(100))
+
+
+def test_sizes_of_stored_tables_are_those_of_their_files(spark, tmp_path):
+    small, large = (session.cut_lineage(spark.range(n, numPartitions=3)) for n in (10, 200_000))
+    assert 0 < session.estimated_bytes(small) < 10_000 < session.estimated_bytes(large) < 20 << 20
+    assert session.estimated_bytes(small.join(large, "id")) == session.estimated_bytes(small) + session.estimated_bytes(large)
+    session.write_file(spark, "é\n", str(tmp_path / "a/b.txt"))
+    assert (tmp_path / "a/b.txt").read_text(encoding="utf-8") == "é\n"
