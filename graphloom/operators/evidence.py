@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
+from graphloom.session import cut_lineage
 
 
 def _between(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -100,6 +101,33 @@ def integrated_scores(predictions: DataFrame, articles: DataFrame, flagged: Data
     return base.crossJoin(F.broadcast(top)).select("drug_idx", "gene_idx", "place", "score", "n_articles", *parts, "pathway", F.round(score, 6).alias("integrated_score"))  # one row
 
 
+def search_words(text: Column) -> Column:
+    """Text as lower-case words with single spaces between and around, for searches of whole words."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def find_articles(pairs: DataFrame, names: DataFrame, articles: DataFrame, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
+    """(drug_idx, gene_idx, article_id): articles (article_id, text, year) that name both ends of a pair, as whole words in this order.
+
+    names has (node, name). A node is looked for by the longest word of its name first, an equi-join with the distinct words
+    of each article, and then by the whole name; so articles and names are never multiplied. Names without a letter or digit are not found, nor are
+    articles without year where a year is asked for.
+    """
+    if first_year is not None:
+        articles = articles.filter(F.col("year") >= first_year)
+    if last_year is not None:
+        articles = articles.filter(F.col("year") <= last_year)
+    wanted = pairs.select(F.explode(F.array("drug_idx", "gene_idx")).alias("node")).distinct()
+    said = wanted.join(names.select("node", search_words(F.col("name")).alias("said")), "node").filter("trim(said) <> ''")
+    longest = F.expr("array_max(transform(split(trim(said), ' '), w -> named_struct('n', length(w), 'w', w))).w")
+    keyed = said.select("node", "said", longest.alias("word"))
+    texts = articles.select("article_id", search_words(F.col("text")).alias("body"))
+    words = texts.select("article_id", "body", F.explode(F.array_distinct(F.split(F.trim("body"), " "))).alias("word"))
+    met = cut_lineage(words.join(keyed, "word").filter(F.col("body").contains(F.col("said"))).select("article_id", "node").distinct())
+    drugs, genes = met.withColumnRenamed("node", "drug_idx"), met.withColumnRenamed("node", "gene_idx")
+    return pairs.select("drug_idx", "gene_idx").distinct().join(drugs, "drug_idx").join(genes, ["gene_idx", "article_id"]).select("drug_idx", "gene_idx", "article_id")
+
+
 ARTICLE = ("pmid", "title", "journal", "year", "authors", "doi", "url", "abstract")
 
 

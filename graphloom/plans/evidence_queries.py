@@ -82,6 +82,13 @@ def _explained(s: SparkSession, d: str) -> DataFrame:
     return ev.integrated_explanations(_integrated(s, d), _explanations(s, d), hits, articles, t(s, d, "nodes"))
 
 
+def literature_search(s: SparkSession, d: str) -> DataFrame:
+    """Documents published from 2015 on that name both ends of a scored pair."""
+    names = t(s, d, "nodes").select(F.col("node_index").alias("node"), tx.clean_text("node_name").alias("name"))
+    articles = t(s, d, "documents").select(F.col("doc_id").alias("article_id"), "text", F.year("published_at").alias("year"))
+    return ev.find_articles(ranking.candidates(t(s, d, "test_pairs")).select("drug_idx", "gene_idx"), names, articles, 2015)
+
+
 def article_digest(s: SparkSession, d: str) -> DataFrame:
     """Abstracts as articles of their drug, with citations and first sentences."""
     year = F.year("published_at").cast("string")
@@ -131,6 +138,7 @@ QUERIES = {
     "integrated_explanations": _explained,
     "pubdate_year": lambda s, d: t(s, d, "orders").select(tx.year_token(F.date_format("o_orderdate", "yyyy MMM d")).alias("year")).groupBy("year").agg(F.count(F.lit(1)).alias("n")),
     "article_digest": article_digest,
+    "literature_search": literature_search,
     "first_sentence": lambda s, d: t(s, d, "documents").select("doc_id", tx.first_sentence("text").alias("sentence")),
     "gcn_layer": lambda s, d: _columns(gnn.gcn_layer(_graph(s, d), _features(s, d), W)),
     "rgcn_layer": lambda s, d: _columns(gnn.rgcn_layer(_graph(s, d), _features(s, d), _coefficients(s, d), BASES, W)),
@@ -253,6 +261,11 @@ ORACLE = {
             || CASE WHEN n_articles > 0 THEN n_articles || ' articles name both' ELSE 'no article names both' END || CASE WHEN n_sets > 0 THEN '; the gene is in ' || n_sets || ' significant sets, among them ' || first_sets ELSE '' END
             || CASE WHEN n_shared_genes + n_shared_variants + n_shared_phenotypes > 0 THEN '; they share ' || n_shared_genes || ' genes, ' || n_shared_variants || ' variants and ' || n_shared_phenotypes || ' phenotypes' ELSE '' END || '.' AS explanation
         FROM j""",
+    "literature_search": f"""WITH {_POOL}, {_NAMES.replace("coalesce(" + clean('node_name') + ", node_index::VARCHAR)", clean('node_name'))},
+        n AS (SELECT node, ' ' || trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') || ' ' AS said FROM names WHERE node IN (SELECT unnest([drug_idx, gene_idx]) FROM pool)),
+        a AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') || ' ' AS body FROM documents WHERE year(published_at) >= 2015),
+        m AS (SELECT DISTINCT doc_id, node FROM a JOIN n ON contains(body, said) WHERE trim(said, ' ') <> '')
+        SELECT drug_idx, gene_idx, x.doc_id AS article_id FROM pool JOIN m x ON x.node = drug_idx JOIN m y ON y.node = gene_idx AND y.doc_id = x.doc_id""",
     "article_digest": r"""WITH a AS (SELECT drug_idx, doc_id::VARCHAR AS pmid, coalesce(title, '') AS title, coalesce(source, '') AS journal, coalesce(year(published_at)::VARCHAR, '') AS y, list_filter([lang, source], lambda x: x <> '') AS who, trim(coalesce(text, ''), ' ') AS abs
             FROM documents WHERE doc_kind = 'abstract' AND drug_idx IS NOT NULL),
         b AS (SELECT *, row_number() OVER (PARTITION BY drug_idx ORDER BY pmid, title, journal, y, array_to_string(who, '; '), abs) AS i, regexp_extract(abs, '(?s)^(.*?\.)\s+\p{Lu}', 1) AS f FROM a)

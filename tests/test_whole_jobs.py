@@ -109,3 +109,15 @@ def test_articles_and_last_explanation(spark):
 def test_a_large_gene_set_is_whole(spark):
     line = "\t".join(["S", "about", *(f"G{i}" for i in range(100_005))])
     assert parse_gmt(spark.createDataFrame([(line,)], "value string"), "X").count() == 100_005
+
+
+def test_articles_name_both_ends_as_whole_words(spark):
+    names = spark.createDataFrame([(1, "Alpha-2 beta"), (2, "GEN1"), (3, "gen"), (4, None), (5, "--"), (6, "GEN1")], "node bigint, name string")
+    texts = [(10, "Of ALPHA 2  beta and (gen1).", 2020), (11, "alpha 2 betas with gen1", 2020), (12, "gen1, alpha 2; beta", 2010), (13, None, 2020), (14, "", 2020), (10, "gen alpha-2-beta", 2021), (15, "alpha 2 beta gen1", None)]
+    articles = spark.createDataFrame(texts, "article_id bigint, text string, year int")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (1, 2), (None, 2)], "drug_idx bigint, gene_idx bigint")
+    got = sorted(tuple(r) for r in ev.find_articles(pairs, names, articles).collect())
+    assert got == sorted([(1, 2, 10), (1, 6, 10), (1, 3, 10), (1, 2, 12), (1, 6, 12), (1, 2, 15), (1, 6, 15)])
+    late = sorted(tuple(r) for r in ev.find_articles(pairs, names, articles, 2015, 2020).collect())
+    assert late == [(1, 2, 10), (1, 6, 10)]
+    assert ev.find_articles(pairs, names, articles.limit(0)).collect() == []
