@@ -60,7 +60,12 @@ def shortest_paths(neighbours: DataFrame, pairs: DataFrame, max_hops: int = 4) -
 
 
 def all_shortest_paths(neighbours: DataFrame, pairs: DataFrame, near: int = 4) -> DataFrame:
-    """As shortest_paths, without a limit: pairs farther apart than ``near`` are searched from the drug to the end."""
+    """As shortest_paths, without a limit: in blocks of pairs, or on graphs that no task holds by joins, where pairs farther apart
+    than ``near`` are searched from the drug to the end."""
+    if (links := block_search.held(neighbours)) is not None:
+        asked = cut_lineage(pairs.select("drug_idx", "gene_idx").distinct())
+        nowhere = asked.filter("drug_idx IS NULL OR gene_idx IS NULL").select("drug_idx", "gene_idx", F.lit(None).cast("bigint").alias("length"), F.lit(0).cast("bigint").alias("n_paths"))
+        return block_search.shortest_paths(links, asked.dropna()).unionByName(nowhere)
     first = cut_lineage(shortest_paths(neighbours, pairs, near))
     far = first.filter("length IS NULL").select("drug_idx", "gene_idx")
     ball = khop(neighbours, far.select(F.col("drug_idx").alias("source")), None)

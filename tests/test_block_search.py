@@ -29,6 +29,12 @@ def both(monkeypatch, make):
     return blocks, rows()
 
 
+def test_lengths_and_numbers_of_paths(graph, monkeypatch):
+    _, _, _, near, pairs = graph
+    blocks, joins = both(monkeypatch, lambda: paths.all_shortest_paths(near, pairs))
+    assert blocks == joins and len(blocks) == pairs.distinct().count()
+
+
 def test_shared_nodes(graph, monkeypatch):
     _, nodes, degree, near, pairs = graph
     blocks, joins = both(monkeypatch, lambda: paths.shared_by_type(near, pairs, nodes, degree, ["gene", "variant", "phenotype"]).select("drug_idx", "gene_idx", "node_type", "node", "drug_distance", "gene_distance", "distance", "degree", "place"))
