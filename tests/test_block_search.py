@@ -41,6 +41,12 @@ def test_shared_nodes(graph, monkeypatch):
     assert blocks == joins and blocks
 
 
+def test_explanations(graph, monkeypatch):
+    edges, nodes, degree, near, pairs = graph
+    blocks, joins = both(monkeypatch, lambda: paths.explain_pairs(near, gb.pair_relation(edges), nodes, degree, pairs.dropna()))
+    assert blocks == joins and blocks
+
+
 def test_words_of_a_hub_are_read_in_parts(monkeypatch, graph):
     _, _, _, near, pairs = graph
     monkeypatch.setattr(block_search, "PART", 7)
