@@ -29,6 +29,14 @@ def both(monkeypatch, make):
     return blocks, rows()
 
 
+def test_distances(graph, monkeypatch):
+    _, _, _, near, pairs = graph
+    for hops in (0, 2, 4, None):
+        blocks, joins = both(monkeypatch, lambda hops=hops: paths.khop(near, pairs.selectExpr("drug_idx AS source"), hops))
+        monkeypatch.undo()
+        assert blocks == joins and blocks
+
+
 def test_lengths_and_numbers_of_paths(graph, monkeypatch):
     _, _, _, near, pairs = graph
     blocks, joins = both(monkeypatch, lambda: paths.all_shortest_paths(near, pairs))
@@ -55,3 +63,9 @@ def test_words_of_a_hub_are_read_in_parts(monkeypatch, graph):
     got = [level.tolist() for level in links.levels(links.place([0, 1, 1000, 999]), None)]
     monkeypatch.setattr(block_search, "PART", 4_000_000)
     assert got == [level.tolist() for level in block_search.held(near).levels(links.place([0, 1, 1000, 999]), None)]
+
+
+def test_joins_make_no_rows_in_a_search_by_blocks(graph, monkeypatch):
+    _, _, _, near, pairs = graph
+    monkeypatch.setattr(paths, "joined_khop", None)
+    assert paths.all_shortest_paths(near, pairs).count() == pairs.distinct().count()
