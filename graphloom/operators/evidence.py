@@ -110,8 +110,9 @@ def find_articles(pairs: DataFrame, names: DataFrame, articles: DataFrame, first
     """(drug_idx, gene_idx, article_id): articles (article_id, text, year) that name both ends of a pair, as whole words in this order.
 
     names has (node, name). A node is looked for by the longest word of its name first, an equi-join with the distinct words
-    of each article, and then by the whole name; so articles and names are never multiplied. Names without a letter or digit are not found, nor are
-    articles without year where a year is asked for.
+    of each article, and then by the whole name in the article's text, which is moved once; drugs and genes meet within an article before they
+    are held against the pairs. So neither articles and names nor the articles and pairs of a common drug are multiplied. Names without a letter
+    or digit are not found, nor are articles without year where a year is asked for.
     """
     if first_year is not None:
         articles = articles.filter(F.col("year") >= first_year)
@@ -122,10 +123,13 @@ def find_articles(pairs: DataFrame, names: DataFrame, articles: DataFrame, first
     longest = F.expr("array_max(transform(split(trim(said), ' '), w -> named_struct('n', length(w), 'w', w))).w")
     keyed = said.select("node", "said", longest.alias("word"))
     texts = articles.select("article_id", search_words(F.col("text")).alias("body"))
-    words = texts.select("article_id", "body", F.explode(F.array_distinct(F.split(F.trim("body"), " "))).alias("word"))
-    met = cut_lineage(words.join(keyed, "word").filter(F.col("body").contains(F.col("said"))).select("article_id", "node").distinct())
-    drugs, genes = met.withColumnRenamed("node", "drug_idx"), met.withColumnRenamed("node", "gene_idx")
-    return pairs.select("drug_idx", "gene_idx").distinct().join(drugs, "drug_idx").join(genes, ["gene_idx", "article_id"]).select("drug_idx", "gene_idx", "article_id")
+    words = texts.select("article_id", F.explode(F.array_distinct(F.split(F.trim("body"), " "))).alias("word"))
+    looked = words.join(keyed, "word").groupBy("article_id").agg(F.collect_set(F.struct("node", "said")).alias("names"))
+    met = texts.join(looked, "article_id").select("article_id", F.explode(F.filter("names", lambda x: F.contains(F.col("body"), x["said"]))["node"]).alias("node"))
+    met = cut_lineage(met.distinct())
+    asked = pairs.select("drug_idx", "gene_idx").distinct()
+    drugs, genes = (met.withColumnRenamed("node", end).join(asked.select(end).distinct(), end, "left_semi") for end in ("drug_idx", "gene_idx"))
+    return drugs.join(genes, "article_id").join(asked, ["drug_idx", "gene_idx"], "left_semi").select("drug_idx", "gene_idx", "article_id")
 
 
 ARTICLE = ("pmid", "title", "journal", "year", "authors", "doi", "url", "abstract")

@@ -121,3 +121,24 @@ def test_articles_name_both_ends_as_whole_words(spark):
     late = sorted(tuple(r) for r in ev.find_articles(pairs, names, articles, 2015, 2020).collect())
     assert late == [(1, 2, 10), (1, 6, 10)]
     assert ev.find_articles(pairs, names, articles.limit(0)).collect() == []
+
+
+def test_articles_are_moved_once_and_met_within(spark, monkeypatch):
+    """Texts aren't repeated for each of their words, and a common drug's pairs not for each of its articles."""
+    kept = []
+    monkeypatch.setattr(ev, "cut_lineage", lambda df: kept.append(df) or df)
+    names = spark.createDataFrame([(i, f"name{i}") for i in range(60)], "node bigint, name string")
+    articles = spark.createDataFrame([(i, f"name0 name{i % 60}", 2020) for i in range(1, 121)], "article_id bigint, text string, year int")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 60)], "drug_idx bigint, gene_idx bigint")
+    out = ev.find_articles(pairs, names, articles)
+    assert sorted(tuple(r) for r in out.collect()) == sorted((0, i % 60, i) for i in range(1, 121) if i % 60)
+
+    def joins(df):
+        plan = df._jdf.queryExecution().optimizedPlan()
+        nodes = [plan.apply(i) for i in range(len(plan.toString().strip().split("\n")))]
+        return [(n.condition().toString(), n.left().output().mkString(" "), n.right().output().mkString(" ")) for n in nodes if n is not None and n.nodeName() == "Join"]
+
+    on_words = [j for j in joins(kept[0]) if "word#" in j[0]]
+    assert on_words and not any("body#" in j[1] + j[2] for j in on_words)
+    together = next(j for j in joins(out) if "article_id#" in j[0])
+    assert "gene_idx" not in together[1] or "drug_idx" not in together[1]
