@@ -142,3 +142,20 @@ def test_articles_are_moved_once_and_met_within(spark, monkeypatch):
     assert on_words and not any("body#" in j[1] + j[2] for j in on_words)
     together = next(j for j in joins(out) if "article_id#" in j[0])
     assert "gene_idx" not in together[1] or "drug_idx" not in together[1]
+
+
+def test_a_hub_gene_is_dealt_over_chunks_and_stored_by_phenotype(spark, monkeypatch):
+    monkeypatch.setattr(ev, "PHENOTYPES", 10, raising=False)
+    edges = spark.createDataFrame([(1, 1000 + i, "gene", "phenotype", "r", "label", "associated") for i in range(200)] + [(2, 1000, "gene", "phenotype", "r", "label", "ambiguous")],
+                                  "source_idx bigint, target_idx bigint, source_type string, target_type string, relation_type string, evidence string, association string")
+    predictions = spark.createDataFrame([(d, g) for d in range(50, 80) for g in (1, 2, 3)], "drug_idx bigint, gene_idx bigint")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = ev.propagate(predictions, edges)
+        rows = [[(r["gene_idx"], r["phenotype_idx"], r["drug_idx"]) for r in part] for part in made.rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    flat = [r for part in rows for r in part]
+    assert sorted(flat) == sorted([(1, 1000 + i, d) for i in range(200) for d in range(50, 80)] + [(2, 1000, d) for d in range(50, 80)])
+    assert sum(any(r[0] == 1 for r in part) for part in rows) > 1  # not one task's
+    assert sum(a[:2] != b[:2] for a, b in zip(flat, flat[1:], strict=False)) <= 201  # the drugs of a phenotype lie together
