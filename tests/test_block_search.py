@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 
+import __spark_entry__
 from graphloom.operators import block_search, paths
 from graphloom.operators import graph_build as gb
 
@@ -69,3 +71,10 @@ def test_joins_make_no_rows_in_a_search_by_blocks(graph, monkeypatch):
     _, _, _, near, pairs = graph
     monkeypatch.setattr(paths, "joined_khop", None)
     assert paths.all_shortest_paths(near, pairs).count() == pairs.distinct().count()
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["explanation_diagnostics", "integrated_explanations"])
+def test_queries_over_explanations_make_no_balls(spark, monkeypatch, name):
+    monkeypatch.setattr(paths, "joined_khop", None)
+    assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count()
