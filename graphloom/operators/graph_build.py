@@ -203,11 +203,12 @@ def simple_degree(undirected: DataFrame) -> DataFrame:
     return ends.groupBy("node_idx").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def pair_relation(edges: DataFrame) -> DataFrame:
-    """Relation per ordered pair, each row standing for both orders; the last row wins."""
+def pair_relation(edges: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Relation per ordered pair, each row standing for both orders; the last row wins. Only of the pairs (u, v) of among, if given."""
     both = edges.filter("source_idx IS NOT NULL AND target_idx IS NOT NULL").select(
         F.inline(F.array(F.struct(F.col("source_idx").alias("u"), F.col("target_idx").alias("v")), F.struct(F.col("target_idx").alias("u"), F.col("source_idx").alias("v")))), "relation_type", "edge_index"
     )
+    both = both if among is None else both.join(among, ["u", "v"], "left_semi")
     return both.groupBy("u", "v").agg(F.max_by("relation_type", "edge_index").alias("relation_type"))
 
 

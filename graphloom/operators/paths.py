@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
@@ -102,13 +102,22 @@ def listed_paths(neighbours: DataFrame, pairs: DataFrame, ball: DataFrame, keep:
     return done.select("drug_idx", "gene_idx", F.col("place").cast("bigint").alias("place"), "path")
 
 
+STEPS = "zip_with(slice(path, 1, size(path) - 1), slice(path, 2, size(path) - 1), (a, b) -> named_struct('u', a, 'v', b))"
+FEW = 100_000  # rows that are sent to every task
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, stored, and sent to every task of a join if it has no more than FEW rows."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def path_texts(paths: DataFrame, names: DataFrame, relations: DataFrame) -> DataFrame:
     """(drug_idx, gene_idx, shortest_paths, shortest_path_relations) of listed_paths: ``name[type] -> ...`` and the relations along
     each path with bars between; paths are divided by double bars. names has (node, name, node_type), relations (u, v, relation_type)."""
     nodes = paths.select("drug_idx", "gene_idx", "place", F.posexplode("path").alias("step", "node")).join(names, "node", "left")
     said = F.format_string("%s[%s]", F.coalesce("name", F.col("node").cast("string")), F.coalesce("node_type", F.lit("?")))
-    links = F.expr("zip_with(slice(path, 1, size(path) - 1), slice(path, 2, size(path) - 1), (a, b) -> named_struct('u', a, 'v', b))")
-    ends = paths.select("drug_idx", "gene_idx", "place", F.posexplode(links).alias("step", "e"))
+    ends = paths.select("drug_idx", "gene_idx", "place", F.posexplode(F.expr(STEPS)).alias("step", "e"))
     links = ends.select("drug_idx", "gene_idx", "place", "step", "e.u", "e.v").join(relations, ["u", "v"], "left")
 
     def joined(df: DataFrame, text, between: str, name: str) -> DataFrame:
@@ -120,11 +129,12 @@ def path_texts(paths: DataFrame, names: DataFrame, relations: DataFrame) -> Data
     return walked.join(joined(links, F.coalesce("relation_type", F.lit("unknown")), " | ", "shortest_path_relations"), ["drug_idx", "gene_idx"], "left")
 
 
-def explain_pairs(neighbours: DataFrame, relations: DataFrame, nodes: DataFrame, degree: DataFrame, pairs: DataFrame, max_hops: int = 4, keep: int = 3, top: int = 10) -> DataFrame:
+def explain_pairs(neighbours: DataFrame, relations: DataFrame | Callable[[DataFrame], DataFrame], nodes: DataFrame, degree: DataFrame, pairs: DataFrame, max_hops: int = 4, keep: int = 3, top: int = 10) -> DataFrame:
     """One row a pair: names, length and texts of its first shortest paths, and of three types the nodes that both ends
     have within max_hops, with their number (``top`` at most).
 
     Path length has no limit. Pairs that aren't connected have a null length, no paths and empty texts. nodes has (node_index, node_name, node_type).
+    relations (u, v, relation_type) may be a function that makes them of the links (u, v) on the paths.
     """
     pairs = cut_lineage(pairs.select("drug_idx", "gene_idx").distinct())
     names = nodes.select(F.col("node_index").alias("node"), F.coalesce(tx.clean_text("node_name"), F.col("node_index").cast("string")).alias("name"), "node_type")
@@ -141,6 +151,9 @@ def explain_pairs(neighbours: DataFrame, relations: DataFrame, nodes: DataFrame,
         ball = joined_khop(neighbours, pairs.select(F.explode(F.array("drug_idx", "gene_idx")).alias("source")), max(max_hops, longest))
         listed = cut_lineage(listed_paths(neighbours, pairs, ball, keep))
         shared = _shared(ball.filter(F.col("distance") <= max_hops), pairs, nodes, degree, types, top)
+    if not isinstance(relations, DataFrame):
+        listed = cut_lineage(listed)
+        relations = relations(few(listed.select(F.explode(F.expr(STEPS)).alias("e")).select("e.u", "e.v").distinct()))
     out = found.select("drug_idx", "gene_idx", F.col("length").alias("shortest_path_length")).join(listed.groupBy("drug_idx", "gene_idx").agg(F.count(F.lit(1)).alias("n_shortest_paths")), ["drug_idx", "gene_idx"], "left")
     out = out.join(path_texts(listed, names, relations), ["drug_idx", "gene_idx"], "left").fillna({"n_shortest_paths": 0, "shortest_paths": "", "shortest_path_relations": ""})
     shared = shared.join(names.select("node", "name"), "node")

@@ -72,7 +72,7 @@ def _predicted(s: SparkSession, d: str) -> DataFrame:
 
 
 def _explanations(s: SparkSession, d: str) -> DataFrame:
-    return paths.explain_pairs(_neighbours(s, d), gb.pair_relation(t(s, d, "edges")), t(s, d, "nodes"), _degrees(s, d), _predicted(s, d))
+    return paths.explain_pairs(_neighbours(s, d), lambda links: gb.pair_relation(t(s, d, "edges"), links), t(s, d, "nodes"), _degrees(s, d), _predicted(s, d))
 
 
 def _explained(s: SparkSession, d: str) -> DataFrame:

@@ -78,3 +78,15 @@ def test_joins_make_no_rows_in_a_search_by_blocks(graph, monkeypatch):
 def test_queries_over_explanations_make_no_balls(spark, monkeypatch, name):
     monkeypatch.setattr(paths, "joined_khop", None)
     assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_relations_are_made_of_the_links_on_paths_only(graph):
+    edges, nodes, degree, near, pairs = graph
+    asked, seen = pairs.dropna(), []
+
+    def made(links):
+        seen.append(links.count())
+        return gb.pair_relation(edges, links)
+
+    got, want = (sorted(map(repr, paths.explain_pairs(near, r, nodes, degree, asked).collect())) for r in (made, gb.pair_relation(edges)))
+    assert got == want and 0 < seen[0] < near.count()
