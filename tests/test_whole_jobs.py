@@ -159,3 +159,14 @@ def test_a_hub_gene_is_dealt_over_chunks_and_stored_by_phenotype(spark, monkeypa
     assert sorted(flat) == sorted([(1, 1000 + i, d) for i in range(200) for d in range(50, 80)] + [(2, 1000, d) for d in range(50, 80)])
     assert sum(any(r[0] == 1 for r in part) for part in rows) > 1  # not one task's
     assert sum(a[:2] != b[:2] for a, b in zip(flat, flat[1:], strict=False)) <= 201  # the drugs of a phenotype lie together
+
+
+def test_a_block_of_drugs_repeats_for_each_phenotype_where_it_is_stored(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 10_000 + i, "gene", "phenotype", "r", "label", "associated") for i in range(120)], "source_idx bigint, target_idx bigint, source_type string, target_type string, relation_type string, evidence string, association string")
+    drugs = [(7 * d * d) % 9_973 for d in range(4_900)]
+    predictions = spark.createDataFrame([(d, 1) for d in drugs] + [(None, 1)], "drug_idx bigint, gene_idx bigint")
+    ev.propagate(predictions, edges).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == got.select("drug_idx", "phenotype_idx").distinct().count() == 120 * (len(set(drugs)) + 1)
+    stored = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert stored < 0.7 * got.count()  # bytes; an index of a drug alone would take 1.6
