@@ -39,6 +39,24 @@ def test_distances(graph, monkeypatch):
         assert blocks == joins and blocks
 
 
+def test_a_nodes_rows_of_many_sources_are_stored_together(graph, monkeypatch, tmp_path, spark):
+    """Nodes of two hubs and 128 sources at them: little is stored of a row, and a task that holds few numbers gives the same rows."""
+    ends = [(1 << 20, n) for n in range(1, 2_001)] + [((1 << 20) + 1, n) for n in range(1_000, 3_001)]
+    near = spark.createDataFrame([*ends, *((v, u) for u, v in ends)], "u bigint, v bigint")
+    asked = spark.createDataFrame([(n,) for n in range(937, 1_065)], "source bigint")
+    paths.khop(near, asked, 4).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == 128 * 3_002
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.8 * got.count()  # bytes
+    monkeypatch.setattr(block_search, "HELD", 1)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    _, _, _, links, pairs = graph
+    held = block_search.held(links)
+    few = list(range(3, 90)) + [5_000]
+    sources = spark.createDataFrame([(n,) for n in few], "source bigint")
+    assert rows(block_search.khop(held, sources, 4)) == rows(paths.joined_khop(links, sources, 4))
+
+
 def test_lengths_and_numbers_of_paths(graph, monkeypatch):
     _, _, _, near, pairs = graph
     blocks, joins = both(monkeypatch, lambda: paths.all_shortest_paths(near, pairs))
